@@ -21,6 +21,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.substring_dedup import find_factors
+
+    out = find_factors(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.packing import Capacities, pack_documents
 
@@ -42,6 +49,28 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
+), copied AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM copied, (SELECT unnest(range(0, 20)) AS k)
+), flat AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words
+), kept AS (
+  SELECT flat.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY flat.pos) FILTER (gone.pos IS NULL) AS kept
+  FROM flat LEFT JOIN gone ON flat.doc_id = gone.doc_id AND flat.pos = gone.pos GROUP BY flat.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
@@ -62,8 +91,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_source_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op4_line_dedup, op5_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL}
