@@ -49,6 +49,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.chosen_path import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -91,7 +98,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op4_line_dedup, op5_source_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
