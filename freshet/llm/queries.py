@@ -56,6 +56,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.decision_list import STATISTICS, judge
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = judge(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", *STATISTICS, "base_failed", "kept", "rule")
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -98,7 +106,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
