@@ -34,6 +34,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), Capacities(tokens=4096))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.warc_zip import archive_folder, read_index, read_records, write_archives
+
+    packages = write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), archive_folder(spark), min_bytes=1000)
+    # Records are spread evenly over tasks, whatever package they are in.
+    records = read_records(read_index(packages).repartition("package", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("package", "offset"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.line_dedup import drop_repeated_lines
 
@@ -86,6 +95,18 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT A
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
 """
 
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), r AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS response FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(encode(h)) AS payload_digest,
+       CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM r
+"""
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
@@ -106,8 +127,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_warc_zip": OP3_SQL, "op4_line_dedup": OP4_SQL}
