@@ -73,6 +73,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *STATISTICS, "base_failed", "kept", "rule")
 
 
+def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.ball_tree import quantise, top_k
+
+    vectors = quantise(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64.0)
+    return top_k(vectors, F.pmod("id", F.lit(20)) == 0, k=20)
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -126,9 +133,24 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op8_quality_rules, op10_ball_tree_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_warc_zip": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_warc_zip": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_ball_tree_topk": OP10_SQL}
