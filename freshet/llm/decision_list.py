@@ -251,10 +251,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the learned list reject, with
-    the columns of ``docs``. Rules are learned from the statistics of the labelled
-    documents and applied to every row in place, so texts are not shuffled."""
-    labelled = docs.join(labels.select(F.col(id_col)).distinct(), id_col, "left_semi").select(id_col, text_col)
-    rules = learn_rules(materialise(statistics(labelled, text_col).drop(text_col), "statistics"), labels, id_col, **options)
+    the columns of ``docs``. The statistics are written once to learn from, and the list
+    is then applied to every row in place: texts are not shuffled, and a row is judged by
+    its own text even if its id is null or repeated."""
+    stats = materialise(statistics(docs.select(id_col, text_col), text_col).drop(text_col), "statistics")
+    rules = learn_rules(stats, labels, id_col, **options)
     names = docs.columns
     own = [*STATISTICS, "n_lines", "n_distinct"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
