@@ -65,6 +65,19 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.html_layout import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.language_id import identify_pages
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return identify_pages(pages, _table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.decision_list import STATISTICS, judge
 
@@ -149,7 +162,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op8_quality_rules, op10_ball_tree_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op7_html_extraction, op8_quality_rules, op9_language_id, op10_ball_tree_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
