@@ -251,13 +251,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the learned list reject, with
-    the columns of ``docs``. The statistics are written once to learn from, and the list
-    is then applied to every row in place: texts are not shuffled, and a row is judged by
-    its own text even if its id is null or repeated."""
-    stats = materialise(statistics(docs.select(id_col, text_col), text_col).drop(text_col), "statistics")
-    rules = learn_rules(stats, labels, id_col, **options)
-    names = docs.columns
-    own = [*STATISTICS, "n_lines", "n_distinct"]
+    the columns of ``docs``. The rows are written once with their statistics, to learn
+    from and to filter: nothing is shuffled, and a row is judged by its own text even if
+    its id is null or repeated."""
+    names, own = docs.columns, [*STATISTICS, "n_lines", "n_distinct"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    judged = statistics(packed, "_text").where(~base_failed() & rules.keeps())
-    return judged.drop("_text", *own).select(*[F.col("_row")[c].alias(c) for c in names])
+    judged = materialise(statistics(packed, "_text").drop("_text"), "judged")
+    rules = learn_rules(judged.select(F.col("_row")[id_col].alias(id_col), *own), labels, id_col, **options)
+    return judged.where(~base_failed() & rules.keeps()).select(*[F.col("_row")[c].alias(c) for c in names])
