@@ -110,6 +110,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
     plain shuffle join with the repeated anchors, which adaptive execution splits.
     Texts are shuffled once, by id; both later reads use that shuffle.
     """
+    anchor_words = min(anchor_words, min_words)
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     id_type = base.schema["_id"].dataType
 
