@@ -27,6 +27,8 @@ from freshet.llm.components import BLOCK, components, connect_blocks, deal_block
 #: At the threshold 0.8 a pair stays together in a node of level 3 with probability of about
 #: 0.94 in one tree, so five trees miss it with one in a million; closer pairs far more seldom.
 TREES, FOLLOWED = 5, (2, 2, 1, 1, 1)
+#: Levels that are branched before nodes are counted anew: the first two at once, the third, the last two.
+ROUNDS = ((0, 1), (2,), (3, 4))
 #: Bins of a sketch, and the share of equal ones from which full sets are compared; that is
 #: six standard deviations below a similarity of 0.8.
 BINS, MAYBE = 64, 0.5
@@ -68,7 +70,7 @@ def _minwise(tokens: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
                 value[value == least[row]] = np.uint64(2**64 - 1)
                 second = np.minimum.reduceat(value, at)
                 out.append(np.where(second == np.uint64(2**64 - 1), least, second))
-    return np.stack(out, 1).view(np.int64)
+    return (np.stack(out, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _sketches(tokens: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +156,7 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["id"].dataType
     schema = T.StructType([
         T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
-        T.StructField("path", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()),
+        T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
                 full = np.flatnonzero(size)
                 at, row = first[full], np.repeat(np.arange(len(full)), size[full])
                 k1, k2 = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-                path, sketch = np.zeros((b - a, wide), np.int64), np.zeros((b - a, BINS), np.uint8)
+                path, sketch = np.zeros((b - a, wide), np.int32), np.zeros((b - a, BINS), np.uint8)
                 if len(full):
                     k1[full] = np.add.reduceat(wh.mix(tokens), at).view(np.int64)
                     k2[full] = np.add.reduceat(wh.mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
@@ -185,20 +187,20 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _leaves(reps: DataFrame) -> DataFrame:
     """Branch the trees: grp (node), id and n for every leaf of two documents at least."""
-    start = np.cumsum([0, *FOLLOWED])
-    rows = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("path", t * sum(FOLLOWED) + 1, F.lit(sum(FOLLOWED))))).alias("tree", "p"))
-    rows = rows.select("id", "p", F.xxhash64("tree").alias("grp"))
+    wide = sum(FOLLOWED)
+    rows = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("path", t * wide + 1, F.lit(wide)))).alias("tree", "rest"))
+    rows = rows.select("id", F.xxhash64("tree").alias("grp"), "rest")
     leaves = None
-    for level, n in enumerate(FOLLOWED):
-        token = F.explode(F.array_distinct(F.slice("p", int(start[level]) + 1, n)))
-        rows = rows.select("id", "p", "grp", token.alias("token")).select("id", "p", F.xxhash64("grp", "token").alias("grp"))
-        rows = materialise(rows, "branch")
+    for levels in ROUNDS:
+        for level in levels:
+            n = FOLLOWED[level]
+            rows = rows.select("id", "grp", F.explode(F.array_distinct(F.slice("rest", 1, n))).alias("token"), F.slice("rest", n + 1, wide).alias("rest"))
+            rows = rows.select("id", F.xxhash64("grp", "token").alias("grp"), "rest")
         sizes = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-        known = rows.join(sizes, "grp")
-        last = level == len(FOLLOWED) - 1
-        leaf = (known if last else known.where(F.col("n") <= BLOCK)).select("grp", "id", "n")
+        known = materialise(rows.join(sizes, "grp"), "branch")
+        leaf = (known if levels == ROUNDS[-1] else known.where(F.col("n") <= BLOCK)).select("grp", "id", "n")
         leaves = leaf if leaves is None else leaves.union(leaf)
-        rows = known.where(F.col("n") > BLOCK).select("id", "p", "grp")
+        rows = known.where(F.col("n") > BLOCK).select("id", "grp", "rest")
     return leaves
 
 
@@ -250,7 +252,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grp"), part.column("n"), pa.array(np.diff(first), pa.int64()), pa.array(sets, pa.binary())], names=["id", "grp", "n", "size", "payload"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("grp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
-    sets = materialise(texts.join(members, "id").select("id", "text", "grp", "n").mapInArrow(build, schema), "full")
+    # members grow with the data: a merge join at every size
+    sets = materialise(texts.join(members.hint("merge"), "id").select("id", "text", "grp", "n").mapInArrow(build, schema), "full")
     payload = sets.select("id", "size", "payload")
     edges = materialise(connect_blocks(deal_blocks(members).join(payload, "id"), confirmed(percent), kind), "links")
 
@@ -297,4 +300,4 @@ def _rest_against_all(large: DataFrame, payload: DataFrame, edges: DataFrame, ki
         large.join(counted, "grp").withColumn("_part", F.pmod(F.xxhash64("id", "grp"), parts).cast("int"))
         .withColumn("_of", F.explode(F.sequence(F.lit(0), chunks - 1))).select(block("_part", "_of"), "id")
     )
-    return connect_blocks(queries.union(against).distinct().join(payload, "id"), confirmed(percent), kind)
+    return connect_blocks(queries.union(against).join(payload, "id"), confirmed(percent), kind)
