@@ -42,3 +42,10 @@ def artifact_metadata(cfg: dict[str, Any], features: list[str], n_train: int, n_
         "experiment": experiment.get("name", "unnamed"), "seed": experiment.get("seed", 42), "model_type": cfg.get("model", {}).get("kind", "xgboost"),
         "feature_names": features, "n_train": n_train, "n_val": n_val, "n_test": n_test, "trained_at": datetime.now(timezone.utc).isoformat(),
     }
+
+
+def save_feature_importance(importance: DataFrame, output_dir: str, filename: str = "feature_importance.csv") -> str:
+    """CSV of feature, importance: a row a feature, so one file."""
+    path = os.path.join(output_dir, filename)
+    importance.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    return path

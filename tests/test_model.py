@@ -3,7 +3,7 @@ import yaml
 
 from freshet.operators.temporal import chronological_split, engineer_flood_features, extract_xy
 from freshet.plans.model import FloodModel, build_model_from_config
-from freshet.plans.training import check_columns, compare_flood_baselines, format_comparison_report, run_training
+from freshet.plans.training import check_columns, compare_flood_baselines, format_comparison_report, run_training, train_on_features
 from freshet.sources.sensor import generate_synthetic_sensor_data
 
 SMALL = {"n_estimators": 3, "max_depth": 2, "subsample": 0.8, "min_samples_split": 10, "random_state": 42}
@@ -71,6 +71,8 @@ def test_training_run(spark, tmp_path):
     path.write_text(yaml.dump(cfg))
     out = run_training(spark, str(path))
     assert out["metrics"]["RMSE"] > 0 and (tmp_path / "metrics_dir" / "t_metrics.json").exists()
+    direct = train_on_features(spark, str(data), str(path), str(tmp_path / "direct"))
+    assert direct["metrics"]["RMSE"] > 0 and spark.read.csv(direct["importance_path"], header=True).columns == ["feature", "importance"]
     cfg["data"]["input_path"] = None
     path.write_text(yaml.dump(cfg))
     with pytest.raises(SystemExit):

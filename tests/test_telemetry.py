@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from freshet.errors import CWCJoinError, CWCSchemaError
 from freshet.operators import quality
 from freshet.operators.fusion import join_cwc_data, validate_cwc_join
-from freshet.sources import config, sensor, telemetry
+from freshet.sources import config, schema, sensor, telemetry
 
 T0 = datetime(2023, 6, 1)
 
@@ -117,6 +117,15 @@ def test_synthetic_series(spark):
     assert df.exceptAll(sensor.generate_synthetic_sensor_data(spark, 100)).count() == 0
 
 
+def test_declared_schema(spark):
+    df = spark.createDataFrame([("2023-01-01 00:00:00", "12.5", float("nan"), 1)], "timestamp string, rainfall_mm_hr string, water_level_m double, other int")
+    out = schema.conform(df)
+    assert out.columns == [f.name for f in schema.SENSOR_SCHEMA.fields]
+    r = out.first()
+    assert (r["timestamp"], r["rainfall_mm_hr"], r["water_level_m"], r["station_id"]) == (datetime(2023, 1, 1), 12.5, None, None)
+    assert quality.out_of_range(df.withColumn("rainfall_mm_hr", F.lit(301.0)), schema.RANGES).where("column_name = 'rainfall_mm_hr'").first()["n_above"] == 1
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("a:\n  b: 1\n  c: null\n")
