@@ -17,10 +17,10 @@ from freshet.llm.common import count_words, extras, materialise
 BUCKETS = 4096
 
 
-def fill_targets(sizes: Sequence[int], weights: Sequence[float], ceiling: float) -> list[float]:
-    """Share ``sum(sizes)`` by weight; no share goes above ``ceiling`` times its own size,
+def fill_targets(sizes: Sequence[int], weights: Sequence[float], ceiling: float, total: float | None = None) -> list[float]:
+    """Share ``total`` (by default ``sum(sizes)``) by weight; no share goes above ``ceiling`` times its own size,
     and what is above is shared again by weight among the others."""
-    total, capped, n = float(sum(sizes)), set(), len(sizes)
+    total, capped, n = float(sum(sizes) if total is None else total), set(), len(sizes)
     while True:
         rest = total - sum(ceiling * sizes[i] for i in capped)
         weight = sum(weights[i] for i in range(n) if i not in capped)
@@ -105,7 +105,7 @@ def mix_sources(
 
     ``sources`` is an array column: the sources a document belongs to (a null element
     is a source of its own, named null). Sources are ordered by code point, null last,
-    and weigh ``weights`` in turn; the targets share the sum of all source sizes, none
+    and weigh ``weights`` in turn; the targets share the sum of all documents' sizes, none
     above ``max_epochs`` times its source. Returns the columns of ``docs`` and
     ``size``, ``source_size``, ``target`` (of the first source), ``epochs`` (whole uses
     of the document, 0 to ``max_epochs``) and ``taken = size * epochs``; columns of
@@ -145,7 +145,7 @@ def mix_sources(
         for s in names:
             by_source[s] += capacity[p]
     order = sorted(by_source, key=lambda s: (s is None, s or ""))
-    goal = fill_targets([by_source[s] for s in order], [weights[i % len(weights)] for i in range(len(order))], max_epochs)
+    goal = fill_targets([by_source[s] for s in order], [weights[i % len(weights)] for i in range(len(order))], max_epochs, sum(n for p, n in capacity.items() if members[p]))
     target = dict(zip(order, goal, strict=True))
     flows = route(capacity, members, {s: round(t) for s, t in target.items()}, max_epochs)
 
