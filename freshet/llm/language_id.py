@@ -79,7 +79,7 @@ def text_posterior(text: str, model: np.ndarray) -> np.ndarray:
     grams = trigrams(text.encode())
     if not len(grams):
         return np.full(len(model), -np.log(max(len(model), 1)))
-    score = (model @ np.bincount(grams, minlength=BUCKETS)) * (min(len(grams), EVIDENCE) / len(grams))
+    score = sum(model[:, part].sum(1) for part in np.array_split(grams, len(grams) // 50_000 + 1)) * (min(len(grams), EVIDENCE) / len(grams))
     score -= score.max()
     return score - np.log(np.exp(score).sum())
 
@@ -97,58 +97,39 @@ def address(url: str | None) -> tuple[str, str, str]:
     return host, ".".join(parts[-2:]), parts[-1]
 
 
-def identify_pages(
-    pages: DataFrame, training: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    host_weight: float = 4.0, domain_weight: float = 8.0, smoothing: float = 1.0,
-) -> DataFrame:
-    """Language of every page: the columns of ``pages`` but address and markup, with
-    ``lang``, ``confidence`` (its posterior), ``text_lang``, ``declared`` and ``host``.
-    Columns of those names are replaced.
+Model = tuple[list[str], np.ndarray]
+OWN = ("lang", "confidence", "text_lang", "declared", "host")
 
-    Edge cases: a page without text, declaration and address gets the most frequent
-    language; without any training rows ``lang`` is null. A null or malformed address is
-    the host "". Rows that repeat an id are pages of their own. An empty table gives an
-    empty table.
 
-    At scale: pages are read once; what follows works on a row of a few numbers a page.
-    Sums by host, domain, suffix and declaration combine map-side, so a host with a third
-    of all pages is a partial sum in every task; sums are written and joined back by plain
-    shuffle joins, which adaptive execution splits or broadcasts by size.
-    """
-    spark = pages.sparkSession
-    own = ["lang", "confidence", "text_lang", "declared", "host"]
-    keep = [c for c in extras(pages, [*own, url_col, html_col]) if c not in ("_url", "_html")]
-    languages, model = fit_text_model(training)
-    n = len(languages)
-    slim = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    if not n:
-        null = F.lit(None)
-        return slim.select(*[F.col(f"`{c}`") for c in keep], null.cast("string").alias("lang"), null.cast("double").alias("confidence"), null.cast("string").alias("text_lang"), null.cast("string").alias("declared"), null.cast("string").alias("host"))
-    shared = spark.sparkContext.broadcast(model)  # at most max_languages x BUCKETS numbers
-    schema = slim.drop("_url", "_html").schema.add("host", "string").add("_domain", "string").add("_suffix", "string").add("declared", "string").add("_text", T.ArrayType(T.DoubleType()))
+def _evidence(rows: DataFrame, keep: list[str], model: Model, read_row) -> DataFrame:
+    """One row per row of ``rows``: its kept columns and the evidence that ``read_row`` finds in
+    its ``_url`` and ``_body``: (host, domain, suffix, declared language, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model[1])  # at most max_languages x BUCKETS numbers
+    names = ("host", "_domain", "_suffix", "declared")
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name in keep], *[T.StructField(c, T.StringType()) for c in names], T.StructField("_text", T.ArrayType(T.DoubleType()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, max(whole.num_rows, 1), 256):
                 batch = whole.slice(at, 256)
-                places, marks, text = [], [], []
-                for url, html in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), strict=True):
-                    root = parse(html or "")
-                    places.append(address(url))
-                    marks.append(declared_language(root) or "")
-                    text.append(text_posterior(render(root), shared.value).tolist())
+                found = [read_row(url, body) for url, body in zip(batch.column("_url").to_pylist(), batch.column("_body").to_pylist(), strict=True)]
                 columns = {c: batch.column(c) for c in keep}
-                columns |= {name: pa.array([p[k] for p in places], pa.string()) for k, name in enumerate(("host", "_domain", "_suffix"))}
-                columns |= {"declared": pa.array(marks, pa.string()), "_text": pa.array(text, pa.list_(pa.float64()))}
+                columns |= {c: pa.array([f[k] for f in found], pa.string()) for k, c in enumerate(names)}
+                columns["_text"] = pa.array([text_posterior(f[4], shared.value).tolist() for f in found], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    seen = materialise(slim.mapInArrow(read, schema), "evidence")
+    return materialise(rows.mapInArrow(read, schema), "evidence")
+
+
+def _fuse(seen: DataFrame, keep: list[str], languages: list[str], host_weight: float, domain_weight: float, smoothing: float) -> DataFrame:
+    """The posterior of every row from its text, declaration and suffix and its host's prior."""
+    n = len(languages)
     soft = [F.exp(F.col("_text")[i]) for i in range(n)]
 
-    def sums(*by: str) -> DataFrame:
-        name = "_n" + by[0].strip("_")
-        rows = seen.groupBy(*by).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(soft)])
-        return materialise(rows.select(*by, F.array(*[F.col(f"s{i}") for i in range(n)]).alias(name)), name)
+    def sums(by: str) -> DataFrame:
+        name = "_n" + by.strip("_")
+        rows = seen.groupBy(by).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(soft)])
+        return materialise(rows.select(by, F.array(*[F.col(f"s{i}") for i in range(n)]).alias(name)), name)
 
     total = seen.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in soft]).first()
     whole = np.array([float(x) for x in total]) + smoothing
@@ -157,23 +138,24 @@ def identify_pages(
     for key in ("host", "_domain", "_suffix", "declared"):
         joined = joined.join(sums(key), key, "left")
 
-    def at(c: str, i: int) -> Column:
-        return F.col(c)[i]
+    def others(c: str, i: int) -> Column:
+        """Sum of the language's posteriors there, without this row."""
+        return F.greatest(F.col(c)[i] - soft[i], F.lit(0.0))
 
-    def all_of(c: str) -> Column:
-        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    def number(c: str) -> Column:
+        return F.greatest(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0))
 
     scores = []
     for i in range(n):
-        self_part = soft[i]
-        domain = (F.greatest(at("_ndomain", i) - self_part, F.lit(0.0)) + domain_weight * base[i]) / (F.greatest(all_of("_ndomain") - 1, F.lit(0.0)) + domain_weight)
-        host = (F.greatest(at("_nhost", i) - self_part, F.lit(0.0)) + host_weight * domain) / (F.greatest(all_of("_nhost") - 1, F.lit(0.0)) + host_weight)
-        prior = F.when(F.col("host") == "", base[i]).otherwise(host)
-        # P(declaration | language) over P(declaration): which languages go with it
-        mark = (F.greatest(at("_ndeclared", i) - self_part, F.lit(0.0)) + smoothing * base[i]) / (F.greatest(all_of("_ndeclared") - 1, F.lit(0.0)) + smoothing) / base[i]
-        tail = (F.greatest(at("_nsuffix", i) - self_part, F.lit(0.0)) + smoothing * base[i]) / (F.greatest(all_of("_nsuffix") - 1, F.lit(0.0)) + smoothing) / base[i]
-        score = at("_text", i) + F.log(prior) + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log(mark)) + F.when(F.col("_suffix") == "", F.lit(0.0)).otherwise(F.log(tail))
-        scores.append(score)
+        domain = (others("_ndomain", i) + domain_weight * base[i]) / (number("_ndomain") + domain_weight)
+        host = (others("_nhost", i) + host_weight * domain) / (number("_nhost") + host_weight)
+        # P(language | declaration) over P(language), which is P(declaration | language) up to a constant
+        mark = (others("_ndeclared", i) + smoothing * base[i]) / (number("_ndeclared") + smoothing) / base[i]
+        tail = (others("_nsuffix", i) + smoothing * base[i]) / (number("_nsuffix") + smoothing) / base[i]
+        scores.append(
+            F.col("_text")[i] + F.log(F.when(F.col("host") == "", base[i]).otherwise(host))
+            + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log(mark)) + F.when(F.col("_suffix") == "", F.lit(0.0)).otherwise(F.log(tail))
+        )
     names = F.array(*[F.lit(x) for x in languages])
     out = joined.withColumn("_scores", F.array(*scores)).withColumn("_best", F.array_max("_scores"))
     return out.select(
@@ -183,3 +165,51 @@ def identify_pages(
         F.element_at(names, F.array_position("_text", F.array_max("_text")).cast("int")).alias("text_lang"),
         F.when(F.col("declared") != "", F.col("declared")).alias("declared"), "host",
     )
+
+
+def _identify(rows: DataFrame, url_col: str | None, body_col: str, model: Model, read_row, weights: tuple[float, float, float]) -> DataFrame:
+    keep = [c for c in extras(rows, [*OWN, body_col]) if c != url_col and c not in ("_url", "_body", "_domain", "_suffix", "_text")]
+    url = F.lit(None).cast("string") if url_col is None else F.col(url_col)
+    slim = rows.select(*[F.col(f"`{c}`") for c in keep], url.alias("_url"), F.col(body_col).alias("_body"))
+    if not model[0]:
+        return slim.select(*[F.col(f"`{c}`") for c in keep], *[F.lit(None).cast("double" if c == "confidence" else "string").alias(c) for c in OWN])
+    return _fuse(_evidence(slim, keep, model, read_row), keep, model[0], *weights)
+
+
+def _read_page(url: str | None, html: str | None) -> tuple[str, str, str, str, str]:
+    root = parse(html or "")
+    return *address(url), declared_language(root) or "", render(root)
+
+
+def _read_text(source: str | None, text: str | None) -> tuple[str, str, str, str, str]:
+    return source or "", "", "", "", text or ""
+
+
+def identify_pages(
+    pages: DataFrame, model: Model, url_col: str = "url", html_col: str = "html",
+    host_weight: float = 4.0, domain_weight: float = 8.0, smoothing: float = 1.0,
+) -> DataFrame:
+    """Language of every page: the columns of ``pages`` but address and markup, with
+    ``lang``, ``confidence`` (its posterior), ``text_lang``, ``declared`` and ``host``.
+    Columns of those names are replaced. ``model`` is :func:`fit_text_model`'s.
+
+    Edge cases: a page without text, declaration and address gets the most frequent
+    language; with a model of no languages ``lang`` is null. A null or malformed address is
+    the host "". Rows that repeat an id are pages of their own. An empty table gives an
+    empty table.
+
+    At scale: pages are read once; what follows works on a row of a few numbers a page.
+    Sums by host, domain, suffix and declaration combine map-side, so a host with a third
+    of all pages is a partial sum in every task; sums are written and joined back by plain
+    shuffle joins, which adaptive execution splits or broadcasts by size.
+    """
+    return _identify(pages, url_col, html_col, model, _read_page, (host_weight, domain_weight, smoothing))
+
+
+def identify_texts(
+    docs: DataFrame, model: Model, source_col: str | None = "source", text_col: str = "text",
+    host_weight: float = 4.0, domain_weight: float = 8.0, smoothing: float = 1.0,
+) -> DataFrame:
+    """The same for plain texts: no markup, no address; a document's source stands for its
+    host. A null or empty text leaves the source's prior."""
+    return _identify(docs, source_col, text_col, model, _read_text, (host_weight, domain_weight, smoothing))

@@ -72,10 +72,16 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from freshet.llm.language_id import identify_pages
-
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return identify_pages(pages, _table(spark, sf_dir, "documents").select("text", "lang"))
+    """Every page and every document: page_id or doc_id, the other null."""
+    from freshet.llm.language_id import fit_text_model, identify_pages, identify_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = fit_text_model(docs)
+    pages = identify_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    texts = identify_texts(docs, model)
+    columns = ["page_id", "doc_id", "lang", "confidence", "text_lang", "declared", "host"]
+    pages = pages.withColumn("doc_id", F.lit(None).cast("long")).select(columns)
+    return pages.unionByName(texts.withColumn("page_id", F.lit(None).cast("long")).select(columns))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,18 +126,22 @@ def test_held_out_accuracy_and_fusion(spark):
         w = SAMPLES[lang].split()
         rows.append((i, f"http://www.{lang}-site.example.{lang}/p", f"<html lang={lang}><body>" + " ".join(rng.choice(w) for _ in range(12))))
     rows += [(900, "http://www.de-site.example.de/q", "<body>123"), (901, None, "<html lang=fr-CA>42"), (902, "nonsense", None), (None, None, None)]
-    out = language_id.identify_pages(spark.createDataFrame(rows, PAGES).withColumn("lang", F.lit("x")), training(spark)).collect()
+    model = language_id.fit_text_model(training(spark))
+    out = language_id.identify_pages(spark.createDataFrame(rows, PAGES).withColumn("lang", F.lit("x")), model).collect()
     assert len(out) == 204
     got = {r["page_id"]: r for r in out}
     assert sum(got[i]["lang"] == list(SAMPLES)[i % 4] for i in range(200)) >= 198
     assert got[900]["lang"] == "de" and got[901]["lang"] == "fr" and got[901]["declared"] == "fr"
     assert all(r["lang"] in SAMPLES and 0 < r["confidence"] <= 1 for r in out)
+    held = spark.createDataFrame([(1, SAMPLES["de"], "a"), (2, SAMPLES["es"], None), (3, None, "a"), (3, "", "a"), (None, "42", "a")], "doc_id long, text string, source string").withColumn("host", F.lit("x"))
+    texts = language_id.identify_texts(held, model).collect()
+    assert len(texts) == 5 and {r["doc_id"]: r["lang"] for r in texts if r["doc_id"] in (1, 2)} == {1: "de", 2: "es"}
 
 
 def test_language_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "u", "x")], PAGES)
-    assert language_id.identify_pages(df.limit(0), training(spark)).count() == 0
-    assert language_id.identify_pages(df, training(spark).limit(0)).first()["lang"] is None
+    assert language_id.identify_pages(df.limit(0), language_id.fit_text_model(training(spark))).count() == 0
+    assert language_id.identify_pages(df, language_id.fit_text_model(training(spark).limit(0))).first()["lang"] is None
 
 
 def test_addresses():
