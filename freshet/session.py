@@ -12,6 +12,8 @@ def build_session(app: str = "freshet", **settings) -> SparkSession:
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # whole texts pass through Arrow: small batches bound what a task holds at once
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     } | {k.replace("__", "."): str(v) for k, v in settings.items()}
     builder = SparkSession.builder.appName(app)
     for k, v in conf.items():
