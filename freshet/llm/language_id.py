@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm import wordhash as wh
 from freshet.llm.common import extras, materialise
 from freshet.llm.html_layout import declared_language, parse, render
 

@@ -138,7 +138,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
     keep = extras(base, ["_id", "_text", "n_words", "n_removed", "spans", "kept_text"])
     joined = base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep]).join(own, F.col("_id") == F.col("_own_id"), "left").drop("_own_id")
 
-    def listed(batch: pa.RecordBatch, a: int, b: int, x: Blocks, name: str) -> tuple[np.ndarray, np.ndarray]:
+    def listed(batch: pa.RecordBatch, a: int, b: int, name: str) -> tuple[np.ndarray, np.ndarray]:
         """The lists of rows a..b, flat, as (row, value)."""
         part = batch.column(name).slice(a, b - a)
         sizes = np.asarray(part.value_lengths().fill_null(0), np.int64)
@@ -154,7 +154,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
         for batch in batches:
             column, ids = wh.fill(batch.column("_text")), batch.column("_id")
             for a, b, x in _blocks(column, min_words, anchor_words):
-                rows, value = listed(batch, a, b, x, "_first_blocks")
+                rows, value = listed(batch, a, b, "_first_blocks")
                 at = find(rows[value % 2 == 1], value[value % 2 == 1] // 2, x.row, x.place())
                 at = np.unique(at[at >= 0])
                 counts = x.count[at]
@@ -184,7 +184,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
         for batch in batches:
             column, known = wh.fill(batch.column("_text")), batch.column("_id").is_valid()
             for a, b, x in _blocks(column, min_words, anchor_words):
-                rows, value = listed(batch, a, b, x, "_first_blocks")
+                rows, value = listed(batch, a, b, "_first_blocks")
                 whole = value % 2 == 0
                 at = find(rows[whole], value[whole] // 2, x.row, x.place())
                 new = np.zeros(len(x.window) + 1, np.int64)  # windows that stand here first
@@ -192,7 +192,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
                 np.add.at(new, x.start[at], 1)
                 np.add.at(new, x.start[at] + x.count[at], -1)
                 new = np.cumsum(new)[:-1] > 0
-                rows, value = listed(batch, a, b, x, "_first_windows")
+                rows, value = listed(batch, a, b, "_first_windows")
                 at = find(rows, value, x.window_row, x.window_place())
                 new[at[at >= 0]] = True
                 ok = np.asarray(known.slice(a, b - a))
