@@ -59,13 +59,14 @@ def drop_repeated_lines(
         .where(F.length("_key") >= min_chars)
         .select("_id", _digest(F.col("_key")).alias("_h"))
     )
+    lines = materialise(lines, "lines")
     frequent = (
         lines.groupBy("_h")
         .agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keeper"))
         .where(F.col("_n") >= min_docs)
         .select("_h", "_keeper")
     )
-    frequent = materialise(frequent, "lines")
+    frequent = materialise(frequent, "frequent")
     drops = (
         lines.join(frequent, "_h")
         .where(F.col("_id") < F.col("_keeper"))

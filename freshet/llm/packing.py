@@ -24,7 +24,9 @@ from freshet.llm.common import extras, materialise
 
 _ENCODERS: dict[str, tuple] = {}
 #: Words a Python worker remembers the ids of; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 400_000
+#: Pieces of one length that one task ranks, about.
+PER_SALT = 50_000
 
 
 def _encoder(path: str) -> tuple:
@@ -209,22 +211,24 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", order_cols: Seque
     may change places with each other, nothing else depends on the partitioning. An
     empty table gives an empty table.
 
-    At scale: the driver gets one count per length and salt (at most ``tokens`` x 64
-    rows), whatever the corpus. Ranks are counted within (length, salt), so a length
-    that a third of all pieces share is spread over 64 tasks. The places of each length
-    (at most ``tokens`` rows) are broadcast.
+    At scale: the driver gets a count per length (at most ``tokens``) and per salt of a
+    length, one salt for about ``PER_SALT`` pieces. Ranks are counted within (length, salt),
+    so a length that a third of all pieces share is spread over as many tasks as its share
+    needs. The places of each length (a row a length) are broadcast.
     """
     caps = caps or Capacities()
-    spark, salts = pieces.sparkSession, 64
+    spark = pieces.sparkSession
     keep = extras(pieces, ["sequence_id", "offset"])
-    base = pieces.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_n", F.col(length_col).cast("long")).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salts)).cast("int"))
-    found = base.where(F.col("_n") > 0).groupBy("_n", "_salt").agg(F.count("*").alias("c")).collect()
-    counts: dict[int, int] = {}
+    base = pieces.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_n", F.col(length_col).cast("long"))
+    counts = {r["_n"]: r["c"] for r in base.where(F.col("_n") > 0).groupBy("_n").agg(F.count("*").alias("c")).collect()}
+    salts = {n: -(-c // PER_SALT) for n, c in counts.items()}
+    widths = F.broadcast(spark.createDataFrame(list(salts.items()), "_n long, _w long"))
+    base = base.join(widths, "_n", "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.coalesce("_w", F.lit(1))).cast("int")).drop("_w")
     first: dict[tuple[int, int], int] = {}
-    for r in sorted(found, key=lambda r: (r["_n"], r["_salt"])):
-        first[r["_n"], r["_salt"]] = counts.get(r["_n"], 0)
-        counts[r["_n"]] = counts.get(r["_n"], 0) + r["c"]
+    ranks = dict.fromkeys(counts, 0)
+    for r in sorted(base.where(F.col("_n") > 0).groupBy("_n", "_salt").agg(F.count("*").alias("c")).collect()):
+        first[r["_n"], r["_salt"]] = ranks[r["_n"]]
+        ranks[r["_n"]] += r["c"]
     places: dict[int, list[tuple]] = {n: [] for n in counts}
     taken = dict.fromkeys(counts, 0)
     sequence = 0
@@ -235,14 +239,15 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", order_cols: Seque
             taken[n] += copies * times
             offset += copies * n
         sequence += times
-    # At most one row a length and salt, with the few shapes that a length is part of.
+    # One row a length (at most the capacity in tokens): the first rank of each salt, and
+    # the few shapes that the length is part of.
     slots = spark.createDataFrame(
-        [(n, s, f, [list(p) for p in places[n]]) for (n, s), f in first.items()], "_n long, _salt int, _first long, _places array<array<long>>"
+        [(n, [first.get((n, s), 0) for s in range(salts[n])], [list(p) for p in places[n]]) for n in counts], "_n long, _first array<long>, _places array<array<long>>"
     )
     ranked = base.withColumn("_r", F.row_number().over(Window.partitionBy("_n", "_salt").orderBy(*order_cols)))
     placed = (
-        ranked.join(F.broadcast(slots), ["_n", "_salt"], "left")
-        .withColumn("_rank", F.col("_first") + F.col("_r") - 1)
+        ranked.join(F.broadcast(slots), "_n", "left")
+        .withColumn("_rank", F.col("_first")[F.col("_salt")] + F.col("_r") - 1)
         # the last shape whose first rank is not beyond this piece's
         .withColumn("_p", F.expr("element_at(filter(_places, p -> p[0] <= _rank), -1)"))
         .withColumn("_k", F.col("_rank") - F.col("_p")[0])

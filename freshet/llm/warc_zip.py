@@ -1,14 +1,15 @@
 """WARC records in ZIP packages: written by tasks, read back by range without extraction.
 
-A package holds ``archive/data.warc`` (records one after the other) and ``indexes/index.csv``
-(record id, offset, length), both stored uncompressed, so a record is a byte range of the
-package itself. The reader takes the end of the file, parses the end record, the ZIP64
+A package holds ``archive/data.warc.gz`` (records one after the other, each a gzip member of
+its own) and ``indexes/index.csv`` (record id, offset, length), both stored as they are, so a
+record is a byte range of the package itself. The reader takes the end of the file, parses the end record, the ZIP64
 locator and directory where there is one and the central directory, finds the stored
 members from their local headers and then reads only the ranges it needs.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import struct
@@ -32,7 +33,7 @@ _END = struct.Struct("<IHHHHIIH")
 _END64 = struct.Struct("<IQHHIIQQQQ")
 _LOCATOR64 = struct.Struct("<IIQI")
 _MAX16, _MAX32 = 0xFFFF, 0xFFFFFFFF
-DATA, INDEX = "archive/data.warc", "indexes/index.csv"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.csv"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A package is closed at about this many bytes, so a task holds no more than one.
 PACKAGE_BYTES = 64 << 20
@@ -231,10 +232,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, package
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 payload = html.encode()
-                raw = warc_record(
+                raw = gzip.compress(warc_record(
                     _ident(page), "response" if refers is None else "revisit", url, payload,
                     hashlib.sha1(payload).hexdigest(), None if refers is None else _ident(refers),
-                )
+                ), 6, mtime=0)
                 index.append(("" if page is None else page, data.tell(), len(raw)))
                 data.write(raw)
                 if data.tell() >= package_bytes:
@@ -291,7 +292,7 @@ def read_records(index: DataFrame, window: int = 4 << 20) -> DataFrame:
                     while j < len(rows) and rows[j][0] == uri and rows[j][1] == end and end + rows[j][2] - at <= window:
                         end, j = end + rows[j][2], j + 1
                     held, start = _range(f, at, end - at), at
-                fields, http, payload = parse_record(held[at - start : at - start + n])
+                fields, http, payload = parse_record(gzip.decompress(held[at - start : at - start + n]))
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 response = fields["warc-type"] == "response"
                 if response and hashlib.sha1(payload).hexdigest() != digest:

@@ -3,7 +3,7 @@
 White space is ASCII, so UTF-8 bytes can be split without decoding. A word's hash is a
 polynomial in its bytes (random byte values, odd base, modulo 2^64), read off prefix
 sums; runs of words are polynomials in well-mixed word hashes. Everything works on
-slices of at most a few megabytes, one document at least.
+slices of half a megabyte, one document at least.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = {1: 0x9E3779B97F4A7C15, 2: 0xC2B2AE3D27D4EB4F}
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 500_000
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:

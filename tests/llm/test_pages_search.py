@@ -22,7 +22,7 @@ def pages():
 
 def test_archives_round_trip(spark, tmp_path):
     rows = pages()
-    packages = warc_zip.write_archives(spark.createDataFrame(rows, PAGES).withColumn("payload", F.lit(1)).repartition(4), f"file://{tmp_path}/w", package_bytes=20_000)
+    packages = warc_zip.write_archives(spark.createDataFrame(rows, PAGES).withColumn("payload", F.lit(1)).repartition(4), f"file://{tmp_path}/w", package_bytes=5_000)
     assert packages.count() > 4
     got = {r["page_id"]: r for r in warc_zip.read_records(warc_zip.read_index(packages)).collect()}
     assert len(got) == len(rows)
