@@ -11,7 +11,7 @@ sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -220,9 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     At scale: equal sets fold into one class first (map-side combined). Trees carry ids
     and tokens only; a node of more than ``BLOCK`` documents is branched to the last level
     and then dealt into blocks that share pivots. Full sets are built once for the
-    documents of candidate clusters alone. A cluster beyond ``BLOCK`` is dealt likewise,
-    and every member outside the cluster's main component is then compared with all
-    its members, so no link between different components is lost. Nothing is collected.
+    documents of candidate clusters alone. A cluster beyond ``BLOCK`` is dealt likewise.
+    In a node or a cluster that was dealt, every member outside its main component is
+    then compared with all its members, part by part, so no link between different
+    components is lost; for a node of mutually unlike documents that is every pair.
+    Nothing is collected.
     """
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     kind = base.schema["_id"].dataType
@@ -233,9 +235,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     reps = materialise(full.join(classes.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).where("id = rep").select("id", "size", "path", "sketch").dropDuplicates(["id"]), "reps")
 
     # candidates: leaves compared by sketches, clusters of what may be linked
-    blocks = deal_blocks(_leaves(reps))
-    rows = blocks.join(reps.select("id", "size", F.col("sketch").alias("payload")), "id")
-    clusters = components(connect_blocks(rows, likely(percent), kind), kind)
+    leaves = _leaves(reps)
+    sketch = reps.select("id", "size", F.col("sketch").alias("payload"))
+    maybe = connect_blocks(deal_blocks(leaves).join(sketch, "id"), likely(percent), kind)
+    large = leaves.where(F.col("n") > BLOCK)
+    if large.limit(1).count():
+        maybe = materialise(maybe, "maybe")
+        maybe = maybe.union(_rest_against_all(large, sketch, maybe, kind, likely(percent)))
+    clusters = components(maybe, kind)
     sizes = materialise(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     members = materialise(
         clusters.join(sizes, "component").select("id", F.xxhash64("component").alias("grp"), "n"), "members"
@@ -259,7 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     large = members.where(F.col("n") > BLOCK)
     if large.limit(1).count():
-        edges = materialise(edges.union(_rest_against_all(large, payload, edges, kind, percent)), "links")
+        edges = materialise(edges.union(_rest_against_all(large, payload, edges, kind, confirmed(percent))), "links")
     found = components(edges, kind)
 
     label = materialise(
@@ -279,8 +286,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     )
 
 
-def _rest_against_all(large: DataFrame, payload: DataFrame, edges: DataFrame, kind: T.DataType, percent: int) -> DataFrame:
-    """Edges of the members outside the main component of a large cluster with all its members."""
+def _rest_against_all(large: DataFrame, payload: DataFrame, edges: DataFrame, kind: T.DataType, compare: Callable[[np.ndarray, list, np.ndarray], np.ndarray]) -> DataFrame:
+    """Edges of the members outside the main component of a large group (a leaf or a cluster) with all its members."""
     found = components(edges, kind)
     labelled = materialise(large.join(found, "id", "left").select("id", "grp", "n", F.coalesce("component", "id").alias("c")), "labelled")
     main = labelled.groupBy("grp", "c").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "c")).alias("x")).select("grp", F.col("x.c").alias("main"))
@@ -300,4 +307,4 @@ def _rest_against_all(large: DataFrame, payload: DataFrame, edges: DataFrame, ki
         large.join(counted, "grp").withColumn("_part", F.pmod(F.xxhash64("id", "grp"), parts).cast("int"))
         .withColumn("_of", F.explode(F.sequence(F.lit(0), chunks - 1))).select(block("_part", "_of"), "id")
     )
-    return connect_blocks(queries.union(against).join(payload, "id"), confirmed(percent), kind)
+    return connect_blocks(queries.union(against).join(payload, "id"), compare, kind)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.llm import chosen_path
 from freshet.llm.chosen_path import near_duplicates
 from freshet.llm.decision_list import STATISTICS, DecisionList, base_failed, judge, keep_good, learn_rules, statistics
 from freshet.llm.line_dedup import drop_repeated_lines
@@ -79,6 +80,21 @@ def test_near_duplicates_in_a_group_beyond_one_block(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == h.brute_components(rows, 2)
 
 
+def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch):
+    """All documents in one last-level node far beyond a block, most of them alike to nothing."""
+    rng = random.Random(8)
+    texts = [[f"u{rng.randrange(100)}" for _ in range(60)] for _ in range(600)]
+    for k in range(40):
+        texts.append([*texts[k * 10], f"v{k}"])
+    rows = [(i, " ".join(w), None, None, 0) for i, w in enumerate(texts)]
+    leaf = lambda reps: reps.select(F.lit(1).cast("long").alias("grp"), "id", F.lit(len(rows)).cast("long").alias("n"))
+    monkeypatch.setattr(chosen_path, "_leaves", leaf)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 2).collect()
+    want = h.brute_components(rows, 2)
+    assert sum(d != c for d, (_, c) in want.items()) == 40
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_statistics_equal_brute_force(docs, rows):
     got = {r["doc_id"]: tuple(r[c] for c in STATISTICS) for r in statistics(docs).collect()}
     assert got == {d: h.brute_statistics(t) for d, t, *_ in rows}
