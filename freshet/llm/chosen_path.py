@@ -2,7 +2,9 @@
 
 Every document is a set of word shingles. In each of several independent trees,
 documents branch by their minwise tokens: at every level a document goes to the child of
-the least (at the first levels: the two least) of its tokens under that level's hash.
+the least (at the first levels: the two least) of its tokens under that level's hash; below
+those levels a node that is still large is branched by several subtrees, so that recall
+doesn't fall with depth.
 Two sets of similarity s share the least token with probability s, so similar documents
 go down together. A node that is small enough is not branched further but compared
 exhaustively, by one-permutation sketches; what may be linked is then confirmed on full
@@ -23,16 +25,20 @@ from freshet.llm import wordhash as wh
 from freshet.llm.common import extras, materialise
 from freshet.llm.components import BLOCK, components, connect_blocks, deal_blocks
 
-#: Independent trees, and how many least tokens are followed at each level.
-#: At the threshold 0.8 a pair stays together in a node of level 3 with probability of about
-#: 0.94 in one tree, so five trees miss it with one in a million; closer pairs far more seldom.
-TREES, FOLLOWED = 5, (2, 2, 1, 1, 1)
-#: Levels that are branched before nodes are counted anew: the first two at once, the third, the last two.
-ROUNDS = ((0, 1), (2,), (3, 4))
+#: Independent trees, and how many least tokens are followed at each of their levels.
+#: At the threshold 0.8 a pair stays together over both levels with a probability of 0.953 in
+#: one tree, so five trees miss it with 2.4e-7; closer pairs far more seldom.
+TREES, FOLLOWED = 5, (2, 2)
+#: A node that is still large is branched by so many independent subtrees, one token a level.
+#: A pair at 0.8 stays together in one of six over all three levels with 0.987, so that five
+#: trees miss it with 2.4e-7 in leaves of level 3 and 8e-7 in those of level 5.
+SUBTREES, DEEPER = 6, 3
+#: Hash functions of a tree: its own levels, then those of its subtrees one after the other.
+_OF_TREE = (*FOLLOWED, *[1] * (SUBTREES * DEEPER))
 #: Bins of a sketch, and the share of equal ones from which full sets are compared; that is
 #: six standard deviations below a similarity of 0.8.
 BINS, MAYBE = 64, 0.5
-_MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, TREES * len(FOLLOWED) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, TREES * len(_OF_TREE) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column: pa.Array, a: int, b: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +64,11 @@ def shingle_sets(column: pa.Array, a: int, b: int, shingle: int) -> tuple[np.nda
 
 
 def _minwise(tokens: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Followed tokens of every (not empty) set, per tree and level: (sets, TREES * sum(FOLLOWED))."""
+    """Followed tokens of every (not empty) set, per tree and level: (sets, TREES * sum(_OF_TREE))."""
     out = []
     for t in range(TREES):
-        for k, n in enumerate(FOLLOWED):
-            m = _MULTIPLIERS[t * len(FOLLOWED) + k]
+        for k, n in enumerate(_OF_TREE):
+            m = _MULTIPLIERS[t * len(_OF_TREE) + k]
             value = (tokens ^ (m >> np.uint64(7))) * m
             least = np.minimum.reduceat(value, at)
             out.append(least)
@@ -160,7 +166,7 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = TREES * sum(FOLLOWED)
+        wide = TREES * sum(_OF_TREE)
         for batch in batches:
             column, ids = wh.fill(batch.column("text")), batch.column("id")
             for a, b in wh.slices(column):
@@ -187,20 +193,30 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _leaves(reps: DataFrame) -> DataFrame:
     """Branch the trees: grp (node), id and n for every leaf of two documents at least."""
-    wide = sum(FOLLOWED)
-    rows = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("path", t * wide + 1, F.lit(wide)))).alias("tree", "rest"))
-    rows = rows.select("id", F.xxhash64("tree").alias("grp"), "rest")
-    leaves = None
-    for levels in ROUNDS:
-        for level in levels:
-            n = FOLLOWED[level]
-            rows = rows.select("id", "grp", F.explode(F.array_distinct(F.slice("rest", 1, n))).alias("token"), F.slice("rest", n + 1, wide).alias("rest"))
-            rows = rows.select("id", F.xxhash64("grp", "token").alias("grp"), "rest")
+    wide = sum(_OF_TREE)
+
+    def counted(rows: DataFrame) -> DataFrame:
         sizes = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-        known = materialise(rows.join(sizes, "grp"), "branch")
-        leaf = (known if levels == ROUNDS[-1] else known.where(F.col("n") <= BLOCK)).select("grp", "id", "n")
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        rows = known.where(F.col("n") > BLOCK).select("id", "grp", "rest")
+        return materialise(rows.join(sizes, "grp"), "branch")
+
+    rows = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("path", t * wide + 1, F.lit(sum(FOLLOWED))))).alias("tree", "rest"))
+    rows = rows.select("id", "tree", F.xxhash64("tree").alias("grp"), "rest")
+    for n in FOLLOWED:
+        rows = rows.select("id", "tree", "grp", F.explode(F.array_distinct(F.slice("rest", 1, n))).alias("token"), F.slice("rest", n + 1, wide).alias("rest"))
+        rows = rows.select("id", "tree", F.xxhash64("grp", "token").alias("grp"), "rest")
+    known = counted(rows.drop("rest"))
+    leaves = known.where(F.col("n") <= BLOCK).select("grp", "id", "n")
+    large = known.where(F.col("n") > BLOCK).select("id", "tree", "grp")
+    if not large.limit(1).count():
+        return leaves
+    # the tokens of subtrees are fetched for large nodes alone
+    rows = large.join(reps.select("id", "path"), "id").select(
+        "id", "grp", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SUBTREES - 1)), lambda r: F.slice("path", F.col("tree") * wide + sum(FOLLOWED) + r * DEEPER + 1, F.lit(DEEPER)))).alias("sub", "rest")
+    )
+    known = counted(rows.select("id", F.xxhash64("grp", "sub", F.col("rest")[0]).alias("grp"), F.slice("rest", 2, DEEPER).alias("rest")))
+    leaves = leaves.union(known.where(F.col("n") <= BLOCK).select("grp", "id", "n"))
+    known = counted(known.where(F.col("n") > BLOCK).select("id", F.xxhash64("grp", "rest").alias("grp")))
+    leaves = leaves.union(known.select("grp", "id", "n"))
     return leaves
 
 

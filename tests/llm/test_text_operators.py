@@ -95,6 +95,23 @@ def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_pairs_meet_in_leaves_of_the_last_level(spark, monkeypatch):
+    """Pairs at 0.8, every node taken for large: fewer than one in a million may be lost, not one in 28."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(1000):
+        w = [f"p{k}x{i}" for i in range(91)]
+        rows.append((2 * k, " ".join(w), None, None, 0))
+        for at in range(5):
+            w[at * 18 + rng.randrange(1, 17)] = f"q{k}x{at}"
+        rows.append((2 * k + 1, " ".join(w), None, None, 0))
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), "text").repartition(4)
+    monkeypatch.setattr(chosen_path, "BLOCK", 1)
+    met = chosen_path._leaves(chosen_path._describe(docs, 2)).groupBy("grp").agg(F.collect_set("id").alias("ids"))
+    pairs = {tuple(sorted(r["ids"])) for r in met.collect()}
+    assert len([k for k in range(1000) if (2 * k, 2 * k + 1) in pairs]) == 1000
+
+
 def test_statistics_equal_brute_force(docs, rows):
     got = {r["doc_id"]: tuple(r[c] for c in STATISTICS) for r in statistics(docs).collect()}
     assert got == {d: h.brute_statistics(t) for d, t, *_ in rows}
