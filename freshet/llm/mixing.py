@@ -112,7 +112,7 @@ def mix_sources(
     those names in ``docs`` are replaced. The choice is a function of ``seed``, id and
     size alone, so reruns and other partitionings agree.
 
-    Edge cases: a null text has size 0; a document without sources is never taken.
+    Edge cases: a null text has size 0; a source of such documents alone has target 0; a document without sources is never taken.
     Rows that repeat an id are documents of their own with one place in the seeded
     order. An empty table gives an empty table.
 
@@ -189,7 +189,7 @@ def mix_sources(
     )
     decided = (
         sized.withColumn("_u", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_size"))).withColumn("_bucket", F.pmod("_u", F.lit(BUCKETS)))
-        .join(plan, "_pattern").join(F.broadcast(cuts), "_pattern")
+        .join(plan, "_pattern").join(F.broadcast(cuts), "_pattern", "left")
         .withColumn("_more", (chosen | F.coalesce(F.col("_u") == F.col("_extra"), F.lit(False))) & (F.col("_rest") > 0))
         .withColumn("epochs", F.least(F.col("_whole") + F.col("_more").cast("int"), F.lit(max_epochs)))
     )

@@ -106,3 +106,12 @@ def test_mix_odd_tables(spark):
     assert both[0] == pytest.approx(both[1], rel=0.2)
     with pytest.raises(ValueError):
         mixing.mix_sources(df, F.array("source"), max_patterns=2)
+
+
+def test_mix_keeps_sources_of_empty_texts(spark):
+    rows = [(1, "a b c", None, "a", 0), (2, "d", None, "a", 0), (3, None, None, "b", 0), (4, " \n ", None, "b", 0), (5, "", None, None, 0)]
+    df = spark.createDataFrame(rows, h.SCHEMA)
+    out = mixing.mix_sources(df, F.array("source")).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 4, 5]
+    assert {(r["source_size"], r["target"], r["taken"]) for r in out if r["source"] != "a"} == {(0, 0.0, 0)}
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(df.where("doc_id > 2"), F.array("source")).collect()} == {3: 0, 4: 0, 5: 0}
