@@ -90,6 +90,72 @@ def route(capacity: dict[str, int], members: dict[str, list], quota: dict, epoch
     return flows
 
 
+#: Documents up to size ``upto`` are used as far as row ``last`` of bucket ``cut``.
+_CUTS = "array<struct<upto:long,cut:long,last:long>>"
+
+
+def _chosen() -> Column:
+    """Whether one of a pattern's ``_cuts`` takes a document."""
+    return F.exists("_cuts", lambda c: (F.col("_size") <= c["upto"]) & ((F.col("_bucket") < c["cut"]) | F.coalesce((F.col("_bucket") == c["cut"]) & (F.col("_u") <= c["last"]), F.lit(False))))
+
+
+def _fill(slim: DataFrame, still: dict[str, int]) -> tuple[dict[str, list], dict[str, int]]:
+    """Cuts of every pattern, and the ``_u`` of one more document, that fill what is ``still`` open.
+
+    A round goes through the unused documents of at most half of what is open, in seeded
+    order. It uses all of them or more than half of what is open, so rounds follow the
+    logarithm of that. Then only one of the unused can fit: the one of the nearest size
+    is added if it brings the sum nearer.
+    """
+    spark, still = slim.sparkSession, dict(still)
+    cuts: dict[str, list] = {p: [] for p in still}
+    extra: dict[str, int] = {}
+
+    def unused() -> DataFrame:
+        state = spark.createDataFrame([(p, n, cuts[p]) for p, n in still.items()], f"_pattern string, _open long, _cuts {_CUTS}")
+        return slim.join(F.broadcast(state), "_pattern").where(~_chosen())
+
+    by_bucket = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    by_row = Window.partitionBy("_pattern").orderBy("_u", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    by_place = Window.partitionBy("_pattern").orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)
+    while still:
+        fits = unused().where(2 * F.col("_size") <= F.col("_open"))
+        over = F.col("_upto") > F.col("_open")
+        found = (
+            fits.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_n"), F.first("_open").alias("_open"))
+            .withColumn("_upto", F.sum("_n").over(by_bucket))
+            .groupBy("_pattern").agg(F.min(F.when(over, F.col("_bucket"))).alias("cut"), F.coalesce(F.max(F.when(~over, F.col("_upto"))), F.lit(0)).alias("before"))
+            .collect()
+        )
+        at = spark.createDataFrame([(r["_pattern"], r["cut"], still[r["_pattern"]] - r["before"]) for r in found if r["cut"] is not None], "_pattern string, _cut long, _left long")
+        ends = (
+            fits.join(F.broadcast(at), "_pattern").where(F.col("_bucket") == F.col("_cut"))
+            .withColumn("_run", F.sum("_size").over(by_row)).withColumn("_all", F.sum("_size").over(by_place))
+            .where(F.col("_run") <= F.col("_left")).groupBy("_pattern").agg(F.max("_u").alias("last"), F.max("_all").alias("filled"))
+        )
+        ends = {r["_pattern"]: r for r in ends.collect()} if any(r["cut"] is not None for r in found) else {}
+        for r in found:
+            p, end = r["_pattern"], ends.get(r["_pattern"])
+            cuts[p].append((still[p] // 2, BUCKETS if r["cut"] is None else r["cut"], end["last"] if end else None))
+            still[p] -= r["before"] + (end["filled"] if end else 0)
+        still = {p: n for p, n in still.items() if n > 0}
+        if not still:
+            break
+        gap = F.abs(F.col("_size") - F.col("_open"))
+        left = unused().groupBy("_pattern").agg(
+            F.min(F.when(gap < F.col("_open"), F.struct(gap.alias("gap"), F.col("_u").alias("u")))).alias("x"),
+            F.max((F.col("_size") > 0) & (2 * F.col("_size") <= F.col("_open"))).alias("more"),
+        )
+        left = {r["_pattern"]: r for r in left.collect()}
+        for p in list(still):
+            r = left.get(p)
+            if r is None or not r["more"] or r["x"]["gap"] == 0:
+                if r is not None and r["x"] is not None:
+                    extra[p] = r["x"]["u"]
+                del still[p]
+    return cuts, extra
+
+
 def mix_sources(
     docs: DataFrame,
     sources: Column,
@@ -120,7 +186,8 @@ def mix_sources(
     ``max_patterns``, an error beyond it) and solves the flow on those. Documents are
     chosen by their seeded bucket: a histogram of ``BUCKETS`` sums a pattern, summed
     map-side, gives the bucket in which a quota ends, and only the documents of that
-    one bucket are ranked. A hot source is spread over all its buckets.
+    one bucket are ranked. A hot source is spread over all its buckets. Documents too long
+    for what is open are passed over, and the cut is repeated on what remains.
     """
     spark = docs.sparkSession
     own = ["size", "source_size", "target", "epochs", "taken"]
@@ -149,48 +216,23 @@ def mix_sources(
     target = dict(zip(order, goal, strict=True))
     flows = route(capacity, members, {s: round(t) for s, t in target.items()}, max_epochs)
 
+    whole, still = {}, {}
+    for p in members:
+        whole[p], rest = divmod(sum(flows.get(p, {}).values()), capacity[p]) if capacity[p] else (0, 0)
+        if rest:
+            still[p] = rest
+    cuts, extra = _fill(slim, still)
+
     rows = []
     for p, names in members.items():
-        routed = sum(flows.get(p, {}).values())
-        whole, rest = divmod(routed, capacity[p]) if capacity[p] else (0, 0)
         first = names[0] if names else None
-        rows.append((p, int(whole), int(rest), by_source[first] if names else 0, float(target[first]) if names else 0.0))
+        rows.append((p, int(whole[p]), by_source[first] if names else 0, float(target[first]) if names else 0.0, cuts.get(p, []), extra.get(p)))
     # One row a pattern, at most max_patterns: small by the check above.
-    plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, _whole int, _rest long, source_size long, target double"))
-
-    by_bucket = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        slim.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(by_bucket))
-        .join(plan, "_pattern").where(F.col("_upto") > F.col("_rest"))
-        .groupBy("_pattern").agg(F.min("_bucket").alias("_cut"), F.first("_rest").alias("_rest"), F.min(F.struct("_bucket", (F.col("_upto") - F.col("_n")).alias("d"))).alias("_before"))
-        .select("_pattern", "_cut", (F.col("_rest") - F.col("_before.d")).alias("_open"))
-    )
-    cuts = spark.createDataFrame(cuts.collect(), "_pattern string, _cut long, _open long")  # a row a pattern
-    ranked = (
-        slim.join(F.broadcast(cuts), "_pattern").where(F.col("_bucket") == F.col("_cut"))
-        .withColumn("_run", F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_u", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    ends = ranked.where(F.col("_run") <= F.col("_open")).groupBy("_pattern").agg(F.max(F.struct("_u", "_run")).alias("_e")).select("_pattern", F.col("_e._u").alias("_last"), F.col("_e._run").alias("_filled"))
-    cuts = cuts.join(ends, "_pattern", "left").select(
-        "_pattern", "_cut", F.col("_last"), (F.col("_open") - F.coalesce("_filled", F.lit(0))).alias("_short")
-    )
-    cuts = spark.createDataFrame(cuts.collect(), "_pattern string, _cut long, _last long, _short long")
-    chosen = (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & (F.col("_u") <= F.col("_last")))
-    chosen = F.coalesce(chosen, F.lit(False))
-    # One more document, of the size nearest to what is still open, if it brings the sum nearer.
-    nearest = (
-        slim.join(F.broadcast(cuts), "_pattern").where(~chosen & (F.abs(F.col("_size") - F.col("_short")) < F.col("_short")))
-        .groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_short")).alias("gap"), F.col("_u").alias("u"))).alias("_x"))
-        .select("_pattern", F.col("_x.u").alias("_extra"))
-    )
-    cuts = spark.createDataFrame(
-        cuts.join(nearest, "_pattern", "left").collect(), "_pattern string, _cut long, _last long, _short long, _extra long"
-    )
+    plan = F.broadcast(spark.createDataFrame(rows, f"_pattern string, _whole int, source_size long, target double, _cuts {_CUTS}, _extra long"))
     decided = (
         sized.withColumn("_u", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_size"))).withColumn("_bucket", F.pmod("_u", F.lit(BUCKETS)))
-        .join(plan, "_pattern").join(F.broadcast(cuts), "_pattern", "left")
-        .withColumn("_more", (chosen | F.coalesce(F.col("_u") == F.col("_extra"), F.lit(False))) & (F.col("_rest") > 0))
+        .join(plan, "_pattern")
+        .withColumn("_more", _chosen() | F.coalesce(F.col("_u") == F.col("_extra"), F.lit(False)))
         .withColumn("epochs", F.least(F.col("_whole") + F.col("_more").cast("int"), F.lit(max_epochs)))
     )
     return decided.select(

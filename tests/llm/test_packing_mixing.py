@@ -115,3 +115,27 @@ def test_mix_keeps_sources_of_empty_texts(spark):
     assert sorted(r["doc_id"] for r in out) == [1, 2, 3, 4, 5]
     assert {(r["source_size"], r["target"], r["taken"]) for r in out if r["source"] != "a"} == {(0, 0.0, 0)}
     assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(df.where("doc_id > 2"), F.array("source")).collect()} == {3: 0, 4: 0, 5: 0}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fill_goes_on_past_long_documents(spark, seed):
+    """What is left open is less than any unused document, wherever the long ones come in seeded order."""
+    rng = random.Random(seed)
+    sizes = {"a": [300] * 200 + [200_000], "b": [rng.choice([5, 700, 9_000, 40_000]) for _ in range(200)]}
+    quota = {"a": 80_000, "b": 123_456}
+    rows = [(p, i, n, rng.randrange(2**40)) for p in sizes for i, n in enumerate(sizes[p])]
+    slim = spark.createDataFrame(rows, "_pattern string, _id long, _size long, _u long").withColumn("_bucket", F.pmod("_u", F.lit(mixing.BUCKETS)))
+    cuts, extra = mixing._fill(slim, quota)
+    takes = lambda p, n, u: any(n <= m and (u % mixing.BUCKETS < c or (u % mixing.BUCKETS == c and last is not None and u <= last)) for m, c, last in cuts[p]) or u == extra.get(p)
+    for p in sizes:
+        taken = [n for q, _, n, u in rows if q == p and takes(p, n, u)]
+        unused = [n for q, _, n, u in rows if q == p and not takes(p, n, u)]
+        assert p != "a" or sum(taken) == 60_000
+        assert abs(quota[p] - sum(taken)) < min(unused)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_goes_on_past_a_very_long_document(spark, seed):
+    rows = [*[(i, None, None, "a", 300) for i in range(1000)], (1000, None, None, "a", 1_000_000), *[(2000 + i, None, None, "b", 700) for i in range(1000)]]
+    out = mixing.mix_sources(spark.createDataFrame(rows, h.SCHEMA), F.array("source"), weights=(1, 4), size=F.col("n_chars"), seed=seed)
+    assert {r["source"]: (r["target"], r["t"]) for r in out.groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()} == {"a": (400_000, 300_000), "b": (1_600_000, pytest.approx(1_600_000, abs=350))}
