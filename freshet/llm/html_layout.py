@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from freshet.llm.common import extras
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist select textarea".split())
+INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = SPACED | frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary tbody tfoot thead tr".split()
@@ -39,11 +40,19 @@ CLOSES = {
     "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
     "body": (("head",), ("html",)),
 }
 #: An open paragraph ends where one of these starts.
 ENDS_P = BLOCK - {"body", "html", "caption", "legend", "li", "dd", "dt", "tbody", "thead", "tfoot", "tr", "summary", "figcaption"}
 IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Where SVG or MathML begins, where HTML begins again inside, and what SVG never shows.
+FOREIGN, HTML_AGAIN = frozenset(("svg", "math")), frozenset(("foreignobject", "annotation-xml"))
+SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern marker style script".split())
+#: A start tag of these ends SVG and MathML.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -80,7 +89,19 @@ class TreeBuilder(HTMLParser):
         if found:
             self._pop(found)
 
+    def _foreign(self) -> str | None:
+        """svg or math, if the open element belongs to it."""
+        if not (self.open.get("svg") or self.open.get("math")):
+            return None
+        near = next(n.tag for n in reversed(self.stack) if n.tag in FOREIGN or n.tag in HTML_AGAIN)
+        return near if near in FOREIGN else None
+
     def handle_starttag(self, tag, attrs):
+        foreign = self._foreign()
+        if foreign and tag in BREAKS_OUT:
+            while self._foreign():
+                self._pop(len(self.stack) - 1)
+            foreign = None
         if tag == "html":
             self.root.attrs = {**dict(attrs), **self.root.attrs}
             return
@@ -91,13 +112,21 @@ class TreeBuilder(HTMLParser):
         if tag in ENDS_P and self.open.get("p"):
             self._close_nearest(("p",), ("td", "th", "button", "table", "caption"))
         node = Node(tag, dict(attrs))
+        if foreign == "svg" and tag in SVG_UNSEEN:
+            node.attrs["hidden"] = None
+        if foreign == "svg" and tag == "text":
+            self.stack[-1].children.append(" ")
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
             self.open[tag] = self.open.get(tag, 0) + 1
+        if tag == "textarea" and not foreign:
+            self.set_cdata_mode(tag)  # markup in it is text
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and (tag in FOREIGN or self._foreign()):
+            self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         if tag in VOID or tag in ("html", "body") or not self.open.get(tag):
@@ -112,12 +141,17 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if self.open.get("head") and self.stack[-1].tag == "head" and data.strip():
             self._close_nearest(("head",), ())
-        self.stack[-1].children.append(data)
+        if self._foreign() == "svg" and not self.open.get("text"):
+            return  # SVG shows the characters of its text elements alone
+        self.stack[-1].children.append(unescape(data) if self.stack[-1].tag == "textarea" else data)
 
 
 def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
+    if builder.cdata_elem == "textarea" and builder.rawdata:  # never closed: the rest of the page is its text
+        rest, builder.rawdata = builder.rawdata, ""
+        builder.handle_data(rest)
     builder.close()
     return builder.root
 
@@ -128,6 +162,29 @@ def visible(node: Node) -> bool:
     return not _HIDDEN.search(node.attrs.get("style") or "")
 
 
+def _shown_options(select: Node) -> list:
+    """What a list of options shows: all of a list box, else the chosen one or the first."""
+    options, work = [], list(reversed(select.children))
+    while work:
+        node = work.pop()
+        if isinstance(node, Node) and visible(node):
+            if node.tag == "option":
+                options.append(node)
+            else:
+                work.extend(reversed(node.children))
+    said = lambda o: [o.attrs["label"]] if o.attrs.get("label") else o.children
+    size = select.attrs.get("size") or "1"
+    if "multiple" in select.attrs or re.fullmatch(r"0*[1-9]\d+|0*[2-9]", size):
+        out = []
+        for o in options:
+            line = Node("div", {})
+            line.children = said(o)
+            out.append(line)
+        return out
+    chosen = [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1]
+    return [" ", *said(chosen[0]), " "] if chosen else []
+
+
 def _width(text: str) -> int:
     if text.isascii():
         return len(text)
@@ -245,7 +302,9 @@ def render(root: Node) -> str:
                 flow.prefix = mark
             elif tag in ("dd", "blockquote"):
                 indents.append(indents[-1] + "  ")
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
+                if flow.line and flow.space:
+                    flow.line.append(" ")
                 pre += 1
             elif tag == "table":
                 tables.append((flow, indents, lists, []))
@@ -256,7 +315,7 @@ def render(root: Node) -> str:
                 flows.append((flow, indents, lists))
                 flow, indents, lists = Flow(), [""], []
             work.append((node, True))
-            work.extend((c, False) for c in reversed(node.children))
+            work.extend((c, False) for c in reversed(_shown_options(node) if tag == "select" else node.children))
             continue
         if tag in ("td", "th") and tables:
             lines = flow.result()
@@ -277,7 +336,7 @@ def render(root: Node) -> str:
         elif tag in ("li", "dd", "blockquote") and len(indents) > 1:
             indents.pop()
             flow.prefix = "" if tag == "li" else flow.prefix
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             pre -= 1
         if tag in SPACED and not (tag in ("ul", "ol") and lists):
             flow.apart()

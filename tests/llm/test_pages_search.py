@@ -90,6 +90,19 @@ def test_layout(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<body>a <svg width=1 /> b <math/> c<p>d", "a b c\n\nd"), ("<svg><path d='M0'/><g/>x<text>one</text><text>two<tspan/> three<desc>no</desc></text></svg> z", "one two three z"),
+    ("<svg><title>t</title><desc>d</desc><style>s{}</style><defs><text>no</text></defs><text>yes</text></svg>", "yes"), ("<svg><foreignObject><div>in</div></foreignObject></svg>out", "in\nout"),
+    ("<svg><text>a<p>b", "a\n\nb"), ("x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> z", "x y=2 z"),
+    ("a <textarea>b\n  c</textarea> d", "a b\n  c d"), ("is <select><option>x<option selected>y<option>z</select>.", "is y ."),
+    ("<select><option disabled>x<optgroup label=g><option>y</optgroup></select>", "y"), ("<select multiple><option>x<option label=w>y</select>z", "x\nw\nz"), ("<div/>a", "a"),
+    ("<textarea>a &lt; <b>x</b></textarea> y", "a < <b>x</b> y"), ("<p>q<textarea>open <i>end", "qopen <i>end"),
+    ("<select><option></select>a", "a"), ("<datalist><option>x</datalist>a", "a"),
+])
+def test_layout_of_foreign_and_form_elements(html, want):
+    assert text(html) == want
+
+
 def test_deep_and_long_markup():
     assert text("<div>" * 20_000 + "x") == "x"
     assert len(text("<p>word" * 20_000).split()) == 20_000
