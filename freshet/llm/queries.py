@@ -35,11 +35,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from freshet.llm.warc_zip import archive_folder, read_index, read_records, write_archives
+    from freshet.llm.warc_zip import archive_folder, read_index, read_records, spread_index, write_archives
 
     packages = write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), archive_folder(spark), min_bytes=1000)
-    # Records are spread evenly over tasks, whatever package they are in.
-    records = read_records(read_index(packages).repartition("package", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("package", "offset"))
+    records = read_records(spread_index(read_index(packages), packages))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

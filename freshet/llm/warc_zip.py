@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm.common import materialise, scratch_root
@@ -37,6 +37,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.csv"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A package is closed at about this many bytes, so a task holds no more than one.
 PACKAGE_BYTES = 64 << 20
+#: Reading: archive bytes a task, records whose index lines a task takes, bytes that stay together.
+TASK_BYTES, INDEX_RECORDS, STRETCH = 32 << 20, 1_000_000, 1 << 20
 
 
 class ZipFormatError(ValueError):
@@ -183,39 +185,58 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, _fields(http), payload
 
 
-def _ident(page_id) -> str:
-    return f"urn:page:{page_id}"
+def _ident(page_id, digest: str) -> str:
+    """A record's id: rows that repeat a page id with other payloads have ids of their own."""
+    return f"urn:page:{page_id}:{digest}"
+
+
+def _page_of(ident: str | None) -> int | None:
+    part = "None" if ident is None else ident.split(":")[2]
+    return None if part == "None" else int(part)
+
+
+def _digest(min_bytes: int) -> Column:
+    """SHA-1 of the payload ``html`` where it has ``min_bytes`` at least; null for others, and
+    for a row of null id."""
+    raw = F.col("html").cast("binary")
+    return F.when(F.col("page_id").isNotNull() & (F.octet_length(raw) >= min_bytes), F.unhex(F.sha1(raw)))
 
 
 def plan_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """page_id, refers_to of the pages that repeat a payload of ``min_bytes`` at least: the
-    page of the largest id with that payload is the response. A page of null id is never
-    part of it.
+    """page_id, digest, refers_to of the payloads of ``min_bytes`` at least that stand under
+    a larger page_id too: the page of the largest id is the response, rows under any other
+    id are revisits of it. A page of null id is never part of it. One row for each page_id
+    and digest, however often such rows repeat.
 
-    Digests with two pages or more are written and joined back by a plain shuffle join,
+    Digests with two rows or more are written and joined back by a plain shuffle join,
     which adaptive execution splits on a hot payload; no payload is shuffled.
     """
-    slim = materialise(
-        pages.where(F.col("page_id").isNotNull()).select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b"))
-        .where(F.octet_length("b") >= min_bytes).select("page_id", F.unhex(F.sha1("b")).alias("d")), "digests")
-    held = slim.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("d", "refers_to")
+    slim = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).select("page_id", _digest(min_bytes).alias("digest"))
+    slim = materialise(slim.where(F.col("digest").isNotNull()), "digests")
+    held = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
     held = materialise(held, "repeated")
-    return slim.join(held, "d").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return slim.join(held, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write a record for every row of ``pages`` (page_id, url, html) into ZIP packages under
-    ``folder``, a location all executors share; returns package, records (one row a package).
+    ``folder``, a location all executors share; returns package, records, bytes (one row a
+    package).
 
     A null html is an empty payload, a null url an empty target; a row of null id is
-    written as a response without an id. Rows that repeat an id are records of their own.
+    written as a response without an id. Rows that repeat an id are records of their own,
+    each judged by its own payload: rows of the largest id that holds a payload are all
+    responses, and so is a row of an id whose other rows are revisits.
     Columns beyond the three are ignored. A task that is run again writes packages of new
     names, and only those of the run that counted are returned, so a lost executor or a
     second attempt leaves nothing double.
     """
     fields = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    revisits = plan_revisits(pages, min_bytes).withColumnRenamed("page_id", "_rid")
-    rows = fields.join(revisits, F.col("page_id") == F.col("_rid"), "left").drop("_rid")
+    revisits = plan_revisits(pages, min_bytes).withColumnsRenamed({"page_id": "_rid", "digest": "_rd"})
+    # Rows without a digest match nothing, and their ids keep them from piling up under one key.
+    rows = fields.withColumn("_d", _digest(min_bytes)).join(
+        revisits, (F.col("page_id") == F.col("_rid")) & (F.coalesce("_d", F.lit(b"")) == F.col("_rd")), "left"
+    ).select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, index = io.BytesIO(), []
@@ -225,16 +246,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, package
             lines = "".join(f"{i},{a},{n}\n" for i, a, n in index).encode()
             with _file(uri, write=True) as out:
                 write_package(out, [(DATA, data.getvalue()), (INDEX, lines)])
-            done = pa.RecordBatch.from_pydict({"package": [uri], "records": pa.array([len(index)], pa.int64())})
+            done = pa.RecordBatch.from_pydict({"package": [uri], "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([data.tell()], pa.int64())})
             data.seek(0), data.truncate(), index.clear()
             return done
 
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 payload = html.encode()
+                digest = hashlib.sha1(payload).hexdigest()
                 raw = gzip.compress(warc_record(
-                    _ident(page), "response" if refers is None else "revisit", url, payload,
-                    hashlib.sha1(payload).hexdigest(), None if refers is None else _ident(refers),
+                    _ident(page, digest), "response" if refers is None else "revisit", url, payload,
+                    digest, None if refers is None else _ident(refers, digest),
                 ), 6, mtime=0)
                 index.append(("" if page is None else page, data.tell(), len(raw)))
                 data.write(raw)
@@ -243,11 +265,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, package
         if index:
             yield close()
 
-    return materialise(rows.mapInArrow(write, "package string, records long"), "packages")
+    return materialise(rows.mapInArrow(write, "package string, records long, bytes long"), "packages")
 
 
 def read_index(packages: DataFrame) -> DataFrame:
-    """package, page_id, offset, length of every record, from the packages' own indexes."""
+    """package, page_id, offset, length of every record, from the packages' own indexes, so
+    many packages a task as hold about ``INDEX_RECORDS`` records."""
+    n = packages.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +288,19 @@ def read_index(packages: DataFrame) -> DataFrame:
                     "offset": pa.array([base + int(r[1]) for r in rows], pa.int64()), "length": pa.array([int(r[2]) for r in rows], pa.int64()),
                 })
 
-    return packages.select("package").mapInArrow(read, "package string, page_id long, offset long, length long")
+    spread = packages.select("package").repartition(max(1, -(-n // INDEX_RECORDS)), "package")
+    return spread.mapInArrow(read, "package string, page_id long, offset long, length long")
+
+
+def spread_index(index: DataFrame, packages: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records of an index dealt evenly over tasks of about ``task_bytes`` of archive each
+    (as many as the session runs at once, at least), whatever package they are in. Stretches of
+    a package stay together and in order, so that ranges which follow each other are read
+    at once."""
+    total = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(packages.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    stretch = F.floor(F.col("offset") / STRETCH)
+    return index.repartition(tasks, "package", stretch).sortWithinPartitions("package", "offset")
 
 
 def read_records(index: DataFrame, window: int = 4 << 20) -> DataFrame:
@@ -297,11 +333,10 @@ def read_records(index: DataFrame, window: int = 4 << 20) -> DataFrame:
                 response = fields["warc-type"] == "response"
                 if response and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"a payload in {uri} doesn't have its digest")
-                number = lambda x: None if x is None or x.endswith(":None>") else int(x[len("<urn:page:") : -1])
-                out["page_id"].append(number(fields["warc-record-id"]))
+                out["page_id"].append(_page_of(fields["warc-record-id"]))
                 out["record_type"].append(fields["warc-type"])
                 out["target_uri"].append(fields["warc-target-uri"])
-                out["refers_to"].append(number(fields.get("warc-refers-to")))
+                out["refers_to"].append(_page_of(fields.get("warc-refers-to")))
                 out["payload_bytes"].append(int(http["content-length"]))
                 out["payload_digest"].append(digest)
                 out["payload"].append(payload if response else None)

@@ -46,6 +46,34 @@ def test_archives_of_odd_tables(spark, tmp_path):
     assert warc_zip.read_index(warc_zip.write_archives(df.limit(0), f"file://{tmp_path}/b")).count() == 0
 
 
+def test_archives_of_repeated_ids(spark, tmp_path):
+    """Ids that repeat with equal and other payloads, the holder's too, and null ids: by rows."""
+    rng = random.Random(6)
+    big = [c * 1500 for c in "ABCD"]
+    rows = [(rng.choice([1, 2, 3, 5, 7, 9, None]), "u", rng.choice([*big, "x", "y", None])) for _ in range(120)]
+    rows += [(1, "u", "only" * 400), (1, "u", big[0]), (9, "u", big[0]), (9, "u", big[0])]
+    packages = warc_zip.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), f"file://{tmp_path}/r")
+    want = []
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        last = max((i for i, _, t in rows if i is not None and t == html), default=None)
+        refers = last if page is not None and len(payload) >= 1000 and page != last else None
+        want.append((page, len(payload), hashlib.sha1(payload).hexdigest(), "response" if refers is None else "revisit", refers))
+    got = warc_zip.read_records(warc_zip.read_index(packages)).collect()
+    assert sorted(map(str, ((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got))) == sorted(map(str, want))
+    held = {r["payload_digest"] for r in got if r["record_type"] == "response"}
+    assert held == {r["payload_digest"] for r in got}  # every payload is in an archive
+
+
+def test_records_are_read_by_many_tasks(spark, tmp_path):
+    packages = warc_zip.write_archives(spark.createDataFrame(pages(), PAGES).repartition(4), f"file://{tmp_path}/t", package_bytes=5_000)
+    index = warc_zip.spread_index(warc_zip.read_index(packages), packages, task_bytes=4_000)
+    used = {r["p"] for r in index.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert packages.count() > 4 and len(used) > 4
+    got = warc_zip.read_records(index).select("page_id").collect()
+    assert sorted(r["page_id"] for r in got) == sorted(p[0] for p in pages())
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_directory(wide):
     out = io.BytesIO()
