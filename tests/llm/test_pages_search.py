@@ -190,23 +190,23 @@ def test_addresses():
     assert language_id.address("http://10.0.0.1/x")[2] == "" and language_id.address("no address") == ("", "", "")
 
 
-def brute_top(vectors, k=20):
+def brute_top(vectors, k=20, of=20):
     out = []
     for q, v in vectors:
-        if q % 20 == 0:
+        if q % of == 0:
             best = sorted((-int(np.dot(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,block", [(2048, 256), (50, 3), (7, 1)])
-def test_top_k_equals_brute_force(spark, shard, block):
+@pytest.mark.parametrize("shard,group", [(8192, 4096), (20, 3)])
+def test_top_k_equals_brute_force(spark, shard, group):
     rng = np.random.default_rng(1)
     raw = [(i, [float(x) for x in rng.normal(0, 0.2, 8 if i % 9 else 5)]) for i in range(300)]
     raw += [(300 + i, raw[1][1]) for i in range(60)]  # one vector many times: ties
     raw += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1020, []), (None, raw[2][1])]
     df = ball_tree.quantise(spark.createDataFrame(raw, "vec_id long, embedding array<double>"))
-    got = ball_tree.top_k(df, F.col("id") % 20 == 0, 20, shard, block).collect()
+    got = ball_tree.top_k(df, F.col("id") % 20 == 0, 20, shard, group).collect()
     exact = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in raw if i is not None and i < 1000]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top(exact)
 
@@ -217,6 +217,25 @@ def test_top_k_of_odd_tables(spark):
     few = spark.createDataFrame([(20, [1, 2]), (3, [3, 4]), (3, [3, 4]), (20, [1, 2])], "id long, v array<long>")
     assert sorted(tuple(r) for r in ball_tree.top_k(few, F.col("id") % 20 == 0, 5).collect()) == [(20, 1, 3, 11), (20, 2, 3, 11)]
     assert ball_tree.top_k(few, F.col("id") == 99, 5).count() == 0
+    twice = spark.createDataFrame([(20, [5, 5]), (20, [1, 2]), (20, [9]), (3, [3, 4]), (4, [2])], "id long, v array<long>").repartition(3)
+    for df in (twice, twice.orderBy("v")):  # a repeated query id: the shortest vector, then the least
+        assert [tuple(r) for r in ball_tree.top_k(df, F.col("id") % 20 == 0, 5).collect()] == [(20, 1, 4, 18)]
+    alike = spark.createDataFrame([(20, [1, 2]), *[(7, [3, 4])] * 200], "id long, v array<long>")
+    assert ball_tree.top_k(alike, F.col("id") % 20 == 0, 300, 10, 2).count() == 200
+
+
+def test_cells_are_pruned(spark):
+    """Clustered vectors: few are scored, whatever the table's size, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2000, 8000):
+        centres = rng.normal(0, 1000, (40, 16))
+        x = (centres[np.arange(n) % 40] + rng.normal(0, 10, (n, 16))).astype(np.int64)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>")
+        best, waves = ball_tree._top_k(df, F.col("id") % 100 == 0, 20, 100, 4096)
+        assert sorted(tuple(r) for r in best.collect()) == [r for r in brute_top(list(enumerate(x)), of=100)]
+        shares.append(sum(w.agg(F.sum("scored")).first()[0] or 0 for w in waves) / (n / 100 * n))
+    assert max(shares) < 0.2
 
 
 def test_tree_prunes_what_cannot_matter():
