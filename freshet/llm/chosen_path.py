@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.llm import wordhash as wh
-from freshet.llm.common import extras, materialise
+from freshet.llm.common import discard, extras, materialise
 from freshet.llm.components import BLOCK, components, connect_blocks, deal_blocks
 
 #: Independent trees, and how many least tokens are followed at each of their levels.
@@ -35,9 +35,14 @@ TREES, FOLLOWED = 5, (2, 2)
 SUBTREES, DEEPER = 6, 3
 #: Hash functions of a tree: its own levels, then those of its subtrees one after the other.
 _OF_TREE = (*FOLLOWED, *[1] * (SUBTREES * DEEPER))
-#: Bins of a sketch, and the share of equal ones from which full sets are compared; that is
-#: six standard deviations below a similarity of 0.8.
-BINS, MAYBE = 64, 0.5
+#: Bins of a sketch (a power of two), and the share of equal ones from which full sets are
+#: compared; that is six standard deviations below a similarity of 0.8.
+BINS, MAYBE = 128, 0.58
+#: Documents outside the main component of a large group that are compared with all of it; with
+#: more of them, the group's members meet by their rarest tokens.
+FEW = 1024
+#: Buckets in which the tokens of such members are counted: a bound of what goes through the driver.
+COUNTED = 1 << 20
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, TREES * len(_OF_TREE) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -83,7 +88,8 @@ def _sketches(tokens: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """One-permutation sketches: the least token of each bin as a byte from 1 to 255, 0 for an empty bin."""
     value = tokens * _MULTIPLIERS[-1]
     least = np.full(n * BINS, np.uint64(2**64 - 1))
-    np.minimum.at(least, row * BINS + (value >> np.uint64(58)).astype(np.int64), value << np.uint64(6))
+    bits = BINS.bit_length() - 1
+    np.minimum.at(least, row * BINS + (value >> np.uint64(64 - bits)).astype(np.int64), value << np.uint64(bits))
     code = (wh.mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     code[least == np.uint64(2**64 - 1)] = 0
     return code.reshape(n, BINS)
@@ -237,10 +243,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     and tokens only; a node of more than ``BLOCK`` documents is branched to the last level
     and then dealt into blocks that share pivots. Full sets are built once for the
     documents of candidate clusters alone. A cluster beyond ``BLOCK`` is dealt likewise.
-    In a node or a cluster that was dealt, every member outside its main component is
-    then compared with all its members, part by part, so no link between different
-    components is lost; for a node of mutually unlike documents that is every pair.
-    Nothing is collected.
+    In a node or a cluster that was dealt, members outside its main component are then
+    compared with all its members, part by part, if they are ``FEW``. If they are more (pages
+    of one template, say, alike to few others), the members join on full sets by an exact
+    prefix filter: only documents that share one of their rarest tokens meet. Either way no link
+    between different components is lost, and nothing is collected.
     """
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     kind = base.schema["_id"].dataType
@@ -251,18 +258,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     reps = materialise(full.join(classes.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).where("id = rep").select("id", "size", "path", "sketch").dropDuplicates(["id"]), "reps")
 
     # candidates: leaves compared by sketches, clusters of what may be linked
-    leaves = _leaves(reps)
+    leaves = materialise(_leaves(reps), "leaves")
     sketch = reps.select("id", "size", F.col("sketch").alias("payload"))
-    maybe = connect_blocks(deal_blocks(leaves).join(sketch, "id"), likely(percent), kind)
-    large = leaves.where(F.col("n") > BLOCK)
-    if large.limit(1).count():
-        maybe = materialise(maybe, "maybe")
-        maybe = maybe.union(_rest_against_all(large, sketch, maybe, kind, likely(percent)))
+    maybe = materialise(connect_blocks(deal_blocks(leaves).join(sketch, "id"), likely(percent), kind), "maybe")
+    maybe, hard = _complete(leaves, sketch, maybe, kind, likely(percent))
     clusters = components(maybe, kind)
     sizes = materialise(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    members = materialise(
-        clusters.join(sizes, "component").select("id", F.xxhash64("component").alias("grp"), "n"), "members"
-    )
+    members = materialise(clusters.join(sizes, "component").select("id", F.xxhash64("component").alias("grp"), "n"), "members")
+    wanted = members.select("id") if hard is None else members.select("id").union(hard.select("id")).distinct()
 
     # confirmation on full sets, each built once
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +273,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             column = wh.fill(batch.column("text"))
             for a, b in wh.slices(column):
                 tokens, first = shingle_sets(column, a, b, shingle)
-                part = batch.slice(a, b - a)
                 sets = [tokens[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grp"), part.column("n"), pa.array(np.diff(first), pa.int64()), pa.array(sets, pa.binary())], names=["id", "grp", "n", "size", "payload"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(sets, pa.binary())], names=["id", "size", "payload"])
 
-    schema = T.StructType([T.StructField("id", kind), T.StructField("grp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
     # members grow with the data: a merge join at every size
-    sets = materialise(texts.join(members.hint("merge"), "id").select("id", "text", "grp", "n").mapInArrow(build, schema), "full")
-    payload = sets.select("id", "size", "payload")
+    payload = materialise(texts.join(wanted.hint("merge"), "id").select("id", "text").mapInArrow(build, schema), "full")
     edges = materialise(connect_blocks(deal_blocks(members).join(payload, "id"), confirmed(percent), kind), "links")
-
-    large = members.where(F.col("n") > BLOCK)
-    if large.limit(1).count():
-        edges = materialise(edges.union(_rest_against_all(large, payload, edges, kind, confirmed(percent))), "links")
+    edges, more = _complete(members, payload, edges, kind, confirmed(percent))
+    for found in (hard, more):
+        if found is not None:
+            edges = edges.union(_meet_by_rare_tokens(found, payload, kind, percent))
     found = components(edges, kind)
 
     label = materialise(
@@ -302,25 +303,90 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     )
 
 
-def _rest_against_all(large: DataFrame, payload: DataFrame, edges: DataFrame, kind: T.DataType, compare: Callable[[np.ndarray, list, np.ndarray], np.ndarray]) -> DataFrame:
-    """Edges of the members outside the main component of a large group (a leaf or a cluster) with all its members."""
+def _complete(
+    groups: DataFrame, payload: DataFrame, edges: DataFrame, kind: T.DataType, compare: Callable[[np.ndarray, list, np.ndarray], np.ndarray], few: int | None = FEW,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Complete the edges of groups (leaves or clusters: grp, id, n) beyond BLOCK, which were
+    dealt: members outside the main component of a group are compared with all its members. Groups of
+    more such members than ``few`` are left to the caller: the second result has their
+    ids, with ``out`` for those outside; it is None if there are none."""
+    large = groups.where(F.col("n") > BLOCK).select("grp", "id", "n")
+    if not large.limit(1).count():
+        return edges, None
     found = components(edges, kind)
     labelled = materialise(large.join(found, "id", "left").select("id", "grp", "n", F.coalesce("component", "id").alias("c")), "labelled")
     main = labelled.groupBy("grp", "c").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "c")).alias("x")).select("grp", F.col("x.c").alias("main"))
-    main = materialise(main, "main")
+    marked = materialise(labelled.join(main, "grp").withColumn("out", F.col("c") != F.col("main")), "marked")
+    counted = materialise(marked.where("out").groupBy("grp").agg(F.count("*").alias("r")), "rest")
+    discard(labelled)
+    if few is not None:
+        many = marked.join(counted.where(F.col("r") > few), "grp")
+        many = materialise(many.groupBy("id").agg(F.max("out").alias("out")), "hard")
+        counted = counted.where(F.col("r") <= few)
     chunk = BLOCK // 2
-    rest = labelled.join(main, "grp").where("c <> main").select("id", "grp", "n")
-    counted = materialise(rest.groupBy("grp").agg(F.count("*").alias("r")), "rest")
-    if not counted.limit(1).count():
-        return edges.limit(0)
     parts, chunks = F.ceil(F.col("n") / chunk).cast("int"), F.ceil(F.col("r") / chunk).cast("int")
     block = lambda part, of: F.xxhash64("grp", part, of, F.lit(2)).alias("block")
+    both = marked.join(counted, "grp")
     queries = (
-        rest.join(counted, "grp").withColumn("_of", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        both.where("out").withColumn("_of", F.pmod(F.xxhash64("id"), chunks).cast("int"))
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).select(block("_part", "_of"), "id")
     )
     against = (
-        large.join(counted, "grp").withColumn("_part", F.pmod(F.xxhash64("id", "grp"), parts).cast("int"))
+        both.withColumn("_part", F.pmod(F.xxhash64("id", "grp"), parts).cast("int"))
         .withColumn("_of", F.explode(F.sequence(F.lit(0), chunks - 1))).select(block("_part", "_of"), "id")
     )
-    return connect_blocks(queries.union(against).join(payload, "id"), compare, kind)
+    edges = materialise(edges.union(connect_blocks(queries.union(against).join(payload, "id"), compare, kind)), "completed")
+    return edges, (many if few is not None and many.limit(1).count() else None)
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (wh.mix(tokens) % np.uint64(COUNTED)).astype(np.int64)
+
+
+def _meet_by_rare_tokens(hard: DataFrame, payload: DataFrame, kind: T.DataType, percent: int) -> DataFrame:
+    """Edges between the documents of ``hard`` (id, out), by an exact prefix filter on full sets.
+
+    Tokens are ordered by how often they stand in these documents. Two sets of a link share
+    at least percent / 100 of each, so they share one of the first size - ceil(size * percent / 100)
+    + 1 tokens of both. Documents meet at every such token that one outside a main component
+    has (two inside are connected already). Any order is exact; counts are taken by bucket,
+    so that their table (at most ``COUNTED`` numbers) has a bound. Tokens at which the same documents
+    meet count once; where more than ``BLOCK`` meet, they are dealt and completed like a cluster.
+    """
+    spark = payload.sparkSession
+    rows = materialise(payload.where("size > 0").join(hard, "id"), "hardsets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            for x in batch.column("payload").to_pylist():
+                np.add.at(total, _bucket(np.frombuffer(x, np.uint64)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
+
+    sums = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTED, np.int64)
+    often[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                first = []
+                for x in batch.column("payload").to_pylist():
+                    tokens = np.frombuffer(x, np.uint64)
+                    n = len(tokens) + (-len(tokens) * percent) // 100 + 1
+                    first.append(tokens[np.lexsort((tokens, held.value[_bucket(tokens)]))[:n]])
+                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in first]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first).view(np.int64), pa.int64()), batch.column("id").take(row), batch.column("out").take(row)], names=["grp", "id", "out"])
+
+    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("id", kind), T.StructField("out", T.BooleanType())])
+    prefixes = materialise(rows.mapInArrow(rarest, schema), "prefixes")
+    groups = prefixes.groupBy("grp").agg(F.count("*").alias("n"), F.max("out").alias("out"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("n > 1 AND out")
+    groups = materialise(groups.groupBy("n", "who").agg(F.min("grp").alias("grp")), "tokens")
+    members = materialise(prefixes.join(groups, "grp").select("grp", "id", "n"), "meetings")
+    sets = rows.select("id", "size", "payload")
+    edges = materialise(connect_blocks(deal_blocks(members).join(sets, "id"), confirmed(percent), kind), "links")
+    return _complete(members, sets, edges, kind, confirmed(percent), few=None)[0]

@@ -22,11 +22,15 @@ _written: list[tuple[SparkSession, str]] = []
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (a local test) a temporary folder is
-    made and set as the checkpoint folder of the session.
+    Where the session leaves it unset, a local run (a test) gets a temporary folder, set as
+    the checkpoint folder of the session; on a cluster that is an error, since executors
+    wouldn't see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,25 +40,39 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back.
 
     Cuts lineage and survives lost executors, unlike a cached or locally
-    checkpointed frame. The folder goes when the Python process ends, or with
-    :func:`release`.
+    checkpointed frame. The folder goes with :func:`discard` or :func:`release`, or when
+    the Python process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/freshet-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already; the folder is only scratch
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables, as :func:`materialise` returned them, that nothing will read again:
+    what was made of them must have been written."""
+    for df in tables:
+        path = df._scratch_path
+        _delete(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
 
 
 def release() -> None:
     """Delete every scratch table of this process."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already; the folder is only scratch
-            continue
+        _delete(*_written.pop())
 
 
 atexit.register(release)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import materialise
+from freshet.llm.common import discard, materialise
 
 #: Members of a group that one task compares with each other; a larger group is dealt into
 #: blocks of about half of it, with so many members of the group (pivots) in every block.
@@ -24,7 +24,7 @@ def components(edges: DataFrame, id_type: T.DataType) -> DataFrame:
     small star (every neighbour below me, and I, to the least) until every id has one
     parent that has none, which takes about log^2 rounds. Every step is a map-side
     combined minimum and a plain shuffle join, which adaptive execution splits at a hub;
-    rounds are written to the shared folder. Loops are dropped.
+    each round is written to the shared folder, and the one before it deleted. Loops are dropped.
     """
 
     def ordered(df: DataFrame) -> DataFrame:
@@ -38,11 +38,13 @@ def components(edges: DataFrame, id_type: T.DataType) -> DataFrame:
     now = materialise(ordered(edges), "edges")
     while not settled(now):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "star")
+        below = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = materialise(both.join(below, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "star")
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = materialise(ordered(small), "edges")
+        after = materialise(ordered(small), "edges")
+        discard(now, below, large, least)
+        now = after
     up = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return up.union(roots).select(F.col("id").cast(id_type), F.col("component").cast(id_type))

@@ -80,8 +80,13 @@ def test_near_duplicates_in_a_group_beyond_one_block(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == h.brute_components(rows, 2)
 
 
-def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch):
-    """All documents in one last-level node far beyond a block, most of them alike to nothing."""
+@pytest.mark.parametrize("few", [1024, 100])
+def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch, few):
+    """All documents in one last-level node far beyond a block, most of them alike to nothing:
+    compared with all, or met by their rarest tokens."""
+    defaults = chosen_path._complete.__defaults__
+    monkeypatch.setattr(chosen_path._complete, "__defaults__", (few,))
+    assert defaults == (chosen_path.FEW,)
     rng = random.Random(8)
     texts = [[f"u{rng.randrange(100)}" for _ in range(60)] for _ in range(600)]
     for k in range(40):
@@ -95,6 +100,42 @@ def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def template_pages(n, seed, share=0.44):
+    """Pages of one template, alike by ``share`` of their words, and a near copy of every tenth
+    page by substituting some words: (rows, similarity of each planted pair)."""
+    rng = random.Random(seed)
+    frame = [f"t{i}" for i in range(44)]
+    rows, pairs = [], []
+    for i in range(n):
+        own = [f"p{i}x{j}" for j in range(round(44 / share) - 44)]
+        rows.append((i, " ".join(frame + own), None, None, 0))
+        if i % 10 == 0:
+            for j in range(rng.randint(0, 5)):
+                own[3 + 9 * j] = f"q{i}x{j}"
+            own[-1] += "z"
+            rows.append((n + i, " ".join(frame + own), None, None, 0))
+            a, b = h.shingles(rows[-2][1], 2), h.shingles(rows[-1][1], 2)
+            pairs.append((i, n + i, len(a & b) / len(a | b)))
+    return rows, pairs
+
+
+@pytest.mark.parametrize("small_nodes", [True, False])
+def test_recall_by_similarity_among_pages_of_one_template(spark, monkeypatch, small_nodes):
+    """Every planted pair of 0.8 or more is found, in each band, and no other; with last-level
+    nodes beyond a block, too."""
+    rows, pairs = template_pages(2000, 3)
+    if not small_nodes:
+        monkeypatch.setattr(chosen_path, "_leaves", lambda reps: reps.select(F.pmod("id", F.lit(2000)).alias("m"), "id").select(
+            F.when(F.col("m") % 20 < 10, 1).otherwise(2).cast("long").alias("grp"), "id", F.lit(1100).cast("long").alias("n")))
+        monkeypatch.setattr(chosen_path._complete, "__defaults__", (200,))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 2).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = [(a, b) for a, b, s in pairs if low <= s < high]
+        assert len(band) > 10 and sum(got[b] == a for a, b in band) >= 0.99 * len(band)
+    linked = {b for _, b, s in pairs if s >= 0.8}
+    assert all(c == d for d, c in got.items() if d not in linked)
+
+
 def test_pairs_meet_in_leaves_of_the_last_level(spark, monkeypatch):
     """Pairs at 0.8, every node taken for large: fewer than one in a million may be lost, not one in 28."""
     rng = random.Random(11)
