@@ -111,7 +111,7 @@ def template_pages(n, seed, share=0.44):
         rows.append((i, " ".join(frame + own), None, None, 0))
         if i % 10 == 0:
             for j in range(rng.randint(0, 5)):
-                own[3 + 9 * j] = f"q{i}x{j}"
+                own[3 + 2 * j] = f"q{i}x{j}"
             own[-1] += "z"
             rows.append((n + i, " ".join(frame + own), None, None, 0))
             a, b = h.shingles(rows[-2][1], 2), h.shingles(rows[-1][1], 2)
