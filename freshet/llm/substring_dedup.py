@@ -6,12 +6,16 @@ window of ``min_words`` words picks the least hash among its ``ANCHOR_WORDS``-wo
 pick equal anchors, so a repeated passage is cut the same way wherever it stands. The
 index maps each block's content to the place where it starts first.
 
-A document is then parsed from the left: a block that the index knows from an earlier
-place is copied from there, blocks copied in a row form one factor. Blocks that are not
-copied as a whole end the factors. A factor may still reach into them, or a short one
-lie inside: that can be only where some other block has the same anchor, and there each
-window is looked up by itself. Factors are at least one window, ``min_words``, long and
-become duplicate spans.
+A document is then parsed greedily from the left into factors (start, length, reference
+document, start there). A block that the index knows from an earlier place is copied
+from there. Blocks that are not copied as a whole end a factor, but it may still reach into
+them, or a shorter one lie inside: that can be only where some other block has the same
+anchor, and there each window has its own first place, by which factors go on word by word.
+A factor goes on as long as the next place in its reference is the first place of what
+follows; where another factor begins before it ends, the later one gives way and begins
+at that boundary. Every window that straddles a boundary of two factors is copied too, as it
+belongs to one of the copies that were joined there, so all words of factors are duplicate
+spans. Words outside of factors are literals.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.llm import wordhash as wh
-from freshet.llm.common import extras, materialise
+from freshet.llm.common import discard, extras, materialise
 
 ANCHOR_WORDS = 6
 
@@ -89,13 +93,16 @@ def _blocks(column: pa.Array, min_words: int, anchor_words: int) -> Iterator[tup
 
 
 def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Parse every document: the columns of ``docs`` with ``n_words``, ``n_removed``
-    (long), ``spans`` (array of (start, length) in words: the factors, joined where they
-    touch) and ``kept_text`` (the words outside spans, joined by one space). Columns of
-    those names in ``docs`` are replaced.
-
-    A word belongs to a span if a window over it repeats a window that starts in a
+    """Parse every document: the columns of ``docs`` with ``n_words``, ``n_removed`` (long),
+    ``factors`` (array of (start, length, ref_id, ref_start) in words: those words are the
+    reference document's at ref_start, an earlier place; in order, without overlap),
+    ``spans`` (array of (start, length): the factors, joined where they touch) and
+    ``kept_text`` (the words outside spans, joined by one space). Columns of those names in
+    ``docs`` are replaced.
+
+    A word belongs to a span if a window of ``min_words`` over it repeats a window that starts in a
     document of smaller id, or earlier in the same one; windows are those of the input.
+    The first factor of a span has ``min_words`` at least, one that continues it may be shorter.
 
     Edge cases: a null or empty text, or one of fewer than ``min_words`` words, has no
     span. A row with a null id is neither reference nor parsed: it keeps all its words.
@@ -104,11 +111,12 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
 
     At scale: one row per block (about one per seven words) is grouped by content with
     map-side combine, so copies of a passage fold into one first place. What comes back
-    to a document is the list of blocks that stand there *first*; a copied block is one
-    not on the list, so nothing is joined back to the copies and no group is ever
-    gathered. Blocks that share an anchor with different content (few) are found by a
-    plain shuffle join with the repeated anchors, which adaptive execution splits.
-    Texts are shuffled once, by id; both later reads use that shuffle.
+    to a document is the list of blocks that stand there first; only those that don't, and
+    windows of blocks that share an anchor with different content (few), are looked up.
+    They get their first places from the repeated blocks and windows by one plain shuffle join,
+    which adaptive execution splits on a hot passage, and return as a list by document;
+    no group of copies is ever gathered. Texts are shuffled once, by id; both later reads
+    use that shuffle.
     """
     anchor_words = min(anchor_words, min_words)
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
@@ -125,7 +133,8 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("_at", T.IntegerType()), T.StructField("_anchor", T.LongType()), T.StructField("_content", T.LongType())])
     blocks = base.where(F.col("_id").isNotNull()).select("_id", "_text").mapInArrow(cut, schema)
-    index = blocks.groupBy("_anchor", "_content").agg(F.min(F.struct("_id", "_at")).alias("_f")).select("_anchor", "_f._id", "_f._at")
+    index = blocks.groupBy("_anchor", "_content").agg(F.min(F.struct("_id", "_at")).alias("_f"), F.count("*").alias("_n"))
+    index = index.select("_anchor", "_f._id", "_f._at", F.when(F.col("_n") > 1, F.col("_content")).alias("_again"))  # content where it repeats
     index = materialise(index, "blocks")
     shared = materialise(index.groupBy("_anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("_anchor", F.lit(1).alias("_open")), "anchors")
     # Of a document: twice the start of each block that is first there, plus 1 if its windows are to be looked up.
@@ -135,7 +144,11 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
         .groupBy("_id").agg(F.collect_list("_b").alias("_first_blocks"))
         .withColumnRenamed("_id", "_own_id")
     )
-    keep = extras(base, ["_id", "_text", "n_words", "n_removed", "spans", "kept_text"])
+    own = materialise(own, "own")
+    repeated = index.where("_again IS NOT NULL").select(F.lit(True).alias("_block"), F.col("_anchor").alias("_k1"), F.col("_again").alias("_k2"), F.struct("_id", "_at").alias("_f"))
+    repeated = materialise(repeated, "repeated")
+    discard(index, shared)
+    keep = extras(base, ["_id", "_text", "n_words", "n_removed", "factors", "spans", "kept_text"])
     joined = base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep]).join(own, F.col("_id") == F.col("_own_id"), "left").drop("_own_id")
 
     def listed(batch: pa.RecordBatch, a: int, b: int, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,55 +164,90 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
         return np.where(have[at] == want, at, -1) if len(have) else np.full(len(want), -1)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks that don't stand here first, and windows of open blocks that do."""
         for batch in batches:
             column, ids = wh.fill(batch.column("_text")), batch.column("_id")
+            known = np.asarray(ids.is_valid())
             for a, b, x in _blocks(column, min_words, anchor_words):
                 rows, value = listed(batch, a, b, "_first_blocks")
-                at = find(rows[value % 2 == 1], value[value % 2 == 1] // 2, x.row, x.place())
-                at = np.unique(at[at >= 0])
+                at = find(rows, value // 2, x.row, x.place())
+                copied = known[a:b][x.row]
+                copied[at[at >= 0]] = False
+                copied = np.flatnonzero(copied)
+                at = np.unique(at[(at >= 0) & (value % 2 == 1)])
                 counts = x.count[at]
                 w = np.repeat(x.start[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                 starts = x.window[w]
-                one = wh.runs(x.hashes, min_words)
-                two = wh.runs(wh.mix(x.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), min_words)
+                one = wh.runs(x.hashes, min_words)[starts].view(np.int64)
+                two = wh.runs(wh.mix(x.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), min_words)[starts].view(np.int64)
+                whole = np.arange(len(w) + len(copied)) >= len(w)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(x.window_row[w] + a)), pa.array(x.window_place()[w], pa.int32()), pa.array(one[starts].view(np.int64), pa.int64()), pa.array(two[starts].view(np.int64), pa.int64())],
-                    names=["_id", "_at", "_w1", "_w2"],
+                    [ids.take(pa.array(np.concatenate([x.window_row[w], x.row[copied]]) + a)), pa.array(np.concatenate([x.window_place()[w], x.place()[copied]]), pa.int32()), pa.array(whole),
+                     pa.array(np.concatenate([one, x.anchor[copied]]), pa.int64()), pa.array(np.concatenate([two, x.content[copied]]), pa.int64())],
+                    names=["_id", "_at", "_block", "_k1", "_k2"],
                 )
 
-    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_at", T.IntegerType()), T.StructField("_w1", T.LongType()), T.StructField("_w2", T.LongType())])
-    first_windows = (
-        joined.mapInArrow(look_up, schema)
-        .groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_at")).alias("_f"))
-        .select(F.col("_f._id").alias("_w_id"), F.col("_f._at").alias("_at"))
-        .groupBy("_w_id").agg(F.collect_list("_at").alias("_first_windows"))
+    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_at", T.IntegerType()), T.StructField("_block", T.BooleanType()), T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType())])
+    units = materialise(joined.mapInArrow(look_up, schema), "units")
+    windows = units.where(~F.col("_block")).groupBy("_k1", "_k2").agg(F.min(F.struct("_id", "_at")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
+    firsts = repeated.union(windows.select(F.lit(False), "_k1", "_k2", "_f"))
+    sources = (
+        units.join(firsts, ["_block", "_k1", "_k2"]).where(F.struct("_id", "_at") != F.col("_f"))
+        .groupBy("_id").agg(F.collect_list(F.struct("_at", "_block", F.col("_f._id").alias("ref"), F.col("_f._at").alias("from"))).alias("_sources"))
+        .withColumnRenamed("_id", "_s_id")
     )
-    parsed = joined.join(first_windows, F.col("_id") == F.col("_w_id"), "left").drop("_w_id")
+    texts = base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep])
+    parsed = texts.join(sources, F.col("_id") == F.col("_s_id"), "left").drop("_s_id")
 
-    fields = [f for f in base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep]).schema.fields]
+    fields = texts.schema.fields
+    factor = T.ArrayType(T.StructType([
+        T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_id", id_type), T.StructField("ref_start", T.IntegerType()),
+    ]))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
-    out_schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept_text", T.StringType())])
+    out_schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("factors", factor), T.StructField("spans", span), T.StructField("kept_text", T.StringType())])
+
+    def greedy(x: Blocks, rows: np.ndarray, entries: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, end, entry, start in the reference) of the factors; start and end
+        among all words of the slice."""
+        at, whole, start = (np.asarray(entries.field(c)) for c in ("_at", "_block", "from"))
+        ref = np.asarray(entries.field("ref").dictionary_encode().indices)
+        source = np.full(len(x.window), -1)
+        place = np.zeros(len(x.window), np.int64)
+        single = find(rows[~whole], at[~whole], x.window_row, x.window_place())
+        source[single[single >= 0]] = np.flatnonzero(~whole)[single >= 0]
+        place[single[single >= 0]] = start[~whole][single >= 0]
+        blocks = find(rows[whole], at[whole], x.row, x.place())
+        entry, blocks = np.flatnonzero(whole)[blocks >= 0], blocks[blocks >= 0]
+        counts = x.count[blocks]
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        w = np.repeat(x.start[blocks], counts) + step
+        source[w], place[w] = np.repeat(entry, counts), np.repeat(start[entry], counts) + step
+        w = np.flatnonzero(source >= 0)
+        if not len(w):
+            return w, w, w, w, w
+        goes_on = (x.window[w[1:]] == x.window[w[:-1]] + 1) & (ref[source[w[1:]]] == ref[source[w[:-1]]]) & (place[w[1:]] == place[w[:-1]] + 1) & (x.window_row[w[1:]] == x.window_row[w[:-1]])
+        first, last = w[np.append(True, ~goes_on)], w[np.append(~goes_on, True)]
+        row, begin, end = x.window_row[first], x.window[first], x.window[last] + min_words
+        free = begin.copy()
+        free[1:] = np.where(row[1:] == row[:-1], np.maximum(begin[1:], end[:-1]), begin[1:])
+        return row, free, end, source[first], place[first] + free - begin
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, known = wh.fill(batch.column("_text")), batch.column("_id").is_valid()
+            column = wh.fill(batch.column("_text"))
             for a, b, x in _blocks(column, min_words, anchor_words):
-                rows, value = listed(batch, a, b, "_first_blocks")
-                whole = value % 2 == 0
-                at = find(rows[whole], value[whole] // 2, x.row, x.place())
-                new = np.zeros(len(x.window) + 1, np.int64)  # windows that stand here first
-                at = np.unique(at[at >= 0])
-                np.add.at(new, x.start[at], 1)
-                np.add.at(new, x.start[at] + x.count[at], -1)
-                new = np.cumsum(new)[:-1] > 0
-                rows, value = listed(batch, a, b, "_first_windows")
-                at = find(rows, value, x.window_row, x.window_place())
-                new[at[at >= 0]] = True
-                ok = np.asarray(known.slice(a, b - a))
-                copied = x.window[~new & ok[x.window_row]]
+                part = batch.column("_sources").slice(a, b - a)
+                entries = part.flatten()
+                row, start, end, entry, there = greedy(x, np.repeat(np.arange(b - a), np.asarray(part.value_lengths().fill_null(0), np.int64)), entries)
+                factors = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32()),
+                    pa.StructArray.from_arrays(
+                        [pa.array(start - x.first[row], pa.int32()), pa.array(end - start, pa.int32()), entries.field("ref").take(pa.array(entry)), pa.array(there, pa.int32())],
+                        names=["start", "length", "ref_id", "ref_start"]),
+                )
                 cover = np.zeros(len(x.hashes) + 1, np.int64)
-                np.add.at(cover, copied, 1)
-                np.add.at(cover, copied + min_words, -1)
+                np.add.at(cover, start, 1)
+                np.add.at(cover, end, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 texts, spans, removed = [], [], []
                 for r in range(b - a):
@@ -219,6 +267,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
                 columns = {f.name: part.column(f.name) for f in fields}
                 columns["n_words"] = pa.array(np.diff(x.first), pa.int64())
                 columns["n_removed"] = pa.array(removed, pa.int64())
+                columns["factors"] = factors
                 columns["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
                 columns["kept_text"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)

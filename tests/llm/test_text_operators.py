@@ -25,7 +25,7 @@ def docs(spark, rows):
 
 def clash(df):
     """Extra columns named like the operators' own and their internal ones."""
-    for c in ("n_lines", "n_dropped", "n_words", "n_removed", "spans", "kept_text", "n_shingles", "component_id", "kept", "size", "target", "taken", "epochs", "grp", "block", "id", "a", "b"):
+    for c in ("n_lines", "n_dropped", "n_words", "n_removed", "spans", "factors", "kept_text", "n_shingles", "component_id", "kept", "size", "target", "taken", "epochs", "grp", "block", "id", "a", "b"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -39,6 +39,43 @@ def test_substrings_equal_brute_force(docs, rows):
         assert all(s["length"] >= 20 for s in r["spans"])
 
 
+def check_factors(rows, got, n):
+    """Factors and literals rebuild every document; sources are equal and earlier; a factor
+    that continues no other has a window's length; factors are maximal for their sources' places."""
+    texts = {d: h.words(t) for d, t, *_ in rows}
+    seen = 0
+    for r in got:
+        w, at, built = texts[r["doc_id"]], 0, []
+        for f in r["factors"]:
+            assert f["start"] >= at and f["length"] > 0 and (f["length"] >= n or f["start"] == at > 0)
+            assert (f["ref_id"], f["ref_start"]) < (r["doc_id"], f["start"])
+            built += w[at : f["start"]] + texts[f["ref_id"]][f["ref_start"] : f["ref_start"] + f["length"]]
+            at = f["start"] + f["length"]
+            seen += 1
+        assert built + w[at:] == w
+        covered = {i for f in r["factors"] for i in range(f["start"], f["start"] + f["length"])}
+        assert covered == {i for s in r["spans"] for i in range(s["start"], s["start"] + s["length"])} and len(covered) == r["n_removed"]
+    return seen
+
+
+def test_factors_rebuild_every_document(docs, rows):
+    assert check_factors(rows, find_factors(docs).collect(), 20) > 30
+
+
+def test_a_passage_is_one_factor_with_its_place(spark):
+    """A passage copied from the middle of one text into another: one factor, to the word."""
+    rng = random.Random(2)
+    vocab = [f"v{i}" for i in range(5000)]
+    one, two = [rng.choice(vocab) for _ in range(300)], [rng.choice(vocab) for _ in range(200)]
+    cases = [(20, 1), (21, 5), (33, 60), (57, 100), (120, 150)]
+    rows = [(0, " ".join(one), None, None, 0)]
+    for k, (n, at) in enumerate(cases, 1):
+        rows.append((k, " ".join([*two[: at + k], f"x{k}", *one[at : at + n], f"y{k}", *[rng.choice(vocab) for _ in range(30)]]), None, None, 0))
+    got = {r["doc_id"]: r["factors"] for r in find_factors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for k, (n, at) in enumerate(cases, 1):
+        assert [tuple(f) for f in got[k] if f["ref_id"] == 0] == [(at + k + 1, n, 0, at)]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_substrings_on_few_words(spark, seed):
     """A tiny vocabulary: windows, anchors and blocks repeat in every way."""
@@ -46,6 +83,7 @@ def test_substrings_on_few_words(spark, seed):
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), None, None, 0) for i in range(40)]
     rows += [(100 + i, " ".join(["a b"] * i), None, None, 0) for i in range(9, 25)]
     got = find_factors(spark.createDataFrame(rows, SCHEMA), min_words=8, anchor_words=3).collect()
+    check_factors(rows, got, 8)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == h.brute_substrings(rows, 8)
 
 
