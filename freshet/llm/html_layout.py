@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -23,7 +25,7 @@ from freshet.llm.common import extras
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist annotation annotation-xml".split())
+INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist annotation annotation-xml progress meter rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = SPACED | frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary tbody tfoot thead tr".split()
@@ -43,6 +45,8 @@ CLOSES = {
     "optgroup": (("option", "optgroup"), ("select",)),
     "body": (("head",), ("html",)),
 }
+#: End tags that reach out of a cell.
+IN_TABLE = frozenset("td th tr tbody thead tfoot table".split())
 #: An open paragraph ends where one of these starts.
 ENDS_P = BLOCK - {"body", "html", "caption", "legend", "li", "dd", "dt", "tbody", "thead", "tfoot", "tr", "summary", "figcaption"}
 IN_HEAD = frozenset("head title meta link base script style noscript template".split())
@@ -53,8 +57,14 @@ SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern ma
 BREAKS_OUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Fields whose value is shown as text.
+VALUED = frozenset("text search email url tel number submit reset button".split())
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Limits of layout, not of text: columns of a table that are aligned, the widest cell that
+#: others are aligned with (and half the widest gap), tables within tables that are laid out as
+#: tables, and the deepest indent. They keep the space that pads a page in proportion to its text.
+COLUMNS, WIDEST, NESTED, INDENT = 1000, 200, 20, 80
 
 
 class Node:
@@ -70,31 +80,30 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
-        self.stack, self.open = [self.root], {"html": 1}
+        #: Open elements, and by tag the places of its open elements in that list, ascending.
+        self.stack, self.open = [self.root], defaultdict(list, html=[0])
 
     def _pop(self, down_to: int) -> None:
         while len(self.stack) > max(down_to, 1):
-            self.open[self.stack.pop().tag] -= 1
+            self.open[self.stack.pop().tag].pop()
+
+    def _nearest(self, tags) -> int:
+        """Place of the innermost open element of ``tags``, -1 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def _close_nearest(self, tags: tuple[str, ...], fence: tuple[str, ...]) -> None:
         """Close the outermost open element of ``tags`` above the nearest fence."""
-        if not any(self.open.get(t) for t in tags):
-            return
-        found = None
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in fence:
-                break
-            if self.stack[k].tag in tags:
-                found = k
-        if found:
-            self._pop(found)
+        near = max(self._nearest(fence), 0)
+        places = [at[k] for t in tags if (at := self.open.get(t)) and (k := bisect_right(at, near)) < len(at)]
+        if places:
+            self._pop(min(places))
 
     def _foreign(self) -> str | None:
         """svg or math, if the open element belongs to it."""
-        if not (self.open.get("svg") or self.open.get("math")):
+        svg, math = self._nearest(("svg",)), self._nearest(("math",))
+        if max(svg, math) <= self._nearest(HTML_AGAIN):
             return None
-        near = next(n.tag for n in reversed(self.stack) if n.tag in FOREIGN or n.tag in HTML_AGAIN)
-        return near if near in FOREIGN else None
+        return "svg" if svg > math else "math"
 
     def handle_starttag(self, tag, attrs):
         foreign = self._foreign()
@@ -118,8 +127,8 @@ class TreeBuilder(HTMLParser):
             self.stack[-1].children.append(" ")
         self.stack[-1].children.append(node)
         if tag not in VOID:
+            self.open[tag].append(len(self.stack))
             self.stack.append(node)
-            self.open[tag] = self.open.get(tag, 0) + 1
         if tag == "textarea" and not foreign:
             self.set_cdata_mode(tag)  # markup in it is text
 
@@ -131,12 +140,9 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID or tag in ("html", "body") or not self.open.get(tag):
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                self._pop(k)
-                return
-            if self.stack[k].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table"):
-                return
+        at = self.open[tag][-1]
+        if tag in IN_TABLE or at > self._nearest(("td", "th", "table")):
+            self._pop(at)
 
     def handle_data(self, data):
         if self.open.get("head") and self.stack[-1].tag == "head" and data.strip():
@@ -156,10 +162,13 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in INVISIBLE or "hidden" in node.attrs:
-        return False
-    return not _HIDDEN.search(node.attrs.get("style") or "")
+def visible(node: Node, inherited: bool = True) -> tuple[bool, bool]:
+    """Whether an element is laid out at all, and whether its own text shows: a child can be
+    visible in an element of hidden visibility, but not in one that isn't displayed."""
+    style = dict((k.lower(), v.lower()) for k, v in _STYLE.findall(node.attrs.get("style") or ""))
+    gone = style["display"] == "none" if "display" in style else "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs)
+    shown = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility"), inherited)
+    return node.tag not in INVISIBLE and not gone, shown
 
 
 def _shown_options(select: Node) -> list:
@@ -167,7 +176,7 @@ def _shown_options(select: Node) -> list:
     options, work = [], list(reversed(select.children))
     while work:
         node = work.pop()
-        if isinstance(node, Node) and visible(node):
+        if isinstance(node, Node) and all(visible(node)):
             if node.tag == "option":
                 options.append(node)
             else:
@@ -243,51 +252,100 @@ class Flow:
         return self.lines
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells in aligned columns, two spaces apart; a cell of several lines takes as many."""
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                widths[at] = max([widths.get(at, 0), *map(_width, lines)])
-            at += span
+Cell = tuple[list[str], int, int]
+
+
+def _places(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns, lines) of the cells of each row: a cell lies in the first column that
+    neither this row nor a cell from above, which spans rows, has taken."""
+    until: dict[int, int] = {}
+    out = []
+    for r, row in enumerate(rows):
+        at, placed = 0, []
+        for lines, columns, deep in row:
+            while at < COLUMNS and until.get(at, 0) > r:
+                at += 1
+            if deep > 1:
+                until.update(dict.fromkeys(range(at, min(at + columns, COLUMNS)), r + deep))
+            placed.append((at, columns, lines))
+            at += columns
+        out.append(placed)
+    return out
+
+
+def _table(rows: list[list[Cell]]) -> list[str]:
+    """Cells in aligned columns, two spaces apart; a cell of several lines takes as many. A
+    cell over several columns widens the last of them where it needs to."""
+    placed = _places(rows)
+    widths: dict[int, int] = defaultdict(int)
+    spread = []
+    for row in placed:
+        for at, columns, lines in row:
+            need = max((w for w in map(_width, lines) if w <= WIDEST), default=0)
+            if columns == 1:
+                widths[at] = max(widths[at], need)
+            else:
+                spread.append((at + columns - 1, at, need))
+    for last, at, need in sorted(spread):
+        inside = [c for c in range(at, min(last, at + COLUMNS)) if widths.get(c)]
+        widths[last] = max(widths[last], min(WIDEST, need - sum(widths[c] + 2 for c in inside)))
+    used = sorted(c for c, w in widths.items() if w > 0)
+    starts, at = [], 0
+    for c in used:
+        starts.append(at)
+        at += widths[c] + 2
     out = []
-    for row in rows:
-        for k in range(max([len(lines) for lines, _ in row], default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
+    for row in placed:
+        for k in range(max([len(lines) for _, _, lines in row], default=0)):
+            line, width = [], 0
+            for c, _, lines in row:
                 text = lines[k] if k < len(lines) else ""
-                parts.append(text + " " * max(0, room - _width(text)))
-                at += span
-            out.append("  ".join(parts).rstrip())
+                if not text:
+                    continue
+                i = bisect_right(used, c - 1)
+                gap = min(max(starts[i] - width if i < len(used) else 0, 2 if line else 0), 2 * WIDEST)
+                line += [" " * gap, text]
+                width += gap + _width(text)
+            out.append("".join(line))
     return out
 
 
+def _number(node: Node, name: str, most: int) -> int:
+    value = (node.attrs.get(name) or "").strip()
+    return min(max(int(value), 1), most) if re.fullmatch(r"\d{1,6}", value) else 1
+
+
 def render(root: Node) -> str:
     """All visible text under a node, laid out."""
     flow = Flow()
     flows, tables, lists, indents = [], [], [], [""]
     pre = 0
-    work: list = [(root, False)]
+    deeper = lambda n: indents.append(indents[-1] + " " * n if len(indents[-1]) < INDENT else indents[-1])
+    work: list = [(root, False, True)]
     while work:
-        node, leaving = work.pop()
+        node, leaving, shown = work.pop()
         if isinstance(node, str):
-            flow.write(node, pre > 0, indents[-1])
+            if shown:
+                flow.write(node, pre > 0, indents[-1])
             continue
         tag = node.tag
+        in_grid = bool(tables) and tables[-1] is not None
         if not leaving:
-            if not visible(node):
+            laid_out, shown = visible(node, shown)
+            if not laid_out:
                 continue
             if tag == "br":
                 flow.end_line(keep=not flow.line and not flow.blank)
                 continue
+            if tag == "input":
+                if shown and (node.attrs.get("type") or "text").lower() in VALUED:
+                    flow.write(f" {node.attrs.get('value') or ''} ", False, indents[-1])
+                continue
             if tag == "img":
                 continue
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 flow.apart()
-            elif tag in BLOCK:
+            elif tag in BLOCK or (tag in ("td", "th") and not in_grid):
                 flow.end_line()
             if tag == "hr":
                 continue
@@ -298,39 +356,42 @@ def render(root: Node) -> str:
                 kind = lists[-1] if lists else ["ul", 1]
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
-                indents.append(indents[-1] + " " * len(mark))
-                flow.prefix = mark
+                deeper(len(mark))
+                flow.prefix = mark if shown else ""
             elif tag in ("dd", "blockquote"):
-                indents.append(indents[-1] + "  ")
+                deeper(2)
             elif tag in ("pre", "textarea"):
                 if flow.line and flow.space:
                     flow.line.append(" ")
                 pre += 1
             elif tag == "table":
-                tables.append((flow, indents, lists, []))
-                flow, indents, lists = Flow(), [""], []
-            elif tag == "tr" and tables:
+                nested = len(tables) >= NESTED
+                tables.append(None if nested else (flow, indents, lists, []))
+                if not nested:
+                    flow, indents, lists = Flow(), [""], []
+            elif tag == "tr" and in_grid:
                 tables[-1][3].append([])
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th") and in_grid:
                 flows.append((flow, indents, lists))
                 flow, indents, lists = Flow(), [""], []
-            work.append((node, True))
-            work.extend((c, False) for c in reversed(_shown_options(node) if tag == "select" else node.children))
+            work.append((node, True, shown))
+            work.extend((c, False, shown) for c in reversed(_shown_options(node) if tag == "select" else node.children))
             continue
-        if tag in ("td", "th") and tables:
+        if tag in ("td", "th") and in_grid:
             lines = flow.result()
             flow, indents, lists = flows.pop()
-            span = node.attrs.get("colspan") or "1"
-            span = min(max(int(span), 1), 1000) if re.fullmatch(r"\d{1,4}", span) else 1
+            deep = 65534 if (node.attrs.get("rowspan") or "").strip() == "0" else _number(node, "rowspan", 65534)
             if not tables[-1][3]:
                 tables[-1][3].append([])
-            tables[-1][3][-1].append((lines, span))
+            tables[-1][3][-1].append((lines, _number(node, "colspan", 1000), deep))
         elif tag == "table":
-            loose = flow.result()  # a caption, or text outside of cells
-            flow, indents, lists, rows = tables.pop()
-            for line in [*loose, *_table(rows)]:
-                flow.write(line, True, indents[-1])
-                flow.end_line()
+            held = tables.pop()
+            if held is not None:
+                loose = flow.result()  # a caption, or text outside of cells
+                flow, indents, lists, rows = held
+                for line in [*loose, *_table(rows)]:
+                    flow.write(line, True, indents[-1])
+                    flow.end_line()
         elif tag in ("ul", "ol", "menu"):
             lists.pop() if lists else None
         elif tag in ("li", "dd", "blockquote") and len(indents) > 1:
@@ -340,7 +401,7 @@ def render(root: Node) -> str:
             pre -= 1
         if tag in SPACED and not (tag in ("ul", "ol") and lists):
             flow.apart()
-        elif tag in BLOCK:
+        elif tag in BLOCK or (tag in ("td", "th") and not in_grid):
             flow.end_line()
     return "\n".join(flow.result())
 

@@ -131,6 +131,80 @@ def test_layout_of_foreign_and_form_elements(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"), ("<table><tr><td rowspan=2 colspan=2>a<td>x<tr><td>y<tr><td>p<td>q<td>r</table>", "a     x\n      y\np  q  r"),
+    ("<table><tr><td colspan=2>a long head<td>x<tr><td>p<td>q<td>r</table>", "a long head  x\np  q         r"), ("<table><tr><td colspan=9>a<tr><td>b<td>c</table>", "a\nb  c"),
+    ("<div style='visibility:hidden'>x<b style='visibility: visible'>y</b>z</div>", "y"), ("<div style='display:none'>x<b style='visibility:visible'>y</b></div>z", "z"),
+    ("<div hidden style='display:block'>x</div>", "x"), ("<div style='display:none;color:red;display:inline'>x</div>", "x"), ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+    ("<input type=submit value=Send><input type=hidden value=no> <input value=typed>", "Send typed"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"), ("<progress>no</progress>a<ruby>b<rp>(</rp></ruby>", "ab"),
+    ("<b><table><tr><td>x</b>y<div>z</table>", "xy\nz"), ("<ul><li>a<p>b</li><li>c</ul>", "- a\n\n  b\n\n- c"),
+])
+def test_layout_of_spans_and_visibility(html, want):
+    assert text(html) == want
+
+
+def brute_render(node, shown=True):
+    """Marks and words of a small tree, from its nested (tag, style, children) tuples."""
+    if isinstance(node, str):
+        return [("word", node)] if shown else []
+    tag, style, children = node
+    if "none" in style:
+        return []
+    shown = "visible" in style or (shown and "hidden" not in style)
+    inside = [x for c in children for x in brute_render(c, shown)]
+    mark = {"div": [("line",)], "p": [("gap",)], "section": [("line",)], "h2": [("gap",)]}.get(tag, [])
+    return [*mark, *inside, *mark]
+
+
+def brute_layout(marks):
+    lines, now, gap = [], [], False
+    for m in [*marks, ("line",)]:
+        if m[0] == "word":
+            if not now and gap and lines:
+                lines.append("")
+            now.append(m[1])
+            gap = False
+            continue
+        if now:
+            lines.append(" ".join(now))
+            now = []
+        gap = gap or m[0] == "gap"
+    return "\n".join(lines)
+
+
+def test_layout_equals_brute_force_on_random_trees():
+    rng = random.Random(12)
+
+    def grow(depth, inline):
+        tag = rng.choice(["span", "b"] if inline else ["div", "p", "section", "h2", "span", "b"])
+        style = rng.choice(["", "", "", "", "display:none", "visibility:hidden", "visibility:visible"])
+        inline = inline or tag in ("p", "h2", "span", "b")
+        children = [f"w{rng.randrange(99)}" if depth == 0 or rng.random() < 0.4 else grow(depth - 1, inline) for _ in range(rng.randint(0, 4))]
+        return tag, style, children
+
+    def html(node):
+        return f" {node} " if isinstance(node, str) else f"<{node[0]} style='{node[1]}'>{''.join(map(html, node[2]))}</{node[0]}>"
+
+    for _ in range(400):
+        tree = ("div", "", [grow(3, False) for _ in range(3)])
+        assert text(html(tree)) == brute_layout(brute_render(tree))
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    n = 50_000
+    for page in (
+        "<b><table><tr><td>" + "<div>" * n + "</b>" * n + "x", "<p><b>" * n + "</p>" * n + "x", "<svg>" + "<g>" * n + "</svg><li>" * n + "x", "<ul>" + "<li><b>" * n + "x",
+        "<blockquote>y" * n, "<table><tr><td>y" * 3000, "<table><tr><td>" + "long " * n + "<td>x" + "<tr><td>a<td>b" * 5000, "<table>" + "<tr><td colspan=1000>a<td>b" * 20_000,
+        "<table>" + "<tr><td rowspan=9999>a" * 3000,
+    ):
+        began = time.process_time()
+        out = text(page)
+        assert time.process_time() - began < 12 and len(out) < 20 * len(page)
+
+
 def test_deep_and_long_markup():
     assert text("<div>" * 20_000 + "x") == "x"
     assert len(text("<p>word" * 20_000).split()) == 20_000
