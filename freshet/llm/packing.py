@@ -9,10 +9,12 @@ and Spark then deals every piece to its place by its rank within its length.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,50 @@ from pyspark.sql import types as T
 from freshet.llm.common import extras, materialise
 
 _ENCODERS: dict[str, tuple] = {}
-#: Words a Python worker remembers the ids of; beyond it the memory starts anew.
-REMEMBERED_WORDS = 400_000
+#: Bytes, about, in which a Python worker remembers the ids of words (beyond it the memory starts
+#: anew), and characters of the longest word that it remembers.
+REMEMBERED_BYTES, REMEMBERED_CHARS = 96 << 20, 48
+#: Texts that are encoded at a time: number and characters.
+BATCH_TEXTS, BATCH_CHARS = 512, 4_000_000
+# How a tokenizer file says that white space only parts words and that case is
+# dropped, with letters, digits and other signs apart and bytes written as letters.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 #: Pieces of one length that one task ranks, about.
 PER_SALT = 50_000
 
 
 def _encoder(path: str) -> tuple:
+    """The tokenizer, the ids of the words it remembers and their bytes in memory, about."""
     if path not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {})
+        _ENCODERS[path] = (Tokenizer.from_file(path), {}, [0])
     return _ENCODERS[path]
 
 
+def goes_by_word(path: str) -> bool:
+    """Whether a tokenizer file has the form for which the ids of a text are known to be
+    those of its words in a row, as :func:`_words` and :func:`_learn` compute them."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    model = parts.get("model") or {}
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    marked = all(
+        t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not any(t.get(x) for x in ("single_word", "lstrip", "rstrip", "normalized")) for t in parts.get("added_tokens") or []
+    )
+    return (
+        model.get("type") == "BPE" and plain and marked and parts.get("normalizer") == _NORMALIZER and parts.get("pre_tokenizer") == _SPLITTER
+        and not any(parts.get(x) for x in ("truncation", "padding", "post_processor"))
+    )
+
+
 def _words(text: str) -> list[str]:
     """The space-separated words of a text in the form that is looked up.
 
@@ -95,32 +124,54 @@ def _learn(words: set[str], known: dict[str, bytes], tokenizer) -> None:
             known[word] = array("I", e.ids).tobytes()
 
 
-def encode_texts(texts: Sequence[str], path: str, by_word: bool = True) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, known = _encoder(path)
+def encode_texts(texts: Sequence[str], path: str, by_word: bool = False) -> list[bytes]:
+    """Token ids of each text as little-endian unsigned 32-bit integers; word by word only
+    for a tokenizer that :func:`goes_by_word`."""
+    tokenizer, known, held = _encoder(path)
     if not by_word:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(list(texts), add_special_tokens=False)]
-    if len(known) > REMEMBERED_WORDS:
+    if held[0] > REMEMBERED_BYTES:
         known.clear()
+        held[0] = 0
     split = [_words(t) for t in texts]
     new = set().union(*split).difference(known)
+    before = len(known)
     if new:
         _learn(new, known, tokenizer)
     find = known.__getitem__
-    return [b"".join(map(find, words)) for words in split]
+    out = [b"".join(map(find, words)) for words in split]
+    for word in list(islice(known, before, None)):
+        if len(word) > REMEMBERED_CHARS:
+            del known[word]
+        else:
+            held[0] += 200 + 4 * len(word)
+    return out
+
+
+def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts to encode at a time, one text at least."""
+    start, chars = 0, 0
+    for k, text in enumerate(texts):
+        if k > start and (k - start >= BATCH_TEXTS or chars + len(text) > BATCH_CHARS):
+            yield start, k
+            start, chars = k, 0
+        chars += len(text)
+    yield start, len(texts)
 
 
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int | None = 1,
-    id_col: str = "doc_id", text_col: str = "text", by_word: bool = True,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Token pieces of every document: id, piece, start, length and ``ids`` (binary,
     little-endian unsigned 32-bit). ``end_id`` ends each document. Only a document of
     more than ``max_tokens`` ids is cut, at every multiple of ``max_tokens``.
 
     A null or empty text has ``end_id`` alone. Rows that repeat an id are pieces of
-    their own. ``tokenizer_path`` must be readable on every executor.
+    their own. An empty table gives an empty table. ``tokenizer_path`` must be readable on
+    the driver and on every executor.
     """
+    by_word = goes_by_word(tokenizer_path)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType
@@ -131,10 +182,10 @@ def tokenize_pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 512):
-                batch = whole.slice(at, 512)
+            every = [t or "" for t in whole.column("text").to_pylist()]
+            for a, z in _batches(every):
+                batch, texts = whole.slice(a, z - a), every[a:z]
                 doc, piece, start, length, ids = [], [], [], [], []
-                texts = [t or "" for t in batch.column("text").to_pylist()]
                 for d, e in zip(batch.column("doc_id").to_pylist(), encode_texts(texts, tokenizer_path, by_word), strict=True):
                     e += end
                     for k, b in enumerate(range(0, max(len(e), 1), 4 * max_tokens)):
@@ -261,6 +312,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", order_cols: Seque
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, caps: Capacities | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    An empty table gives an empty table; a null text is the end token alone.
 
     The ids are digested before anything is shuffled; the small table of pieces is
     written once to the shared scratch folder, so texts are encoded once.

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -44,7 +45,34 @@ def test_word_by_word_ids_are_the_tokenizers_ids():
         "foo<|endoftext|>", "'S 'T I'M Don't", "x <|END", "<|EndOfText|>", "ª º ² ½x µ", "naïve,café;déjà--vu.", "a_b __ x_", "\x85a\xa0b",
     ]
     path = tokenizer_path()
-    assert packing.encode_texts(texts, path) == packing.encode_texts(texts, path, by_word=False)
+    assert packing.goes_by_word(path)
+    assert packing.encode_texts(texts, path, by_word=True) == packing.encode_texts(texts, path)
+
+
+def test_other_tokenizers_go_whole(tmp_path):
+    """Any other normalizer, splitter, model or special token: not word by word."""
+    import public_tokenizers
+
+    assert not packing.goes_by_word(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        form = json.load(f)
+    token = form["added_tokens"][0]
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"model": {**form["model"], "dropout": 0.1}}, {"added_tokens": [{**token, "content": "of the"}]}, {"truncation": {"max_length": 8}}):
+        other = tmp_path / "t.json"
+        other.write_text(json.dumps({**form, **change}), encoding="utf-8")
+        assert not packing.goes_by_word(str(other))
+
+
+def test_words_in_memory_are_bounded(monkeypatch):
+    path = tokenizer_path()
+    _, known, held = packing._encoder(path)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 50_000)
+    rng = random.Random(1)
+    for k in range(20):
+        texts = [" ".join("".join(rng.choice(rng.choice(["abcdef1+", "abc"])) for _ in range(rng.choice([5, 40, 3000]))) + rng.choice(["", "+"]) for _ in range(30)) for _ in range(3)]
+        assert packing.encode_texts(texts, path, by_word=True) == packing.encode_texts(texts, path)
+        assert max(map(len, known)) <= packing.REMEMBERED_CHARS and (k == 0 or held[0] < 150_000)
+    assert [b - a for a, b in packing._batches(["x" * 3_000_000] * 3 + ["y"] * 600)] == [1, 1, 512, 89]
 
 
 def test_documents_come_back_whole(spark):
@@ -56,7 +84,7 @@ def test_documents_come_back_whole(spark):
     for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
         assert p["length"] * 4 == len(p["ids"]) and p["start"] == p["piece"] * 512
         whole.setdefault(p["doc_id"], {})[p["start"]] = bytes(p["ids"])
-    want = packing.encode_texts([t or "" for _, t, *_ in rows], path, by_word=False)
+    want = packing.encode_texts([t or "" for _, t, *_ in rows], path)
     assert {d: b"".join(x.values()) for d, x in whole.items()} == {r[0]: e + b"\1\0\0\0" for r, e in zip(rows, want, strict=True)}
     out = packing.pack_documents(df, path, caps).collect()
     check_places(out, caps)
