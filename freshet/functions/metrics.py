@@ -5,10 +5,13 @@ NaN counts as missing everywhere. Undefined ratios are null; ``on_zero='zero'``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from itertools import accumulate
 from typing import Any
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,26 +90,30 @@ def event_metrics(df: DataFrame, threshold: float, pred: str = "pred", obs: str
     return counts.select(*by, F.lit(float(threshold)).alias("threshold"), "TP", "FP", "FN", "TN", *[c.alias(n) for n, c in event_scores(on_zero, digits).items()], (F.col("TP") + F.col("FN")).alias("n_observed_events"))
 
 
-def roc_auc(df: DataFrame, threshold: float, pred: str = "pred", obs: str = "obs", buckets: int = 200) -> DataFrame:
+def roc_auc(df: DataFrame, threshold: float, pred: str = "pred", obs: str = "obs", per_range: int = 100_000) -> DataFrame:
     """roc_auc (one row) of ``obs >= threshold`` by the score ``pred``, ties half: null unless
     both classes occur. Rows without a prediction are left out.
 
-    Rows fold into one per distinct score (map-side), scores into ranges between quantiles;
-    ranks come from range totals and running sums inside a range, so no task sees all scores.
+    Rows fold into one per distinct score (map-side), scores into ranges between quantiles,
+    as many as leave about ``per_range`` distinct scores in each; ranks come from range
+    totals (a row a range on the driver) and running sums inside a range.
     """
     scores = df.where(_clean(pred).isNotNull()).groupBy(_clean(pred).alias("s")).agg(
         F.count_if(F.coalesce(_clean(obs) >= F.lit(float(threshold)), F.lit(False))).alias("pos"), F.count("*").alias("n"))
     scores = scores.select("s", "pos", (F.col("n") - F.col("pos")).alias("neg"))
-    cuts = scores.agg(F.percentile_approx("s", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    ranged = scores.withColumn("b", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("s"))) if cuts else F.lit(0))
+    ranges = -(-scores.count() // per_range)
+    cuts = []
+    if ranges > 1:
+        cuts = sorted(set(scores.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0]))
+    if cuts:
+        ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="s", outputCol="b").transform(scores).withColumn("b", F.col("b").cast("int"))
+    else:
+        ranged = scores.withColumn("b", F.lit(0))
     totals = sorted(ranged.groupBy("b").agg(F.sum("neg").alias("neg")).collect())  # a row a range
-    below, before = 0, {}
-    for r in totals:
-        before[r["b"]], below = below, below + r["neg"]
-    start = F.array(*[F.lit(before.get(k, 0)).cast("long") for k in range(len(cuts) + 1)])
+    before = list(accumulate((r["neg"] for r in totals), initial=0))
+    starts = df.sparkSession.createDataFrame([(r["b"], n) for r, n in zip(totals, before, strict=False)], "b int, start long")
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = ranged.withColumn("lower", F.element_at(start, F.col("b") + 1) + inside)
+    wins = ranged.withColumn("inside", inside).join(F.broadcast(starts), "b").withColumn("lower", F.col("start") + F.col("inside"))
     return wins.agg(F.try_divide(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") * F.lit(0.5))), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
 
 

@@ -42,7 +42,8 @@ def join_cwc_data(
     rain: DataFrame, level: DataFrame, resample_freq: str = "1h", min_overlap_hours: float = 720, station_filter: str | None = None,
     time_col: str = "timestamp_utc", keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Full outer join of hourly means in time order, without rows that lack both measures.
+    """Full outer join of hourly means, without rows that lack both measures. Not sorted:
+    ``in_time_order`` does that for what leaves Spark.
 
     ``station_filter`` keeps one station's rows (an error if there are none). A level column
     that rainfall has too gets ``_wl``. ``keys`` joins many stations at once; without them
@@ -69,4 +70,4 @@ def join_cwc_data(
     keep = F.lit(False)
     for c in has:
         keep = keep | c
-    return out.where(keep).orderBy(*keys, F.col(time_col).asc_nulls_last())
+    return out.where(keep)

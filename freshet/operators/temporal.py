@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -28,6 +28,12 @@ def series(time_col: str = "ts", keys: Sequence[str] = (), ties: Sequence[str] =
     return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
 
 
+def in_time_order(df: DataFrame, time_col: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows by keys and time, those without a time last. A range shuffle of all rows, meant for
+    what leaves Spark: windows and joins order what they need themselves."""
+    return df.orderBy(*keys, F.col(time_col).asc_nulls_last())
+
+
 def _present(df: DataFrame, columns: Sequence[str]) -> list[str]:
     absent = [c for c in columns if c not in df.columns]
     if absent:
@@ -70,8 +76,9 @@ def add_antecedent_precipitation_index(
 
     ``frame``: the last H rows folded by an expression, where decay^H < 1e-18, so what lies
     further back doesn't show in a double; JVM only, for decays up to 0.95. ``grouped``:
-    the recurrence itself over each key's rows in Arrow; exact for every decay, and the
-    rows of one key must fit a task. ``auto`` takes the frame where it can.
+    the recurrence itself over each key's rows; exact for every decay. The rows of a key pass
+    through one task in order, in Arrow batches with one number carried from batch to batch,
+    so memory doesn't grow with them. ``auto`` takes the frame where it can.
     """
     if not _present(df, [rainfall_col]):
         return df
@@ -94,19 +101,21 @@ def _grouped_index(df: DataFrame, rainfall_col: str, decay: float, new_col: str,
     base = df.drop(new_col)
     schema = T.StructType([*base.schema.fields, T.StructField(new_col, T.DoubleType())])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(time_col, "ascending")])
-        out, a = [], None
-        for t, r in enumerate(table.column(rainfall_col).to_pylist()):
-            r = 0.0 if r is None and null_as_zero else r
-            a = None if r is None or (t and a is None) else float(r) if not t else decay * a + r
-            out.append(a)
-        return table.append_column(new_col, pa.array(out, pa.float64()))
-
-    if keys:
-        return base.groupBy(*keys).applyInArrow(run, schema)
-    whole = base.withColumn("_one", F.lit(0))
-    return whole.groupBy("_one").applyInArrow(lambda t: run(t.drop_columns(["_one"])), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series_now, a, begun = None, None, False
+        for batch in batches:
+            out = []
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            for name, r in zip(names, batch.column(rainfall_col).to_pylist(), strict=True):
+                if not begun or name != series_now:
+                    series_now, a, begun = name, 0.0, True
+                r = 0.0 if r is None and null_as_zero else r
+                a = None if r is None or a is None else decay * a + r
+                out.append(a)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, new_col])
+
+    dealt = base.repartition(*[F.col(k) for k in keys]) if keys else base.repartition(1)
+    return dealt.sortWithinPartitions(*keys, F.col(time_col).asc_nulls_last()).mapInArrow(run, schema)
 
 
 def frequency_seconds(freq: str) -> int:

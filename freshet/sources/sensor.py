@@ -27,28 +27,33 @@ def require_local_file(path: str) -> None:
 
 
 def load_sensor_csv(
-    spark: SparkSession, path: str, timestamp_col: str = "timestamp", drop_cols: Sequence[str] = (), resample_freq: str | None = None
+    spark: SparkSession, path: str, timestamp_col: str = "timestamp", drop_cols: Sequence[str] = (), resample_freq: str | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Read a sensor CSV: strict timestamps, listed columns dropped, measures as double (what
-    doesn't parse is null), and on request a dense grid of means, filled forward then back.
+    """Read a sensor CSV: strict timestamps (one that doesn't parse is an error, whatever the
+    session's ANSI setting), listed columns dropped, measures as double (what doesn't parse is
+    null), and on request a dense grid of means by ``keys``, filled forward then back.
 
-    Text columns that hold no number at all stay text, so that they can't empty a feature set.
+    ``keys`` stay text, and so do columns that hold no number at all, so that they can't empty a
+    feature set. Rows aren't sorted: ``in_time_order`` does that for what leaves Spark.
     """
     require_local_file(path)
     df = spark.read.csv(path, header=True)
     if timestamp_col not in df.columns:
         raise ValueError(f"Timestamp column '{timestamp_col}' not found. Available: {df.columns}")
-    df = df.withColumn(timestamp_col, F.to_timestamp(timestamp_col)).drop(*[c for c in drop_cols if c in df.columns])
-    others = [c for c in df.columns if c != timestamp_col]
-    if others:
-        numbers = df.agg(*[F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c) for c in others]).first()
-        numeric = [c for c in others if numbers[c]]
-        df = df.withColumns({c: F.nanvl(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(None)) for c in numeric})
-    else:
-        numeric = []
+    df = df.drop(*[c for c in drop_cols if c in df.columns and c not in keys])
+    others = [c for c in df.columns if c != timestamp_col and c not in keys]
+    time = F.try_to_timestamp(F.col(f"`{timestamp_col}`"))
+    found = df.agg(
+        F.count_if(F.col(f"`{timestamp_col}`").isNotNull() & time.isNull()).alias("bad"),
+        *[F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"n{i}") for i, c in enumerate(others)],
+    ).first()
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} values of '{timestamp_col}' are not timestamps")
+    numeric = [c for i, c in enumerate(others) if found[f"n{i}"]]
+    df = df.withColumns({timestamp_col: time, **{c: F.nanvl(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(None)) for c in numeric}})
     if resample_freq:
-        df = fill_both_ways(resample_mean(df, numeric, resample_freq, timestamp_col), numeric, timestamp_col)
-    return df.orderBy(F.col(timestamp_col).asc_nulls_last())
+        df = fill_both_ways(resample_mean(df, numeric, resample_freq, timestamp_col, keys), numeric, timestamp_col, keys)
+    return df
 
 
 def generate_synthetic_sensor_data(spark: SparkSession, n_hours: int = 8760, start: str = "2023-01-01", seed: int = 42) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Sequence
 from datetime import datetime, timezone
 from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame
 
+from freshet.operators.temporal import in_time_order
+
 
 def save_metrics(metrics: dict[str, Any], output_dir: str, filename: str) -> str:
     os.makedirs(output_dir, exist_ok=True)
@@ -19,10 +22,10 @@ def save_metrics(metrics: dict[str, Any], output_dir: str, filename: str) -> str
     return path
 
 
-def save_predictions(df: DataFrame, output_dir: str, filename: str = "predictions.csv", time_col: str = "timestamp", pred: str = "predicted", obs: str = "observed", single_file: bool = True) -> str:
-    """CSV of time, predicted, observed. One file for small results; with ``single_file``
-    off every task writes its part."""
-    out = df.selectExpr(f"`{time_col}`", f"`{pred}` AS predicted", f"`{obs}` AS observed")
+def save_predictions(df: DataFrame, output_dir: str, filename: str = "predictions.csv", time_col: str = "timestamp", pred: str = "predicted", obs: str = "observed", single_file: bool = True, keys: Sequence[str] = ()) -> str:
+    """CSV of keys, time, predicted, observed, in time order. One file for small results; with
+    ``single_file`` off every task writes its part."""
+    out = in_time_order(df, time_col, keys).selectExpr(*[f"`{k}`" for k in keys], f"`{time_col}`", f"`{pred}` AS predicted", f"`{obs}` AS observed")
     path = os.path.join(output_dir, filename)
     (out.coalesce(1) if single_file else out).write.mode("overwrite").csv(path, header=True)
     return path

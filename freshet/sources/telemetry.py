@@ -53,11 +53,11 @@ def utc_timestamp(c: Column, tz: str = "Asia/Kolkata", formats: Sequence[str] =
 
 
 def parse_cwc_timestamp(df: DataFrame, timestamp_col: str = "timestamp", tz: str = "Asia/Kolkata") -> DataFrame:
-    """Replace ``timestamp_col`` by ``timestamp_utc``, in time order; unparsed times are null and last."""
+    """Replace ``timestamp_col`` by ``timestamp_utc``; unparsed times are null. Nothing is sorted:
+    ``in_time_order`` does that for what leaves Spark."""
     if timestamp_col not in df.columns:
         raise CWCSchemaError(f"Timestamp column '{timestamp_col}' not found. Available: {df.columns}")
-    out = df.withColumn("timestamp_utc", utc_timestamp(F.col(f"`{timestamp_col}`"), tz)).drop(timestamp_col)
-    return out.orderBy(F.col("timestamp_utc").asc_nulls_last())
+    return df.withColumn("timestamp_utc", utc_timestamp(F.col(f"`{timestamp_col}`"), tz)).drop(timestamp_col)
 
 
 def _load(spark: SparkSession, path: str, measure: str) -> DataFrame:

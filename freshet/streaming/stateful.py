@@ -20,16 +20,18 @@ def hourly_means(stream: DataFrame, columns: Sequence[str], time_col: str = "ts"
 def antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm_hr", decay: float = 0.9, time_col: str = "ts", key: str = "station_id") -> DataFrame:
     """a[t] = decay * a[t-1] + r[t] per key over arriving rows, in time order within a batch.
 
-    State is the last value and time of a key. A row not after that time is too late for a
-    recurrence and left out. A null rainfall makes all later values null.
+    State is the last value and time of a key. A row not after the last time of the batches
+    before is too late for a recurrence and left out; rows of one time within a batch are
+    all applied, as by the batch operator. A null rainfall makes all later values null.
     """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, poisoned, last = state.get if state.exists else (0.0, False, None)
-        data = pd.concat(list(frames)).sort_values("t")
+        before = last
+        data = pd.concat(list(frames)).sort_values("t", kind="stable")
         times, out = [], []
         for t, r in zip(data["t"], data["r"], strict=True):
-            if last is not None and t <= last:
+            if before is not None and t <= before:
                 continue
             poisoned = poisoned or pd.isna(r)
             value = value if poisoned else (decay * value + r)

@@ -1,10 +1,14 @@
+import sys
+import types
+
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
-from freshet.operators.temporal import chronological_split, engineer_flood_features, extract_xy
+from freshet.operators.temporal import build_features, chronological_split, engineer_flood_features, extract_xy
 from freshet.plans.model import FloodModel, build_model_from_config
-from freshet.plans.training import check_columns, compare_flood_baselines, format_comparison_report, run_training, train_on_features
-from freshet.sources.sensor import generate_synthetic_sensor_data
+from freshet.plans.training import check_columns, compare_flood_baselines, format_comparison_report, main, run_training, train_on_features
+from freshet.sources.sensor import generate_synthetic_sensor_data, load_sensor_csv
 
 SMALL = {"n_estimators": 3, "max_depth": 2, "subsample": 0.8, "min_samples_split": 10, "random_state": 42}
 
@@ -58,6 +62,77 @@ def test_comparison(series):
     assert "warning" in empty and not empty["models"]
 
 
+def two_stations(spark, tmp_path):
+    """A file of two stations with interleaved rows: (path of the data, config, path of the config)."""
+    one, two = (generate_synthetic_sensor_data(spark, 300, seed=s).withColumn("station", F.lit(n)) for n, s in (("7", 1), ("8", 2)))
+    data = tmp_path / "two.csv"
+    one.union(two.withColumn("water_level_m", F.col("water_level_m") + 100)).orderBy("timestamp", "station").toPandas().to_csv(data, index=False)
+    cfg = {
+        "experiment": {"name": "two", "seed": 1}, "data": {"input_path": str(data), "key_cols": ["station"]}, "split": {"train_end": "2023-01-10"},
+        "features": {"lag_hours": [1], "rolling_sum_windows": [3], "dynamic_sensor_cols": ["water_level_m"]},
+        "model": {"kind": "gradient_boosting", "gradient_boosting": SMALL}, "artifacts": {k: str(tmp_path / k) for k in ("model_dir", "metrics_dir", "configs_dir")},
+    }
+    path = tmp_path / "two.yaml"
+    path.write_text(yaml.dump(cfg))
+    return data, cfg, path
+
+
+def test_stations_stay_apart(spark, tmp_path):
+    data, cfg, path = two_stations(spark, tmp_path)
+    df = load_sensor_csv(spark, str(data), keys=["station"])
+    assert dict(df.dtypes)["station"] == "string"
+    lags = build_features(df, cfg, "timestamp", ["station"]).where("water_level_m_lag_1 IS NOT NULL")
+    assert lags.where(F.abs(F.col("water_level_m_lag_1") - F.col("water_level_m")) > 50).count() == 0
+    assert lags.count() == 2 * 299
+    out = run_training(spark, str(path))
+    assert "station" not in out["metadata"]["feature_names"] and out["metadata"]["n_train"] == out["metadata"]["n_train"] // 2 * 2
+    saved = spark.read.csv(str(tmp_path / "metrics_dir" / "two_predictions.csv"), header=True)
+    assert saved.columns[0] == "station" and saved.select("station").distinct().count() == 2
+    assert saved.where(F.abs(F.col("observed").cast("double") - F.col("predicted").cast("double")) > 50).count() == 0
+    direct = train_on_features(spark, str(data), str(path), str(tmp_path / "direct2"))
+    assert direct["metrics"]["RMSE"] > 0
+    assert run_training(spark, str(path), keys=["station"])["metrics"]["RMSE"] == out["metrics"]["RMSE"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    data, cfg, path = two_stations(spark, tmp_path)
+    monkeypatch.setattr("freshet.session.build_session", lambda *a, **k: spark)
+    assert main(["--config", str(path)]) == 0
+    assert capsys.readouterr().out.strip().splitlines()[-1].endswith("two_metrics.json")
+    assert main(["--config", str(path), "--data", str(data), "--artifact-dir", str(tmp_path / "cli")]) == 0
+    with pytest.raises(SystemExit):
+        main([])
+
+
+def test_xgboost_branch_under_a_stand_in(series, monkeypatch):
+    """The package isn't installed: what its estimator is called with, and that its model is used."""
+    from pyspark.ml.regression import GBTRegressor
+
+    calls = []
+
+    def regressor(**given):
+        calls.append(given)
+        return GBTRegressor(featuresCol=given["features_col"], labelCol=given["label_col"], predictionCol=given["prediction_col"], maxIter=1)
+
+    package, part = types.ModuleType("xgboost"), types.ModuleType("xgboost.spark")
+    part.SparkXGBRegressor = regressor
+    package.spark = part
+    monkeypatch.setitem(sys.modules, "xgboost", package)
+    monkeypatch.setitem(sys.modules, "xgboost.spark", part)
+    train, test = (extract_xy(d, time_col="timestamp") for d in series)
+    features = [c for c in train.columns if c not in ("timestamp", "label")]
+    given = {"n_estimators": 9, "reg_alpha": 0.1, "n_jobs": 4}
+    model = FloodModel("xgboost", given).fit(train, features, test)
+    assert calls[-1] == {"features_col": "_features", "label_col": "label", "prediction_col": "prediction", "n_estimators": 9, "reg_alpha": 0.1, "validation_indicator_col": "_validation", "early_stopping_rounds": 50}
+    assert model.predict(test).where("predicted < 0").count() == 0
+    FloodModel("xgboost", given | {"early_stopping_rounds": 7}).fit(train, features, test)
+    assert calls[-1]["early_stopping_rounds"] == 7
+    FloodModel("xgboost", given | {"early_stopping_rounds": 7}).fit(train, features)
+    assert "early_stopping_rounds" not in calls[-1] and "validation_indicator_col" not in calls[-1]
+    report = compare_flood_baselines(*series, gb_params=SMALL, time_col="timestamp")
+    assert "RMSE" in report["models"]["xgboost"] and calls[-1]["objective"] == "reg:squarederror"
+
+
 def test_training_run(spark, tmp_path):
     data = tmp_path / "s.csv"
     generate_synthetic_sensor_data(spark, 300).toPandas().to_csv(data, index=False)

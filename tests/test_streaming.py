@@ -20,6 +20,13 @@ def test_index_carries_its_state_over_batches(spark, tmp_path):
     assert [(k, round(v, 6)) for k, _, v in got] == [("a", 10.0), ("a", 19.0), ("a", 27.1), ("b", 1.0)]
 
 
+def test_rows_of_one_time_in_a_batch_all_count(spark, tmp_path):
+    schema = "station_id string, ts timestamp, rainfall_mm_hr double"
+    batches = [[("a", T0, 10.0), ("a", T0, 10.0)], [("a", T0, 5.0), ("a", T0 + timedelta(hours=1), 1.0), ("a", T0 + timedelta(hours=1), 1.0)]]
+    got = run(spark, tmp_path, batches, schema, antecedent_index, "ties", ["station_id", "ts", "antecedent_precipitation_index"])
+    assert sorted(round(v, 6) for _, _, v in got) == [10.0, 17.29, 18.1, 19.0]
+
+
 def test_hourly_means_behind_the_watermark(spark, tmp_path):
     schema = "station_id string, ts timestamp, x double"
     batches = [[("a", T0, 1.0), ("a", T0 + timedelta(minutes=30), 3.0)], [("a", T0 + timedelta(hours=9), 5.0)]]

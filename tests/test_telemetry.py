@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from freshet.errors import CWCJoinError, CWCSchemaError
 from freshet.operators import quality
 from freshet.operators.fusion import join_cwc_data, validate_cwc_join
+from freshet.operators.temporal import in_time_order
 from freshet.sources import config, schema, sensor, telemetry
 
 T0 = datetime(2023, 6, 1)
@@ -71,7 +72,7 @@ def test_join_guards(spark):
 def test_join(spark):
     rain, wl = ready(rainfall(spark)).withColumn("hfl_m", F.lit(1.0)), ready(level(spark, start=T0 + timedelta(hours=10))).withColumn("hfl_m", F.lit(2.0))
     out = join_cwc_data(rain, wl, min_overlap_hours=24)
-    rows = out.collect()
+    rows = in_time_order(out, "timestamp_utc").collect()
     assert len(rows) == 58 and {"hfl_m", "hfl_m_wl"} <= set(out.columns)
     assert [r["timestamp_utc"] for r in rows] == sorted(r["timestamp_utc"] for r in rows)
     # half-hour local times fall into the hour before
@@ -97,15 +98,30 @@ def test_files(spark, tmp_path):
         telemetry.load_cwc_rainfall(spark, str(tmp_path / "absent.csv"))
 
 
+def test_loading_and_joining_sorts_nothing(spark):
+    """One range shuffle of a feed would be for nothing: its rows are resampled next."""
+    plan = join_cwc_data(ready(rainfall(spark)), ready(level(spark)), min_overlap_hours=24)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_sensor_csv(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text("timestamp,a,b,note\n2023-01-01 02:00:00,1,x,n\n2023-01-01 00:00:00,3,5,m\n")
     df = sensor.load_sensor_csv(spark, str(path), drop_cols=["zz"])
-    assert [(r["a"], r["b"], r["note"]) for r in df.collect()] == [(3.0, 5.0, "m"), (1.0, None, "n")]
+    assert [(r["a"], r["b"], r["note"]) for r in in_time_order(df, "timestamp").collect()] == [(3.0, 5.0, "m"), (1.0, None, "n")]
     dense = sensor.load_sensor_csv(spark, str(path), resample_freq="1h").orderBy("timestamp").collect()
     assert [(r["a"], r["b"]) for r in dense] == [(3.0, 5.0), (3.0, 5.0), (1.0, 5.0)]
     with pytest.raises(ValueError, match="Timestamp column"):
         sensor.load_sensor_csv(spark, str(path), "when")
+    bad = tmp_path / "bad.csv"
+    bad.write_text("timestamp,a\n2023-01-01 02:00:00,1\nyesterday,2\n")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(ValueError, match="1 values of 'timestamp'"):
+                sensor.load_sensor_csv(spark, str(bad))
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
     with pytest.raises(ValueError, match="Missing"):
         sensor.validate_schema(df)
 
