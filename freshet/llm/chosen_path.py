@@ -3,8 +3,8 @@
 Every document is a set of word shingles. In each of several independent trees,
 documents branch by their minwise tokens: at every level a document goes to the child of
 the least (at the first levels: the two least) of its tokens under that level's hash; below
-those levels a node that is still large is branched by several subtrees, so that recall
-doesn't fall with depth.
+those levels a node that is still large, and isn't one family of near copies, is branched by
+several subtrees, so that recall doesn't fall with depth.
 Two sets of similarity s share the least token with probability s, so similar documents
 go down together. A node that is small enough is not branched further but compared
 exhaustively, by one-permutation sketches; what may be linked is then confirmed on full
@@ -197,33 +197,34 @@ def _describe(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _leaves(reps: DataFrame) -> DataFrame:
-    """Branch the trees: grp (node), id and n for every leaf of two documents at least."""
-    wide = sum(_OF_TREE)
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with n, the members of their node, for nodes of two documents at least."""
+    sizes = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    return materialise(rows.join(sizes, "grp"), "branch")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        sizes = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-        return materialise(rows.join(sizes, "grp"), "branch")
 
+def _nodes(reps: DataFrame) -> DataFrame:
+    """Branch the trees by the tokens followed: grp (node), id, tree and n."""
+    wide = sum(_OF_TREE)
     rows = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("path", t * wide + 1, F.lit(sum(FOLLOWED))))).alias("tree", "rest"))
     rows = rows.select("id", "tree", F.xxhash64("tree").alias("grp"), "rest")
     for n in FOLLOWED:
         rows = rows.select("id", "tree", "grp", F.explode(F.array_distinct(F.slice("rest", 1, n))).alias("token"), F.slice("rest", n + 1, wide).alias("rest"))
         rows = rows.select("id", "tree", F.xxhash64("grp", "token").alias("grp"), "rest")
-    known = counted(rows.drop("rest"))
-    leaves = known.where(F.col("n") <= BLOCK).select("grp", "id", "n")
-    large = known.where(F.col("n") > BLOCK).select("id", "tree", "grp")
-    if not large.limit(1).count():
-        return leaves
-    # the tokens of subtrees are fetched for large nodes alone
+    return _counted(rows.drop("rest"))
+
+
+def _leaves(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Branch nodes (grp, id, tree) by subtrees: grp, id and n of their leaves."""
+    wide = sum(_OF_TREE)
+    # the tokens of subtrees are fetched for these nodes alone
     rows = large.join(reps.select("id", "path"), "id").select(
         "id", "grp", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SUBTREES - 1)), lambda r: F.slice("path", F.col("tree") * wide + sum(FOLLOWED) + r * DEEPER + 1, F.lit(DEEPER)))).alias("sub", "rest")
     )
-    known = counted(rows.select("id", F.xxhash64("grp", "sub", F.col("rest")[0]).alias("grp"), F.slice("rest", 2, DEEPER).alias("rest")))
-    leaves = leaves.union(known.where(F.col("n") <= BLOCK).select("grp", "id", "n"))
-    known = counted(known.where(F.col("n") > BLOCK).select("id", F.xxhash64("grp", "rest").alias("grp")))
-    leaves = leaves.union(known.select("grp", "id", "n"))
-    return leaves
+    known = _counted(rows.select("id", F.xxhash64("grp", "sub", F.col("rest")[0]).alias("grp"), F.slice("rest", 2, DEEPER).alias("rest")))
+    leaves = known.where(F.col("n") <= BLOCK).select("grp", "id", "n")
+    known = _counted(known.where(F.col("n") > BLOCK).select("id", F.xxhash64("grp", "rest").alias("grp")))
+    return leaves.union(known.select("grp", "id", "n"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,14 +241,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     differ, any of them may stand for it. An empty table gives an empty table.
 
     At scale: equal sets fold into one class first (map-side combined). Trees carry ids
-    and tokens only; a node of more than ``BLOCK`` documents is branched to the last level
-    and then dealt into blocks that share pivots. Full sets are built once for the
-    documents of candidate clusters alone. A cluster beyond ``BLOCK`` is dealt likewise.
-    In a node or a cluster that was dealt, members outside its main component are then
-    compared with all its members, part by part, if they are ``FEW``. If they are more (pages
-    of one template, say, alike to few others), the members join on full sets by an exact
-    prefix filter: only documents that share one of their rarest tokens meet. Either way no link
-    between different components is lost, and nothing is collected.
+    and tokens only. A node of more than ``BLOCK`` documents is dealt into blocks that share
+    pivots, and if few members are outside its main component then, these are compared with all
+    of it: a family of near copies is done without branching it further. Any other large node
+    is branched to the last level. Full sets are built once for the documents of candidate
+    clusters alone; large last-level nodes and clusters are dealt and completed likewise. Where
+    more than ``FEW`` stay outside (pages of one template, say, alike to few others), the members
+    join on full sets by an exact prefix filter: only documents that share one of their
+    rarest tokens meet. Either way no link between different components is lost, and nothing is
+    collected.
     """
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     kind = base.schema["_id"].dataType
@@ -257,11 +259,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = materialise(full.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     reps = materialise(full.join(classes.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).where("id = rep").select("id", "size", "path", "sketch").dropDuplicates(["id"]), "reps")
 
-    # candidates: leaves compared by sketches, clusters of what may be linked
-    leaves = materialise(_leaves(reps), "leaves")
+    # candidates: nodes compared by sketches, clusters of what may be linked
     sketch = reps.select("id", "size", F.col("sketch").alias("payload"))
-    maybe = materialise(connect_blocks(deal_blocks(leaves).join(sketch, "id"), likely(percent), kind), "maybe")
-    maybe, hard = _complete(leaves, sketch, maybe, kind, likely(percent))
+    nodes = _nodes(reps)
+    maybe = materialise(connect_blocks(deal_blocks(nodes).join(sketch, "id"), likely(percent), kind), "maybe")
+    maybe, large = _complete(nodes, sketch, maybe, kind, likely(percent), SUBTREES * BLOCK // 2)
+    hard = None
+    if large is not None:
+        leaves = materialise(_leaves(nodes.join(large.select("grp").distinct(), "grp").select("grp", "id", "tree"), reps), "leaves")
+        more = connect_blocks(deal_blocks(leaves).join(sketch, "id"), likely(percent), kind)
+        maybe, hard = _complete(leaves, sketch, materialise(maybe.union(more), "maybe"), kind, likely(percent), FEW)
     clusters = components(maybe, kind)
     sizes = materialise(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     members = materialise(clusters.join(sizes, "component").select("id", F.xxhash64("component").alias("grp"), "n"), "members")
@@ -280,10 +287,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # members grow with the data: a merge join at every size
     payload = materialise(texts.join(wanted.hint("merge"), "id").select("id", "text").mapInArrow(build, schema), "full")
     edges = materialise(connect_blocks(deal_blocks(members).join(payload, "id"), confirmed(percent), kind), "links")
-    edges, more = _complete(members, payload, edges, kind, confirmed(percent))
+    edges, more = _complete(members, payload, edges, kind, confirmed(percent), FEW)
     for found in (hard, more):
         if found is not None:
-            edges = edges.union(_meet_by_rare_tokens(found, payload, kind, percent))
+            edges = edges.union(_meet_by_rare_tokens(found.groupBy("id").agg(F.max("out").alias("out")), payload, kind, percent))
     found = components(edges, kind)
 
     label = materialise(
@@ -304,12 +311,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def _complete(
-    groups: DataFrame, payload: DataFrame, edges: DataFrame, kind: T.DataType, compare: Callable[[np.ndarray, list, np.ndarray], np.ndarray], few: int | None = FEW,
+    groups: DataFrame, payload: DataFrame, edges: DataFrame, kind: T.DataType, compare: Callable[[np.ndarray, list, np.ndarray], np.ndarray], few: int | None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Complete the edges of groups (leaves or clusters: grp, id, n) beyond BLOCK, which were
+    """Complete the edges of groups (nodes or clusters: grp, id, n) beyond BLOCK, which were
     dealt: members outside the main component of a group are compared with all its members. Groups of
-    more such members than ``few`` are left to the caller: the second result has their
-    ids, with ``out`` for those outside; it is None if there are none."""
+    more such members than ``few`` (None: any number) are left to the caller: the second result
+    has their grp and id, with ``out`` for those outside; it is None if there are none."""
     large = groups.where(F.col("n") > BLOCK).select("grp", "id", "n")
     if not large.limit(1).count():
         return edges, None
@@ -320,8 +327,7 @@ def _complete(
     counted = materialise(marked.where("out").groupBy("grp").agg(F.count("*").alias("r")), "rest")
     discard(labelled)
     if few is not None:
-        many = marked.join(counted.where(F.col("r") > few), "grp")
-        many = materialise(many.groupBy("id").agg(F.max("out").alias("out")), "hard")
+        many = materialise(marked.join(counted.where(F.col("r") > few), "grp").select("grp", "id", "out"), "hard")
         counted = counted.where(F.col("r") <= few)
     chunk = BLOCK // 2
     parts, chunks = F.ceil(F.col("n") / chunk).cast("int"), F.ceil(F.col("r") / chunk).cast("int")

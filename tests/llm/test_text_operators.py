@@ -118,20 +118,24 @@ def test_near_duplicates_in_a_group_beyond_one_block(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == h.brute_components(rows, 2)
 
 
+def one_node(monkeypatch, grp, n):
+    """All documents in last-level nodes ``grp``, said to have n members."""
+    monkeypatch.setattr(chosen_path, "SUBTREES", 0)  # every large node with anyone outside is branched
+    monkeypatch.setattr(chosen_path, "_nodes", lambda reps: reps.select(grp(F.col("id")).cast("long").alias("grp"), "id", F.lit(0).alias("tree"), F.lit(n).cast("long").alias("n")))
+    monkeypatch.setattr(chosen_path, "_leaves", lambda large, reps: large.select("grp", "id", F.lit(n).cast("long").alias("n")))
+
+
 @pytest.mark.parametrize("few", [1024, 100])
 def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch, few):
     """All documents in one last-level node far beyond a block, most of them alike to nothing:
     compared with all, or met by their rarest tokens."""
-    defaults = chosen_path._complete.__defaults__
-    monkeypatch.setattr(chosen_path._complete, "__defaults__", (few,))
-    assert defaults == (chosen_path.FEW,)
+    monkeypatch.setattr(chosen_path, "FEW", few)
     rng = random.Random(8)
     texts = [[f"u{rng.randrange(100)}" for _ in range(60)] for _ in range(600)]
     for k in range(40):
         texts.append([*texts[k * 10], f"v{k}"])
     rows = [(i, " ".join(w), None, None, 0) for i, w in enumerate(texts)]
-    leaf = lambda reps: reps.select(F.lit(1).cast("long").alias("grp"), "id", F.lit(len(rows)).cast("long").alias("n"))
-    monkeypatch.setattr(chosen_path, "_leaves", leaf)
+    one_node(monkeypatch, lambda id: F.lit(1), len(rows))
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 2).collect()
     want = h.brute_components(rows, 2)
     assert sum(d != c for d, (_, c) in want.items()) == 40
@@ -163,9 +167,8 @@ def test_recall_by_similarity_among_pages_of_one_template(spark, monkeypatch, sm
     nodes beyond a block, too."""
     rows, pairs = template_pages(2000, 3)
     if not small_nodes:
-        monkeypatch.setattr(chosen_path, "_leaves", lambda reps: reps.select(F.pmod("id", F.lit(2000)).alias("m"), "id").select(
-            F.when(F.col("m") % 20 < 10, 1).otherwise(2).cast("long").alias("grp"), "id", F.lit(1100).cast("long").alias("n")))
-        monkeypatch.setattr(chosen_path._complete, "__defaults__", (200,))
+        one_node(monkeypatch, lambda id: F.when(F.pmod(id, F.lit(20)) < 10, 1).otherwise(2), 1100)
+        monkeypatch.setattr(chosen_path, "FEW", 200)
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 2).collect()}
     for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
         band = [(a, b) for a, b, s in pairs if low <= s < high]
@@ -186,7 +189,8 @@ def test_pairs_meet_in_leaves_of_the_last_level(spark, monkeypatch):
         rows.append((2 * k + 1, " ".join(w), None, None, 0))
     docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), "text").repartition(4)
     monkeypatch.setattr(chosen_path, "BLOCK", 1)
-    met = chosen_path._leaves(chosen_path._describe(docs, 2)).groupBy("grp").agg(F.collect_set("id").alias("ids"))
+    reps = chosen_path._describe(docs, 2)
+    met = chosen_path._leaves(chosen_path._nodes(reps), reps).groupBy("grp").agg(F.collect_set("id").alias("ids"))
     pairs = {tuple(sorted(r["ids"])) for r in met.collect()}
     assert len([k for k in range(1000) if (2 * k, 2 * k + 1) in pairs]) == 1000
 
