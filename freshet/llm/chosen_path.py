@@ -316,7 +316,8 @@ def _complete(
     """Complete the edges of groups (nodes or clusters: grp, id, n) beyond BLOCK, which were
     dealt: members outside the main component of a group are compared with all its members. Groups of
     more such members than ``few`` (None: any number) are left to the caller: the second result
-    has their grp and id, with ``out`` for those outside; it is None if there are none."""
+    has their grp and id, with ``out`` for those outside; it is None if there are none. Edges
+    that come back connect what they connected, as stars."""
     large = groups.where(F.col("n") > BLOCK).select("grp", "id", "n")
     if not large.limit(1).count():
         return edges, None
@@ -341,7 +342,8 @@ def _complete(
         both.withColumn("_part", F.pmod(F.xxhash64("id", "grp"), parts).cast("int"))
         .withColumn("_of", F.explode(F.sequence(F.lit(0), chunks - 1))).select(block("_part", "_of"), "id")
     )
-    edges = materialise(edges.union(connect_blocks(queries.union(against).join(payload, "id"), compare, kind)), "completed")
+    stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    edges = materialise(stars.union(connect_blocks(queries.union(against).join(payload, "id"), compare, kind)), "completed")
     return edges, (many if few is not None and many.limit(1).count() else None)
 
 

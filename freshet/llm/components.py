@@ -24,26 +24,26 @@ def components(edges: DataFrame, id_type: T.DataType) -> DataFrame:
     small star (every neighbour below me, and I, to the least) until every id has one
     parent that has none, which takes about log^2 rounds. Every step is a map-side
     combined minimum and a plain shuffle join, which adaptive execution splits at a hub;
-    each round is written to the shared folder, and the one before it deleted. Loops are dropped.
+    each round is written to the shared folder twice, and the one before it deleted. Loops are dropped.
     """
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def settled(df: DataFrame) -> bool:
-        roles = df.select(F.col("a").alias("id"), F.lit(1).alias("parents"), F.lit(0).alias("children")).union(df.select("b", F.lit(0), F.lit(1)))
-        open_ids = roles.groupBy("id").agg(F.sum("parents").alias("p"), F.sum("children").alias("c")).where("p > 1 OR (p > 0 AND c > 0)")
-        return not open_ids.limit(1).count()
-
     now = materialise(ordered(edges), "edges")
-    while not settled(now):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        below = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = materialise(both.join(below, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "star")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        below = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        seen = materialise(both.join(below, "a"), "seen")
+        # settled: the lower end of every edge is a root, and the least neighbour of the upper end
+        if not seen.where("(b < a AND m <> b) OR (b > a AND m <> a)").limit(1).count():
+            discard(seen)
+            break
+        large = seen.where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         after = materialise(ordered(small), "edges")
-        discard(now, below, large, least)
+        discard(now, seen)
         now = after
     up = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
