@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from freshet.llm import queries as q
@@ -78,5 +79,79 @@ def test_queries_equal_sql(spark, name):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want.fetchall()))
 
 
+CLASHING = ("n_lines", "n_dropped", "n_words", "n_shingles", "component_id", "kept", "size", "source_size", "target", "taken", "epochs", "rule", "base_failed", "_copy", "_rest", "_row", "_id", "_text", "grp")
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_stages_on_odd_tables(spark, name, stage):
+    """Null and repeated ids, null and empty texts, columns of the operators' names, no rows."""
+    good = h.corpus(4, 40, length=120)
+    rows = [*good, good[0], (None, good[4][1], "en", "s1", 9), (None, None, None, None, None), (good[7][0], "another text " * 30, "en", None, 9)]
+    df = spark.createDataFrame(rows, h.SCHEMA)
+    for c in CLASHING:
+        df = df.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    df = df.repartition(3)
+    out = stage(spark, df, DIR)
+    assert stage(spark, df.limit(0), DIR).count() == 0
+    if name == "best_fit_packing":
+        assert out.where("piece = 0").count() == len(rows)
+        return
+    assert out.columns == df.columns
+    got = out.collect()
+    for r in got:  # what came in comes out with its row
+        assert all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for c in CLASHING)
+    if name == "line_dedup":
+        assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+        assert next(r["text"] for r in got if r["doc_id"] is None and r["text"]) == good[4][1]
+    if name == "near_dedup":
+        assert sum(r["doc_id"] is None for r in got) == 2 and {r["doc_id"] for r in got} <= {r[0] for r in rows}
+    if name == "quality_rules":
+        texts = [r[1] for r in rows]
+        assert got and all(len(h.words(r["text"])) >= 20 and r["text"] in texts for r in got)
+
+
+def test_stages_on_the_needed_columns_alone(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "x")], "doc_id long, text string, source string")
+    for stage in (cp.line_dedup, cp.near_dedup, cp.source_mixing):
+        assert stage(spark, df, DIR).columns == df.columns
+
+
+@pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
+def test_queries_without_sql_run_whole(spark, name):
+    """One row for each input row (a piece at least, for packing), each as brute force has it where that is short."""
+    out = q.queries()[name](spark, DIR)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").count()
+    got = out.collect()
+    if name == "op7_html_extraction":
+        assert len(got) == pages
+        return
+    if name == "op9_language_id":
+        assert len(got) == pages + len(docs) and all(r["lang"] for r in got)
+        return
+    assert {r["doc_id"] for r in got} == set(docs)
+    if name == "op2_best_fit_packing":
+        assert len({r["sequence_id"] for r in got}) <= -(-sum(r["length"] for r in got) // 4096) + 1
+    else:
+        assert len(got) == len(docs)
+    if name == "op6_minhash_near_dedup":
+        want = h.brute_components([(d, t) for d, t in docs.items()], 2)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    if name == "op8_quality_rules":
+        for r in got:
+            stats = h.brute_statistics(docs[r["doc_id"]])
+            failed = stats[0] < 20 or 100 * stats[4] > 30 * stats[0]
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (*stats, failed) and not (failed and r["kept"])
+    if name == "op5_source_mixing":
+        by = {}
+        for r in got:
+            assert r["size"] == len(h.words(docs[r["doc_id"]])) and 0 <= r["taken"] <= 3 * r["size"]
+            by.setdefault((r["source_size"], r["target"]), []).append((r["size"], r["taken"]))
+        for (_, goal), used in by.items():  # no unused document would bring the sum nearer
+            gap, most = goal - sum(t for _, t in used), max(t // max(n, 1) for n, t in used)
+            unused = [n for n, t in used if n and t // n < most]
+            assert abs(gap) <= 1 or not unused or abs(gap) <= min(unused), (goal, gap)
+
+
 def test_run(spark):
     assert cp.run(spark, DIR).count() > 0
