@@ -38,9 +38,10 @@ _OF_TREE = (*FOLLOWED, *[1] * (SUBTREES * DEEPER))
 #: Bins of a sketch (a power of two), and the share of equal ones from which full sets are
 #: compared; that is six standard deviations below a similarity of 0.8.
 BINS, MAYBE = 128, 0.58
-#: Documents outside the main component of a large group that are compared with all of it; with
-#: more of them, the group's members meet by their rarest tokens.
-FEW = 1024
+#: Documents outside the main component of a large group that are compared with all of it, which
+#: takes up to FEW / 64 rows of each member; with more of them, members meet by their rarest tokens,
+#: which takes a row for every fifth token and is about as much for 150 tokens.
+FEW = 2048
 #: Buckets in which the tokens of such members are counted: a bound of what goes through the driver.
 COUNTED = 1 << 20
 _MULTIPLIERS = np.random.default_rng(6).integers(1, 2**63, TREES * len(_OF_TREE) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -125,7 +125,7 @@ def one_node(monkeypatch, grp, n):
     monkeypatch.setattr(chosen_path, "_leaves", lambda large, reps: large.select("grp", "id", F.lit(n).cast("long").alias("n")))
 
 
-@pytest.mark.parametrize("few", [1024, 100])
+@pytest.mark.parametrize("few", [2048, 100])
 def test_near_duplicates_in_a_node_of_unlike_texts(spark, monkeypatch, few):
     """All documents in one last-level node far beyond a block, most of them alike to nothing:
     compared with all, or met by their rarest tokens."""
