@@ -39,8 +39,8 @@ _OF_TREE = (*FOLLOWED, *[1] * (SUBTREES * DEEPER))
 #: compared; that is six standard deviations below a similarity of 0.8.
 BINS, MAYBE = 128, 0.58
 #: Documents outside the main component of a large group that are compared with all of it, which
-#: takes up to FEW / 64 rows of each member; with more of them, members meet by their rarest tokens,
-#: which takes a row for every fifth token and is about as much for 150 tokens.
+#: takes up to FEW / BLOCK rows of each member; with more of them, members meet by their rarest
+#: tokens, which takes a row for every fifth token.
 FEW = 2048
 #: Buckets in which the tokens of such members are counted: a bound of what goes through the driver.
 COUNTED = 1 << 20
@@ -331,7 +331,7 @@ def _complete(
     if few is not None:
         many = materialise(marked.join(counted.where(F.col("r") > few), "grp").select("grp", "id", "out"), "hard")
         counted = counted.where(F.col("r") <= few)
-    chunk = BLOCK // 2
+    chunk = BLOCK  # two chunks a block: pairs are as many at any size, rows half as many at twice the size
     parts, chunks = F.ceil(F.col("n") / chunk).cast("int"), F.ceil(F.col("r") / chunk).cast("int")
     block = lambda part, of: F.xxhash64("grp", part, of, F.lit(2)).alias("block")
     both = marked.join(counted, "grp")
