@@ -1,0 +1,177 @@
+"""Exhaustive versions of what is learned or optimised, and operators on very long texts."""
+
+import itertools
+import math
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from freshet.llm import mixing, packing
+from freshet.llm.chosen_path import near_duplicates
+from freshet.llm.decision_list import FEATURES, STATISTICS, learn_rules, shares, statistics
+from freshet.llm.line_dedup import drop_repeated_lines
+from freshet.llm.queries import tokenizer_path
+from freshet.llm.substring_dedup import find_factors
+from tests.llm import helpers as h
+
+
+def use_cost(tokens, capacity):
+    """The e-th use of a token costs e, from 0."""
+    return sum(k // capacity for k in range(tokens)) if capacity else 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_route_equals_exhaustive_flow(seed):
+    """The most tokens that can be routed, at the least cost of repetition."""
+    rng = random.Random(seed)
+    epochs, sources = rng.randint(1, 2), ["a", "b"]
+    members = {"a": ["a"], "b": ["b"], "ab": ["a", "b"]}
+    capacity = {p: rng.randint(0, 2) for p in members}
+    quota = {s: rng.randint(0, 5) for s in sources}
+    pairs = [(p, s) for p in members for s in members[p]]
+    best = (0, 0)
+    for tokens in itertools.product(*[range(capacity[p] * epochs + 1) for p, _ in pairs]):
+        sent = {p: sum(t for (x, _), t in zip(pairs, tokens, strict=True) if x == p) for p in members}
+        got = {s: sum(t for (_, x), t in zip(pairs, tokens, strict=True) if x == s) for s in sources}
+        if all(sent[p] <= capacity[p] * epochs for p in members) and all(got[s] <= quota[s] for s in sources):
+            best = max(best, (sum(tokens), -sum(use_cost(sent[p], capacity[p]) for p in members)))
+    flows = mixing.route(capacity, members, quota, epochs)
+    sent = {p: sum(flows.get(p, {}).values()) for p in members}
+    got = {s: sum(flows.get(p, {}).get(s, 0) for p in members) for s in sources}
+    assert all(sent[p] <= capacity[p] * epochs for p in members) and all(got[s] <= quota[s] for s in sources)
+    assert (sum(sent.values()), -sum(use_cost(sent[p], capacity[p]) for p in members)) == best
+
+
+def junk(seed, n=900):
+    """Rows and labels: three kinds of junk, a share of labels turned over."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(n):
+        kind = rng.random()
+        w = [rng.choice(vocab) for _ in range(rng.randint(30, 60))]
+        if kind < 0.12:
+            w = [x + rng.choice(["##", "$", "", "|"]) for x in w]
+        elif kind < 0.2:
+            w = [x[:2] for x in w]
+        elif kind < 0.3:
+            w = w[:12] * 4
+        bad = kind < 0.3
+        rows.append((i, " ".join(w), None, None, 0))
+        labels.append((i, int(not bad) if rng.random() > 0.03 else int(bad)))
+    return rows, labels
+
+
+def brute_rules(x, bad, grow, cuts, max_rules, max_conditions, min_precision, min_covered):
+    """Sequential covering with every threshold of every feature evaluated on the rows themselves."""
+    n = len(bad)
+    edges = {}
+    for k, name in enumerate(FEATURES):
+        ordered = np.sort(x[:, k])
+        edges[name] = sorted({ordered[max(math.ceil(n * c / cuts) - 1, 0)] for c in range(cuts + 1)})
+    mask = lambda c: x[:, FEATURES.index(c[0])] > edges[c[0]][c[2]] if c[1] else x[:, FEATURES.index(c[0])] <= edges[c[0]][c[2]]
+    every = [(f, above, k) for f in FEATURES for k in range(len(edges[f]) - 1) for above in (False, True)]
+    rules, left = [], np.ones(n, bool)
+    while len(rules) < max_rules:
+        inside, path, worth = left.copy(), [], []
+        while len(path) < max_conditions:
+            p0, q0 = int((inside & bad & grow).sum()), int((inside & ~bad & grow).sum())
+            if not p0 or not q0:
+                break
+            scored = []
+            for c in every:
+                m = inside & grow & mask(c)
+                p, q = int((m & bad).sum()), int((m & ~bad).sum())
+                if p:
+                    scored.append((p * (math.log2(p / (p + q)) - math.log2(p0 / (p0 + q0))), p, c))
+            if not scored or max(scored)[0] <= 0:
+                break
+            path.append(max(scored)[2])
+            inside &= mask(path[-1])
+            p, q = int((inside & bad & ~grow).sum()), int((inside & ~bad & ~grow).sum())
+            worth.append(((p - q) / (p + q) if p + q else -1.0, -len(path), p, q))
+        if not worth:
+            break
+        _, size, p, q = max(worth)
+        if p + q < min_covered or p < min_precision * (p + q):
+            break
+        chosen = path[:-size]
+        rules.append(([(f, above, float(edges[f][k])) for f, above, k in chosen], p / (p + q), p + q))
+        covered = left.copy()
+        for c in chosen:
+            covered &= mask(c)
+        left &= ~covered
+    return rules
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_equal_brute_force_covering(spark, seed):
+    rows, labels = junk(seed)
+    stats = statistics(spark.createDataFrame(rows, h.SCHEMA)).drop("text")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    options = {"cuts": 20, "max_rules": 5, "max_conditions": 3, "min_precision": 0.8, "min_covered": 5}
+    got = [([(c.feature, c.above, c.threshold) for c in r.conditions], r.precision, r.covered) for r in learn_rules(stats, labels, **options).rules]
+    known = stats.join(labels, "doc_id").select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), *[c.alias(n) for n, c in shares().items()]).toPandas()
+    want = brute_rules(known[list(FEATURES)].to_numpy(), known["bad"].to_numpy(bool), known["grow"].to_numpy(bool), **options)
+    assert got == want and len(got) >= 2
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """A text of 120,000 words, the same with one word changed, and one word of a million letters."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    w = [rng.choice(vocab) for _ in range(120_000)]
+    other = [*w]
+    other[60_000] = "changed"
+    texts = ["\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12)), " ".join(other), "ab" * 500_000, "a few words"]
+    return [(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, long_rows):
+    return spark.createDataFrame(long_rows, h.SCHEMA).repartition(2)
+
+
+def test_substrings_of_very_long_texts(long_docs, long_rows):
+    want = h.brute_substrings(long_rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in find_factors(long_docs).collect()}
+    assert got == want and want[2][1] == 119_999
+
+
+def test_lines_of_very_long_texts(long_docs, long_rows):
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in drop_repeated_lines(long_docs, min_docs=1).collect()}
+    assert got == h.brute_lines(long_rows, least=1)
+
+
+def test_near_duplicates_of_very_long_texts(long_docs, long_rows):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(long_docs, shingle=2).collect()}
+    assert got == h.brute_components(long_rows, 2) and got[2][1] == 1
+
+
+def test_statistics_of_very_long_texts(long_docs, long_rows):
+    got = {r["doc_id"]: tuple(r[c] for c in STATISTICS) for r in statistics(long_docs).collect()}
+    assert got == {d: h.brute_statistics(t) for d, t, *_ in long_rows}
+
+
+def test_packing_of_very_long_texts(long_docs, long_rows):
+    path = tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packing.pack_documents(long_docs, path, packing.Capacities(tokens=4096)).collect()}
+    want = {}
+    for d, t, *_ in long_rows:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[d, piece] = (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    assert got == want
+
+
+def test_mixing_of_very_long_texts(long_docs, long_rows):
+    got = {r["doc_id"]: r["size"] for r in mixing.mix_sources(long_docs, F.array("source")).collect()}
+    assert got == {d: len(h.words(t)) for d, t, *_ in long_rows}
