@@ -98,6 +98,25 @@ def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, F.pmod("id", F.lit(20)) == 0, k=20)
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.url_rules import URL_RULES, judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.whitening import whiten
+
+    out = whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=256.0, components=4)
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.source_audit import audit_sources
+
+    return audit_sources(_table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=10, top=10)
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -166,9 +185,49 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(w) AS term FROM docs
+), per_doc AS (
+  SELECT r, lang, source, term, count(*) AS n FROM words GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS n FROM per_doc GROUP BY lang, term HAVING count(*) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, sum(n) AS n FROM per_doc SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), totals AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)::HUGEINT) // (t.total + 2 * s.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.n + 2)::HUGEINT) // (s.total + 2 * s.v)::HUGEINT AS q
+  FROM totals t JOIN sizes s USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op7_html_extraction, op8_quality_rules, op9_language_id, op10_ball_tree_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_warc_zip, op4_line_dedup, op5_source_mixing, op6_minhash_near_dedup, op7_html_extraction, op8_quality_rules, op9_language_id, op10_ball_tree_topk, op11_url_filters, op12_embedding_whitening, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_warc_zip": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_ball_tree_topk": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_warc_zip": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_ball_tree_topk": OP10_SQL, "op13_source_audit": OP13_SQL}
