@@ -14,19 +14,19 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import extras
+from freshet.llm.common import LOWER, UPPER, extras
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist annotation annotation-xml progress meter rp".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
+INVISIBLE = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist annotation annotation-xml progress meter rp".split())
+PREFORMATTED = frozenset("pre textarea xmp listing plaintext".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp listing plaintext blockquote figure hr".split())
 BLOCK = SPACED | frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary tbody tfoot thead tr".split()
 )
@@ -61,6 +61,18 @@ BREAKS_OUT = frozenset(
 VALUED = frozenset("text search email url tel number submit reset button".split())
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Where markup begins; where a comment, a tag, an element without markup ends; an attribute. Each is looked for from one
+#: place on, and what isn't found takes the rest of the page.
+_MARKUP = re.compile(r"<(?:([!?])|(/)(?:([A-Za-z][^\t\n\f />]*))?|([A-Za-z][^\t\n\f />]*))")
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+_ATTRIBUTE = re.compile(r"""[\t\n\f /]*([^\t\n\f />][^\t\n\f />=]*+)(?:[\t\n\f ]*+=[\t\n\f ]*+(?:"([^"]*+)|'([^']*+)|([^\t\n\f >"'][^\t\n\f >]*+)|(?=>)))?""")
+_TAG_END = re.compile(r"[\t\n\f /]*>")
+_IN_SCRIPT = re.compile(r"<!---*>|<!--|-->|</?script(?=[\t\n\f />])", re.I)
+#: Elements whose contents hold no markup.
+UNPARSED = {t: re.compile(rf"</{t}(?=[\t\n\f />])", re.I) for t in "script style xmp iframe noembed noframes plaintext title textarea".split()}
+_LONG_NUMBER = re.compile(r"&#(?:[xX]([0-9a-fA-F]{8,});?|([0-9]{8,});?)")
+_REFERENCE = re.compile(r"&#?[A-Za-z0-9]+(?:;|(?![=A-Za-z0-9;]))")
+_FOLD = str.maketrans(UPPER, LOWER)
 #: Limits of layout, not of text: columns of a table that are aligned, the widest cell that
 #: others are aligned with (and half the widest gap), tables within tables that are laid out as
 #: tables, and the deepest indent. They keep the space that pads a page in proportion to its text.
@@ -74,15 +86,127 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-class TreeBuilder(HTMLParser):
-    """Builds a tree from any string; never raises on malformed markup."""
+def decoded(text: str) -> str:
+    """Text with its character references resolved. Numbers of any length are read."""
+    return unescape(_LONG_NUMBER.sub(_shortened, text)) if "&" in text else text
+
+
+def _shortened(m: re.Match) -> str:
+    """A numeric reference without leading zeros; one beyond all characters as the first that is."""
+    digits = (m[1] or m[2]).lstrip("0") or "0"
+    return f"&#{'x' if m[1] else ''}{digits};" if len(digits) < 8 else "&#x110000;"
+
+
+def _attribute(value: str) -> str:
+    """The same for the value of an attribute, where a name without a semicolon that goes on isn't one."""
+    return _REFERENCE.sub(lambda m: decoded(m[0]), value) if "&" in value else value
+
+
+def _lower(name: str) -> str:
+    return name.lower() if name.isascii() else name.translate(_FOLD)
+
+
+class TreeBuilder:
+    """Builds a tree from any string, in one pass from left to right.
+
+    The tokenizer follows the states of the HTML standard: ``<`` begins markup before a letter, ``/``,
+    ``!`` or ``?`` only; a declaration that is none of comment, document type and (in SVG and MathML) CDATA
+    section is a comment up to ``>``; a comment that isn't closed ends with the page; a tag that isn't
+    closed is none. Of attributes of one name the first counts. Whatever it looks for it finds once: markup that lacks its end takes
+    the rest of the page.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         #: Open elements, and by tag the places of its open elements in that list, ascending.
         self.stack, self.open = [self.root], defaultdict(list, html=[0])
 
+    def feed(self, html: str) -> None:
+        html = html.replace("\r\n", "\n").replace("\r", "\n")
+        at, text = 0, []
+
+        def flush() -> None:
+            if text:
+                self.handle_data(decoded("".join(text)))
+                text.clear()
+
+        while at < len(html):
+            m = _MARKUP.search(html, at)
+            if not m:
+                text.append(html[at:])
+                break
+            text.append(html[at : m.start()])
+            kind, at = m[1] or m[2], m.end()
+            if kind == "!" and html.startswith("--", at):
+                m = _COMMENT_END.search(html, at + 2)
+                at = m.end() if m else len(html)
+            elif kind == "!" and html.startswith("[CDATA[", at) and self._foreign():
+                flush()
+                end = html.find("]]>", at)
+                self.handle_data(html[at + 7 : end if end >= 0 else len(html)])
+                at = end + 3 if end >= 0 else len(html)
+            elif kind == "/" and at == len(html) and not m[3]:
+                text.append("</")
+            elif kind and not m[3]:
+                end = html.find(">", at)
+                at = end + 1 if end >= 0 else len(html)
+            else:
+                at, attrs, closed = self._attributes(html, at)
+                if at < 0:
+                    break
+                flush()
+                tag = _lower(m[3] or m[4])
+                if kind:
+                    self.handle_endtag(tag)
+                    continue
+                foreign = self.handle_starttag(tag, attrs)
+                if closed and tag not in VOID and (tag in FOREIGN or self._foreign()):
+                    self._pop(len(self.stack) - 1)
+                elif not foreign and tag in UNPARSED:
+                    to, after = self._unparsed_end(html, at, tag)
+                    body = html[at:to]
+                    if body:
+                        self.handle_data(decoded(body) if tag in ("title", "textarea") else body)
+                    at = after
+        flush()
+
+    @staticmethod
+    def _attributes(html: str, at: int) -> tuple[int, dict[str, str | None], bool]:
+        """(place after the tag, attributes, whether it closes itself) from the end of a tag's name on; -1 where the page ends first."""
+        attrs: dict[str, str | None] = {}
+        while m := _ATTRIBUTE.match(html, at):
+            at = m.end()
+            double, single, bare = m[2], m[3], m[4]
+            if (double is not None and not html.startswith('"', at)) or (single is not None and not html.startswith("'", at)):
+                return -1, {}, False
+            value = double if double is not None else single if single is not None else bare
+            at += double is not None or single is not None
+            attrs.setdefault(_lower(m[1]), None if value is None else _attribute(value))
+        end = _TAG_END.match(html, at)
+        return (end.end(), attrs, end[0].endswith("/>")) if end else (-1, {}, False)
+
+    @staticmethod
+    def _unparsed_end(html: str, at: int, tag: str) -> tuple[int, int]:
+        """(end of the text of an element without markup, place of what follows: its end tag)."""
+        if tag == "plaintext":
+            return len(html), len(html)
+        if tag == "script":  # a script within a comment within the script has an end tag of its own
+            comment = inner = False
+            for m in _IN_SCRIPT.finditer(html, at):
+                if m[0] == "<!--":
+                    comment = True
+                elif m[0][-1] == ">":
+                    comment = inner = False
+                elif m[0][1] != "/":
+                    inner = comment
+                elif inner:
+                    inner = False
+                else:
+                    return m.start(), m.start()
+            return len(html), len(html)
+        m = UNPARSED[tag].search(html, at)
+        return (m.start(), m.start()) if m else (len(html), len(html))
+
     def _pop(self, down_to: int) -> None:
         while len(self.stack) > max(down_to, 1):
             self.open[self.stack.pop().tag].pop()
@@ -105,22 +229,23 @@ class TreeBuilder(HTMLParser):
             return None
         return "svg" if svg > math else "math"
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag: str, attrs: dict[str, str | None]) -> str | None:
+        """Opens an element; gives the foreign language (svg or math) that it belongs to."""
         foreign = self._foreign()
         if foreign and tag in BREAKS_OUT:
             while self._foreign():
                 self._pop(len(self.stack) - 1)
             foreign = None
         if tag == "html":
-            self.root.attrs = {**dict(attrs), **self.root.attrs}
-            return
+            self.root.attrs = {**attrs, **self.root.attrs}
+            return foreign
         if self.open.get("head") and tag not in IN_HEAD:
             self._close_nearest(("head",), ())
         if tag in CLOSES:
             self._close_nearest(*CLOSES[tag])
         if tag in ENDS_P and self.open.get("p"):
             self._close_nearest(("p",), ("td", "th", "button", "table", "caption"))
-        node = Node(tag, dict(attrs))
+        node = Node(tag, attrs)
         if foreign == "svg" and tag in SVG_UNSEEN:
             node.attrs["hidden"] = None
         if foreign == "svg" and tag == "text":
@@ -129,36 +254,27 @@ class TreeBuilder(HTMLParser):
         if tag not in VOID:
             self.open[tag].append(len(self.stack))
             self.stack.append(node)
-        if tag == "textarea" and not foreign:
-            self.set_cdata_mode(tag)  # markup in it is text
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and (tag in FOREIGN or self._foreign()):
-            self._pop(len(self.stack) - 1)
+        return foreign
 
-    def handle_endtag(self, tag):
+    def handle_endtag(self, tag: str) -> None:
         if tag in VOID or tag in ("html", "body") or not self.open.get(tag):
             return
         at = self.open[tag][-1]
         if tag in IN_TABLE or at > self._nearest(("td", "th", "table")):
             self._pop(at)
 
-    def handle_data(self, data):
+    def handle_data(self, data: str) -> None:
         if self.open.get("head") and self.stack[-1].tag == "head" and data.strip():
             self._close_nearest(("head",), ())
         if self._foreign() == "svg" and not self.open.get("text"):
             return  # SVG shows the characters of its text elements alone
-        self.stack[-1].children.append(unescape(data) if self.stack[-1].tag == "textarea" else data)
+        self.stack[-1].children.append(data)
 
 
 def parse(html: str) -> Node:
+    """The tree of any string; malformed markup is read as the HTML standard's tokenizer reads it."""
     builder = TreeBuilder()
     builder.feed(html)
-    if builder.cdata_elem == "textarea" and builder.rawdata:  # never closed: the rest of the page is its text
-        rest, builder.rawdata = builder.rawdata, ""
-        builder.handle_data(rest)
-    builder.close()
     return builder.root
 
 
@@ -360,7 +476,7 @@ def render(root: Node) -> str:
                 flow.prefix = mark if shown else ""
             elif tag in ("dd", "blockquote"):
                 deeper(2)
-            elif tag in ("pre", "textarea"):
+            elif tag in PREFORMATTED:
                 if flow.line and flow.space:
                     flow.line.append(" ")
                 pre += 1
@@ -397,7 +513,7 @@ def render(root: Node) -> str:
         elif tag in ("li", "dd", "blockquote") and len(indents) > 1:
             indents.pop()
             flow.prefix = "" if tag == "li" else flow.prefix
-        elif tag in ("pre", "textarea"):
+        elif tag in PREFORMATTED:
             pre -= 1
         if tag in SPACED and not (tag in ("ul", "ol") and lists):
             flow.apart()
