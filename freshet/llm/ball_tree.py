@@ -28,15 +28,18 @@ MAX_CELLS, SAMPLE = 4096, 16
 #: Cells that a query has met after each wave but the last, which meets the rest.
 WAVES = (1, 4)
 _LOW = np.iinfo(np.int64).min
+#: Integer components stay below this.
+LARGEST = 2.0**62
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """id and v = floor(scale * x) of every component, as long; rows of a null id or vector
-    or with a null or non-finite component are left out. An empty table gives an empty table."""
+    or with a null or non-finite component are left out. A component of ``LARGEST`` or more is
+    an error. An empty table gives an empty table."""
     x = F.col(f"`{vector_col}`")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.when(F.abs(e.cast("double") * scale) < F.lit(LARGEST), F.floor(e.cast("double") * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for integer scores")))).alias("v")
     )
 
 
@@ -72,6 +75,11 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = a.astype(np.int64, copy=False), b.astype(np.int64, copy=False)
     if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2**62:
+        exact = a.astype(object) @ b.astype(object).T
+        if np.abs(exact).max() >= 2**63:
+            raise OverflowError("an inner product is beyond a long")
+        return exact.astype(np.int64)
     return a @ b.T
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.llm import wordhash as wh
-from freshet.llm.common import discard, extras, materialise
+from freshet.llm.common import discard, materialise, restored, stowed
 from freshet.llm.components import BLOCK, components, connect_blocks, deal_blocks
 
 #: Independent trees, and how many least tokens are followed at each of their levels.
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rarest tokens meet. Either way no link between different components is lost, and nothing is
     collected.
     """
+    docs, back = stowed(docs, [id_col, text_col], [id_col, text_col, "n_shingles", "component_id", "kept"])
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     kind = base.schema["_id"].dataType
     texts = base.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), F.col("_text").alias("text"))
@@ -300,12 +301,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     )
     result = described.where(F.col("size") > 0).join(label, ["k1", "k2"], "left").select("id", F.col("size").alias("n_shingles"), "component")
     result = result.union(described.where(F.col("size") == 0).select("id", "size", F.lit(None).cast(kind))).dropDuplicates(["id"])
-    keep = extras(base, ["_id", "_text", "n_shingles", "component_id", "kept"])
     result = result.select(F.col("id").alias("_rid"), F.col("n_shingles").alias("_n"), F.col("component").alias("_c"))
-    out = base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep]).join(result, F.col("_id") == F.col("_rid"), "left")
+    out = base.join(result, F.col("_id") == F.col("_rid"), "left")
     component = F.coalesce("_c", "_id")
     return out.select(
-        F.col("_id").alias(id_col), F.col("_text").alias(text_col), *[F.col(f"`{c}`") for c in keep],
+        F.col("_id").alias(id_col), F.col("_text").alias(text_col), *[F.col(k).alias(c) for k, c in back.items()],
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"),
     )

@@ -84,6 +84,17 @@ def extras(df: DataFrame, own: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def stowed(df: DataFrame, needed: list[str], own: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns that an operator reads, and all others but those that its own results replace under
+    names that no operator uses; with what those were called. :func:`restored` names them again."""
+    back = {f"_kept{i}": c for i, c in enumerate(extras(df, own)) if c not in needed}
+    return df.select(*[F.col(f"`{c}`") for c in needed], *[F.col(f"`{c}`").alias(k) for k, c in back.items()]), back
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import SPACES, WORD, extras, materialise
+from freshet.llm.common import SPACES, WORD, extras, materialise, restored, stowed
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -41,10 +41,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Everything is a projection: no shuffle, nothing leaves the JVM.
     """
     own = [*STATISTICS, "n_lines", "n_distinct"]
-    keep = extras(docs, [*own, "_t", "_words", "_hashes", "_windows", "_lines", "_sorted", "_at"])
-    kept = [F.col(f"`{c}`") for c in keep]
+    back = {f"_kept{i}": c for i, c in enumerate(extras(docs, own))}
+    kept = [*back]
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    step = docs.select(*kept, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    step = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in back.items()], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     step = step.select(*kept, "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_words"), lines.alias("_lines"))
     step = step.select(
         *kept, F.size("_words").cast("long").alias("n_words"),
@@ -80,7 +80,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.lit(0), lambda a, x: a + x,
     )
     step = step.withColumn("n_repeat_words", F.coalesce(F.when(F.size("_at") > 0, covered), F.lit(0)).cast("long"))
-    return step.select(*kept, *own)
+    return step.select(*[F.col(k).alias(c) for k, c in back.items()], *own)
 
 
 def base_failed() -> Column:
@@ -241,11 +241,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Every row is judged by its own text; a null id only keeps a row from being labelled. An
     empty table gives an empty table.
     """
+    docs, back = stowed(docs, [id_col, text_col], [*STATISTICS, "n_lines", "n_distinct", "base_failed", "rule", "kept"])
     stats = materialise(statistics(docs, text_col).drop(text_col), "statistics")
     rules = learn_rules(stats, labels, id_col, **options)
-    return (
+    return restored(
         stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.verdict())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), back
     )
 
 

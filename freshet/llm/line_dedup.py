@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import LOWER, SPACES, UPPER, ascii_lower, extras, materialise
+from freshet.llm.common import LOWER, SPACES, UPPER, ascii_lower, materialise, restored, stowed
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -51,6 +51,7 @@ def drop_repeated_lines(
     plain shuffle join, which adaptive execution splits on a hot line or turns into
     a broadcast below Spark's own size limit). Texts are shuffled once, by id.
     """
+    docs, back = stowed(docs, [id_col, text_col], [id_col, text_col, "n_lines", "n_dropped"])
     spark_docs = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     lines = (
         spark_docs.where(F.col("_id").isNotNull())
@@ -74,8 +75,7 @@ def drop_repeated_lines(
         .agg(F.collect_set("_h").alias("_drop"))
         .withColumnRenamed("_id", "_drop_id")
     )
-    keep = extras(docs, [id_col, text_col, "n_lines", "n_dropped", "_drop", "_drop_id"])
-    joined = spark_docs.select("_id", *[F.col(f"`{c}`") for c in keep], "_text").join(
+    joined = spark_docs.select("_id", *back, "_text").join(
         drops, F.col("_id") == F.col("_drop_id"), "left"
     ).drop("_drop_id")
     fields = [f for f in joined.schema.fields if f.name != "_drop"]
@@ -107,4 +107,4 @@ def drop_repeated_lines(
             yield pa.RecordBatch.from_pydict(columns)
 
     out = joined.mapInArrow(reassemble, schema)
-    return out.withColumnsRenamed({"_id": id_col, "_text": text_col})
+    return restored(out, {"_id": id_col, "_text": text_col, **back})

@@ -191,13 +191,13 @@ def mix_sources(
     """
     spark = docs.sparkSession
     own = ["size", "source_size", "target", "epochs", "taken"]
-    keep = extras(docs, own)
+    back = {f"_kept{i}": c for i, c in enumerate(extras(docs, own))}
     sized = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(f"`{c}`").alias(k) for k, c in back.items()], F.col(f"`{id_col}`").alias("_id"),
         (count_words(F.col(text_col)) if size is None else size).cast("long").alias("_size"),
         F.array_sort(F.array_distinct(sources)).alias("_members"),
     ).withColumn("_pattern", F.to_json(F.struct("_members")))
-    slim = sized.select(F.col(id_col).alias("_id"), "_size", "_members", "_pattern").withColumn(
+    slim = sized.select("_id", "_size", "_members", "_pattern").withColumn(
         "_u", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_size"))
     ).withColumn("_bucket", F.pmod("_u", F.lit(BUCKETS)))
     slim = materialise(slim, "sizes")
@@ -230,13 +230,13 @@ def mix_sources(
     # One row a pattern, at most max_patterns: small by the check above.
     plan = F.broadcast(spark.createDataFrame(rows, f"_pattern string, _whole int, source_size long, target double, _cuts {_CUTS}, _extra long"))
     decided = (
-        sized.withColumn("_u", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_size"))).withColumn("_bucket", F.pmod("_u", F.lit(BUCKETS)))
+        sized.withColumn("_u", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", F.pmod("_u", F.lit(BUCKETS)))
         .join(plan, "_pattern")
         .withColumn("_more", _chosen() | F.coalesce(F.col("_u") == F.col("_extra"), F.lit(False)))
         .withColumn("epochs", F.least(F.col("_whole") + F.col("_more").cast("int"), F.lit(max_epochs)))
     )
     return decided.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(k).alias(c) for k, c in back.items()],
         F.col("_size").alias("size"), "source_size", "target", "epochs",
         (F.col("_size") * F.col("epochs")).alias("taken"),
     )

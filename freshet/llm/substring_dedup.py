@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.llm import wordhash as wh
-from freshet.llm.common import discard, extras, materialise
+from freshet.llm.common import discard, materialise, restored, stowed
 
 ANCHOR_WORDS = 6
 
@@ -119,6 +119,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
     use that shuffle.
     """
     anchor_words = min(anchor_words, min_words)
+    docs, back = stowed(docs, [id_col, text_col], [id_col, text_col, "n_words", "n_removed", "factors", "spans", "kept_text"])
     base = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
     id_type = base.schema["_id"].dataType
 
@@ -148,8 +149,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
     repeated = index.where("_again IS NOT NULL").select(F.lit(True).alias("_block"), F.col("_anchor").alias("_k1"), F.col("_again").alias("_k2"), F.struct("_id", "_at").alias("_f"))
     repeated = materialise(repeated, "repeated")
     discard(index, shared)
-    keep = extras(base, ["_id", "_text", "n_words", "n_removed", "factors", "spans", "kept_text"])
-    joined = base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep]).join(own, F.col("_id") == F.col("_own_id"), "left").drop("_own_id")
+    joined = base.join(own, F.col("_id") == F.col("_own_id"), "left").drop("_own_id")
 
     def listed(batch: pa.RecordBatch, a: int, b: int, name: str) -> tuple[np.ndarray, np.ndarray]:
         """The lists of rows a..b, flat, as (row, value)."""
@@ -196,10 +196,9 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
         .groupBy("_id").agg(F.collect_list(F.struct("_at", "_block", F.col("_f._id").alias("ref"), F.col("_f._at").alias("from"))).alias("_sources"))
         .withColumnRenamed("_id", "_s_id")
     )
-    texts = base.select("_id", "_text", *[F.col(f"`{c}`") for c in keep])
-    parsed = texts.join(sources, F.col("_id") == F.col("_s_id"), "left").drop("_s_id")
+    parsed = base.join(sources, F.col("_id") == F.col("_s_id"), "left").drop("_s_id")
 
-    fields = texts.schema.fields
+    fields = base.schema.fields
     factor = T.ArrayType(T.StructType([
         T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_id", id_type), T.StructField("ref_start", T.IntegerType()),
     ]))
@@ -272,7 +271,7 @@ def find_factors(docs: DataFrame, min_words: int = 20, anchor_words: int = ANCHO
                 columns["kept_text"] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return parsed.mapInArrow(parse, out_schema).withColumnsRenamed({"_id": id_col, "_text": text_col})
+    return restored(parsed.mapInArrow(parse, out_schema), {"_id": id_col, "_text": text_col, **back})
 
 
 _ASCII_SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
