@@ -1,7 +1,8 @@
 """Temporal operators. Order is always explicit: a time column within optional keys.
 
 With no keys a series is one window partition, as its order demands; give keys
-(``["station_id"]``) for many stations. All window columns over one key and order share
+(``["station_id"]``) for many stations, and ``rows_per_range`` (or :func:`in_time_ranges`) for
+series that no task should hold. All window columns over one key and order share
 one exchange and one sort.
 """
 
@@ -17,9 +18,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freshet.operators.ranges import OWN, joined_left, carried, cut_into_ranges, in_time_ranges
+
 log = logging.getLogger(__name__)
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
+#: Rows over which the wetness index follows its recurrence step by step.
+FOLDED = 64
 _UNITS = {"s": 1, "min": 60, "t": 60, "h": 3600, "d": 86400}
 
 
@@ -69,32 +74,71 @@ def add_rate_of_rise(df: DataFrame, level_col: str = "water_level_m", delta_wind
 
 def add_antecedent_precipitation_index(
     df: DataFrame, rainfall_col: str = "rainfall_mm_hr", decay_factor: float = 0.9, new_col: str = "antecedent_precipitation_index",
-    time_col: str = "ts", keys: Sequence[str] = (), null_as_zero: bool = False, method: str = "auto",
+    time_col: str = "ts", keys: Sequence[str] = (), null_as_zero: bool = False, method: str = "auto", rows_per_range: int | None = None,
 ) -> DataFrame:
     """a[0] = r[0], a[t] = decay * a[t-1] + r[t]. A null makes all later values null, or
     counts as no rain with ``null_as_zero``.
 
-    ``frame``: the last H rows folded by an expression, where decay^H < 1e-18, so what lies
-    further back doesn't show in a double; JVM only, for decays up to 0.95. ``grouped``:
-    the recurrence itself over each key's rows; exact for every decay. The rows of a key pass
-    through one task in order, in Arrow batches with one number carried from batch to batch,
-    so memory doesn't grow with them. ``auto`` takes the frame where it can.
+    ``scan``: in the JVM, of constant cost a row, for decays from -1 to 1. Running sums give
+    a[j] = decay^j * sum of r[i] / decay^i within a block of rows in which the powers fit a double, and blocks hand on their
+    last value; from every ``FOLDED`` rows on the recurrence itself is followed, so that digits are its own from the
+    first rain on. With ``rows_per_range`` long series are cut into time ranges, each a task of its own: a range
+    turns the value a before it into decay^n * a + b, and these maps, a row a range, are composed in order
+    and carried back. ``grouped``: the recurrence itself over each key's rows, for any decay; the rows of a
+    key pass through one task in order, in Arrow batches with one number carried on.
+    ``auto`` scans where it can.
     """
     if not _present(df, [rainfall_col]):
         return df
     if method == "auto":
-        method = "frame" if 0 <= decay_factor <= 0.95 else "grouped"
-    rain = F.col(rainfall_col).cast("double")
+        method = "scan" if abs(decay_factor) <= 1 else "grouped"
     if method == "grouped":
         return _grouped_index(df, rainfall_col, decay_factor, new_col, time_col, keys, null_as_zero)
-    back = 0 if decay_factor == 0 else math.ceil(math.log(1e-18) / math.log(decay_factor))
-    w = series(time_col, keys)
-    out = df.withColumn("_rain", F.collect_list(F.coalesce(rain, F.lit(0.0))).over(w.rowsBetween(-back, 0)))
-    value = F.aggregate("_rain", F.lit(0.0), lambda a, x: a * F.lit(decay_factor) + x)
-    if not null_as_zero:
-        out = out.withColumn("_poison", F.max(rain.isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        value = F.when(~F.col("_poison"), value)
-    return out.withColumn(new_col, value).drop("_rain", "_poison")
+    if abs(decay_factor) > 1:
+        raise ValueError("a decay beyond 1 grows without bound: method 'grouped' follows it")
+    cut = cut_into_ranges(df, time_col, keys, rows_per_range) if rows_per_range else None
+    by = list(keys) if cut is None else [*keys, "_range"]
+    local = _local_index(df if cut is None else cut, F.col(rainfall_col).cast("double"), decay_factor, time_col, by)
+    start, bad = F.col("_start"), F.col("_bad")
+    if cut is not None:
+        ends = local.groupBy(*by).agg(F.max("_n").alias("n"), F.max_by("_a", "_n").alias("b"), F.max("_bad").alias("bad"))
+        ends = ends.withColumn("_most", F.max("_range").over(Window.partitionBy(*keys))).where("_most > 0").drop("_most")
+        before = carried(ends, keys, lambda held, x: (decay_factor ** x[0] * (held[0] if held else 0.0) + x[1], x[2] or bool(held and held[1])), "_carry double, _was_bad boolean")
+        local = joined_left(local, before, by, before.count())
+        rows_before = F.col("_n") - F.size("_since")
+        start = start + F.pow(F.lit(float(decay_factor)), rows_before.cast("double")) * F.coalesce("_carry", F.lit(0.0))
+        bad = bad | F.coalesce("_was_bad", F.lit(False))
+    value = F.aggregate("_since", start, lambda a, r: F.lit(float(decay_factor)) * a + r)
+    out = local.withColumn(new_col, value if null_as_zero else F.when(~bad, value))
+    return out.drop("_a", "_n", "_bad", "_start", "_since", "_carry", "_was_bad", *OWN)
+
+
+def _local_index(df: DataFrame, rain: Column, decay: float, time_col: str, keys: Sequence[str]) -> DataFrame:
+    """``_a``, the index of each series from 0 on with nulls as no rain; ``_n``, the number of the
+    row; ``_bad``, whether a null came so far; ``_since``, the rain of the last rows, ``FOLDED`` at
+    most, and ``_start``, the index before them."""
+    so_far = (Window.unboundedPreceding, 0)
+    out = df.withColumns({"_n": F.row_number().over(series(time_col, keys)), "_rain": F.coalesce(rain, F.lit(0.0)), "_null": rain.isNull()})
+    in_order = Window.partitionBy(*keys).orderBy("_n")
+    out = out.withColumn("_bad", F.max("_null").over(in_order.rowsBetween(*so_far))).drop("_null")
+    before, d = in_order.rowsBetween(Window.unboundedPreceding, -1), F.lit(float(decay))
+    if decay == 0:
+        out = out.withColumn("_a", F.col("_rain"))
+    else:
+        # so many rows that decay^-rows is still a double: what lies two blocks back has vanished from one
+        block = 2**31 - 1 if abs(decay) == 1 else max(int(600 / -math.log(abs(decay))), 1)
+        at = F.pmod(F.col("_n") - 1, F.lit(block)).cast("double")
+        out = out.withColumns({"_block": F.floor((F.col("_n") - 1) / block), "_at": at})
+        within = F.sum(F.col("_rain") * F.pow(d, -F.col("_at"))).over(Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(*so_far))
+        out = out.withColumn("_a", F.pow(d, "_at") * within)
+        handed_on, full = F.coalesce(F.last("_end", True).over(before), F.lit(0.0)), F.col("_at") == block - 1
+        out = out.withColumn("_end", F.when(full, F.col("_a")))
+        out = out.withColumn("_end", F.when(full, F.col("_a") + F.pow(d, F.lit(float(block))) * handed_on))
+        out = out.withColumn("_a", F.col("_a") + F.pow(d, F.col("_at") + 1) * handed_on).drop("_block", "_at", "_end")
+    last = F.when(F.pmod("_n", F.lit(FOLDED)) == 0, F.col("_a"))
+    out = out.withColumns({"_start": F.coalesce(F.last(last, True).over(before), F.lit(0.0)), "_block": F.floor((F.col("_n") - 1) / FOLDED)})
+    since = F.collect_list("_rain").over(Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(*so_far))
+    return out.withColumn("_since", since).drop("_rain", "_block")
 
 
 def _grouped_index(df: DataFrame, rainfall_col: str, decay: float, new_col: str, time_col: str, keys: Sequence[str], null_as_zero: bool) -> DataFrame:
@@ -126,9 +170,13 @@ def frequency_seconds(freq: str) -> int:
 
 
 def hourly_grid(df: DataFrame, time_col: str = "ts", keys: Sequence[str] = (), step_seconds: int = 3600) -> DataFrame:
-    """Keys and every step from each key's first to last time (bins already)."""
+    """Keys and every step from each key's first to last time (bins already). A key's span is dealt
+    out in stretches of 4096 steps, so that no array and no task holds a long one."""
     ends = df.groupBy(*keys).agg(F.min(time_col).alias("_a"), F.max(time_col).alias("_b")).where("_a IS NOT NULL")
-    return ends.select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step_seconds} SECONDS"))).alias(time_col))
+    stretch = F.expr(f"INTERVAL {4096 * step_seconds} SECONDS")
+    parts = ends.select(*keys, "_b", F.explode(F.sequence("_a", "_b", stretch)).alias("_a"))
+    last = F.least("_b", F.col("_a") + F.expr(f"INTERVAL {4095 * step_seconds} SECONDS"))
+    return parts.repartition(*keys, "_a").select(*keys, F.explode(F.sequence("_a", last, F.expr(f"INTERVAL {step_seconds} SECONDS"))).alias(time_col))
 
 
 def resample_mean(df: DataFrame, columns: Sequence[str], freq: str = "1h", time_col: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
@@ -144,10 +192,10 @@ def resample_mean(df: DataFrame, columns: Sequence[str], freq: str = "1h", time_
 
 
 def fill_both_ways(df: DataFrame, columns: Sequence[str], time_col: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
-    """Nulls take the last value before them, leading ones the first after."""
+    """Nulls take the last value before them, leading ones the first after, which is the first of the series."""
     w = series(time_col, keys)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(after)) for c in columns})
+    before, all_rows = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(all_rows)) for c in columns})
 
 
 def infer_frequency(df: DataFrame, time_col: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
@@ -183,36 +231,60 @@ def positional_split(df: DataFrame, fraction: float = 0.8, time_col: str = "ts",
     return df.withColumn("is_train", F.row_number().over(w) <= F.floor(n * F.lit(fraction)))
 
 
-def extract_xy(df: DataFrame, target_col: str = "water_level_m", forecast_horizon: int = 1, drop_na: bool = True, time_col: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+def extract_xy(
+    df: DataFrame, target_col: str = "water_level_m", forecast_horizon: int = 1, drop_na: bool = True, time_col: str = "ts", keys: Sequence[str] = (), rows_per_range: int | None = None,
+) -> DataFrame:
     """``label`` is the target ``forecast_horizon`` rows on; the target itself goes; rows with a
-    null in any column go too with ``drop_na``."""
+    null in any column go too with ``drop_na``. With ``rows_per_range`` long series are cut into time ranges."""
     if target_col not in df.columns:
         raise ValueError(f"Target column '{target_col}' not found. Available: {df.columns}")
-    out = df.withColumn("label", F.lead(target_col, forecast_horizon).over(series(time_col, keys))).drop(target_col)
+
+    def label(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("label", F.lead(target_col, forecast_horizon).over(series(time_col, by))).drop(target_col)
+
+    out = _over_ranges(df, label, time_col, keys, rows_per_range, ahead=max(forecast_horizon, 0), back=max(-forecast_horizon, 0))
     return out.na.drop(subset=[c for c in out.columns if c not in keys and c != time_col]) if drop_na else out
 
 
-def build_features(df: DataFrame, cfg: dict, time_col: str = "ts", keys: Sequence[str] = (), decay_factor: float = 0.9) -> DataFrame:
-    """Lags, rainfall sums, deltas and the wetness index as ``cfg['features']`` names them."""
+def _over_ranges(df: DataFrame, compute, time_col: str, keys: Sequence[str], rows_per_range: int | None, back: int = 0, ahead: int = 0) -> DataFrame:
+    return in_time_ranges(df, compute, time_col, keys, rows_per_range, back, ahead) if rows_per_range else compute(df, list(keys))
+
+
+def build_features(df: DataFrame, cfg: dict, time_col: str = "ts", keys: Sequence[str] = (), decay_factor: float = 0.9, rows_per_range: int | None = None) -> DataFrame:
+    """Lags, rainfall sums, deltas and the wetness index as ``cfg['features']`` names them. With
+    ``rows_per_range`` long series are cut into time ranges."""
     spec, target = cfg.get("features", {}), cfg.get("data", {}).get("target_col", "water_level_m")
     dynamic = [c for c in spec.get("dynamic_sensor_cols", []) if c in df.columns]
-    out = add_lag_features(df, dynamic, spec.get("lag_hours", [1, 3, 6, 12, 24]), time_col, keys)
     rain = [c for c in ("rainfall_mm_hr", "upstream_rainfall_mm_hr") if c in df.columns]
-    out = add_rolling_features(out, rain, spec.get("rolling_sum_windows", [3, 6, 12, 24]), "sum", time_col, keys)
-    for delta in spec.get("delta_features", []):
-        out = add_rate_of_rise(out, delta.get("col", target), delta.get("windows", [1, 3, 6]), time_col, keys)
+    lags, sums, deltas = spec.get("lag_hours", [1, 3, 6, 12, 24]), spec.get("rolling_sum_windows", [3, 6, 12, 24]), spec.get("delta_features", [])
+
+    def windowed(rows: DataFrame, by: list[str]) -> DataFrame:
+        out = add_rolling_features(add_lag_features(rows, dynamic, lags, time_col, by), rain, sums, "sum", time_col, by)
+        for delta in deltas:
+            out = add_rate_of_rise(out, delta.get("col", target), delta.get("windows", [1, 3, 6]), time_col, by)
+        return out
+
+    steps = [*lags, *sums, *[n for delta in deltas for n in delta.get("windows", [1, 3, 6])]]
+    out = _over_ranges(df, windowed, time_col, keys, rows_per_range, max([0, *steps]), -min([0, *steps]))
     if "rainfall_mm_hr" in df.columns:
-        out = add_antecedent_precipitation_index(out, "rainfall_mm_hr", decay_factor, time_col=time_col, keys=keys)
+        out = add_antecedent_precipitation_index(out, "rainfall_mm_hr", decay_factor, time_col=time_col, keys=keys, rows_per_range=rows_per_range)
     return out.drop(*[c for c in spec.get("drop_cols") or [] if c in out.columns])
 
 
-def engineer_flood_features(df: DataFrame, lag_hours: Sequence[int] | None = None, rolling_windows: Sequence[int] | None = None, time_col: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
-    """Features of the flood comparison: rainfall sums and wetness index, level lags and deltas."""
-    out = df
+def engineer_flood_features(
+    df: DataFrame, lag_hours: Sequence[int] | None = None, rolling_windows: Sequence[int] | None = None, time_col: str = "ts", keys: Sequence[str] = (), rows_per_range: int | None = None,
+) -> DataFrame:
+    """Features of the flood comparison: rainfall sums and wetness index, level lags and deltas. With
+    ``rows_per_range`` long series are cut into time ranges."""
+    lags, sums = lag_hours or [1, 3, 6, 12, 24], rolling_windows or [1, 3, 6, 12, 24]
+
+    def windowed(rows: DataFrame, by: list[str]) -> DataFrame:
+        out = add_rolling_features(rows, ["rainfall_mm_hr"], sums, "sum", time_col, by) if "rainfall_mm_hr" in df.columns else rows
+        if "water_level_m" in df.columns:
+            out = add_rate_of_rise(add_lag_features(out, ["water_level_m"], lags, time_col, by), "water_level_m", (1, 3, 6), time_col, by)
+        return out
+
+    out = _over_ranges(df, windowed, time_col, keys, rows_per_range, max([6, *lags, *sums]), -min([0, *lags]))
     if "rainfall_mm_hr" in df.columns:
-        out = add_rolling_features(out, ["rainfall_mm_hr"], rolling_windows or [1, 3, 6, 12, 24], "sum", time_col, keys)
-        out = add_antecedent_precipitation_index(out, "rainfall_mm_hr", time_col=time_col, keys=keys)
-    if "water_level_m" in df.columns:
-        out = add_lag_features(out, ["water_level_m"], lag_hours or [1, 3, 6, 12, 24], time_col, keys)
-        out = add_rate_of_rise(out, "water_level_m", (1, 3, 6), time_col, keys)
+        out = add_antecedent_precipitation_index(out, "rainfall_mm_hr", time_col=time_col, keys=keys, rows_per_range=rows_per_range)
     return out

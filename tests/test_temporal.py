@@ -53,12 +53,12 @@ def test_index_is_the_recurrence_in_both_designs(spark):
     for i, r in enumerate(rain):
         a = r if i == 0 else 0.9 * a + r
         want.append(a)
-    for method in ("frame", "grouped"):
+    for method in ("scan", "grouped"):
         got = column(t.add_antecedent_precipitation_index(frame(spark, rain), method=method), "antecedent_precipitation_index")
         assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("method", ["frame", "grouped"])
+@pytest.mark.parametrize("method", ["scan", "grouped"])
 def test_index_null_poisons_or_counts_as_zero(spark, method):
     df = frame(spark, [1.0, None, 3.0])
     assert column(t.add_antecedent_precipitation_index(df, method=method), "antecedent_precipitation_index") == [1.0, None, None]
