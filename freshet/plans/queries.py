@@ -183,6 +183,12 @@ def build_features(spark, d):
     return _six(temporal.build_features(view(spark, d), FEATURE_CONFIG, keys=KEYS), *_BUILT)
 
 
+@_query(_SQL["build_features"], on_view=False)
+def build_features_in_ranges(spark, d):
+    """The same with every station cut into time ranges."""
+    return _six(temporal.build_features(view(spark, d), FEATURE_CONFIG, keys=KEYS, rows_per_range=100), *_BUILT)
+
+
 FEATURES_SQL = f"""
 , feat AS (SELECT *, {', '.join(f'round(sum(rainfall_mm_hr) OVER {_frame(n)}, 6) AS r{n}' for n in WINDOWS)}, round({_api_sql(0.9, 400)}, 6) AS api,
   {', '.join(f'lag(water_level_m, {n}) OVER {BY_TIME} AS lag{n}' for n in WINDOWS)}, {', '.join(f'round(water_level_m - lag(water_level_m, {n}) OVER {BY_TIME}, 6) AS d{n}' for n in (1, 3, 6))} FROM sensor)
@@ -469,6 +475,21 @@ def gbt_predict(spark, d):
     return model.predict(test).select("station_id", "ts", F.col("label").alias("observed"), "predicted")
 
 
+@_query()
+def xgb_attributions(spark, d):
+    """Attributions of a regularised model's predictions for the hours after the split, a row a feature: with
+    ``expected`` they sum to the prediction."""
+    from freshet.plans.model import FloodModel
+
+    xy = temporal.extract_xy(flood_features(spark, d), keys=KEYS)
+    train, val, test = temporal.chronological_split(xy, "2024-01-18", "2024-01-22")
+    features = [c for c, kind in xy.dtypes if kind == "double" and c != "label"]
+    params = {"n_estimators": 8, "max_depth": 3, "colsample_bytree": 0.8, "subsample": 0.8, "min_child_weight": 3, "reg_alpha": 0.1, "gamma": 0.01, "early_stopping_rounds": 3, "random_state": 42}
+    model = FloodModel("xgboost", params).fit(train, features, val)
+    explained = model.explain(model.predict(test, clip_negative=False))
+    return explained.select("station_id", "ts", "predicted", "expected", F.explode("attributions").alias("feature", "attribution"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

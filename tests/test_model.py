@@ -1,6 +1,3 @@
-import sys
-import types
-
 import pytest
 import yaml
 from pyspark.sql import functions as F
@@ -55,7 +52,8 @@ def test_same_seed_same_model_whatever_the_partitioning(series, fitted):
 
 
 def test_comparison(series):
-    report = compare_flood_baselines(*series, validated_threshold_m=3.8, gb_params=SMALL, time_col="timestamp")
+    report = compare_flood_baselines(*series, validated_threshold_m=3.8, gb_params=SMALL, xgb_params={"n_estimators": 3}, time_col="timestamp")
+    assert "RMSE" in report["models"]["xgboost"]
     assert {"RMSE", "MAE", "R2", "NSE", "event_metrics"} <= set(report["models"]["gradient_boosting"])
     assert "xgboost" in report["models"] and "gradient_boosting" in format_comparison_report(report)
     empty = compare_flood_baselines(series[0], series[1].limit(0), time_col="timestamp")
@@ -104,33 +102,20 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
         main([])
 
 
-def test_xgboost_branch_under_a_stand_in(series, monkeypatch):
-    """The package isn't installed: what its estimator is called with, and that its model is used."""
-    from pyspark.ml.regression import GBTRegressor
-
-    calls = []
-
-    def regressor(**given):
-        calls.append(given)
-        return GBTRegressor(featuresCol=given["features_col"], labelCol=given["label_col"], predictionCol=given["prediction_col"], maxIter=1)
-
-    package, part = types.ModuleType("xgboost"), types.ModuleType("xgboost.spark")
-    part.SparkXGBRegressor = regressor
-    package.spark = part
-    monkeypatch.setitem(sys.modules, "xgboost", package)
-    monkeypatch.setitem(sys.modules, "xgboost.spark", part)
+def test_xgboost_parameters_and_early_stopping(spark, series, tmp_path):
     train, test = (extract_xy(d, time_col="timestamp") for d in series)
     features = [c for c in train.columns if c not in ("timestamp", "label")]
-    given = {"n_estimators": 9, "reg_alpha": 0.1, "n_jobs": 4}
-    model = FloodModel("xgboost", given).fit(train, features, test)
-    assert calls[-1] == {"features_col": "_features", "label_col": "label", "prediction_col": "prediction", "n_estimators": 9, "reg_alpha": 0.1, "validation_indicator_col": "_validation", "early_stopping_rounds": 50}
-    assert model.predict(test).where("predicted < 0").count() == 0
-    FloodModel("xgboost", given | {"early_stopping_rounds": 7}).fit(train, features, test)
-    assert calls[-1]["early_stopping_rounds"] == 7
-    FloodModel("xgboost", given | {"early_stopping_rounds": 7}).fit(train, features)
-    assert "early_stopping_rounds" not in calls[-1] and "validation_indicator_col" not in calls[-1]
-    report = compare_flood_baselines(*series, gb_params=SMALL, time_col="timestamp")
-    assert "RMSE" in report["models"]["xgboost"] and calls[-1]["objective"] == "reg:squarederror"
+    given = {"n_estimators": 6, "max_depth": 2, "reg_alpha": 0.1, "gamma": 0.01, "n_jobs": 4, "objective": "reg:squarederror", "early_stopping_rounds": 1, "random_state": 1}
+    alone, stopped = FloodModel("xgboost", given).fit(train, features), FloodModel("xgboost", given).fit(train, features, train.withColumn("label", -F.col("label")))
+    assert len(alone.model.trees) == 6 and len(stopped.model.trees) == 0
+    assert alone.predict(test).where("predicted < 0").count() == 0
+    again = FloodModel.load(alone.save(str(tmp_path), "flood"))
+    assert again.model.nodes(spark).collect() == alone.model.nodes(spark).collect()
+    for r in alone.explain(alone.predict(test, clip_negative=False)).collect():
+        assert r["expected"] + sum(r["attributions"].values()) == pytest.approx(r["predicted"], abs=1e-9)
+    for other in ({"objective": "reg:absoluteerror"}, {"loss": "huber"}):
+        with pytest.raises(ValueError):
+            FloodModel("xgboost", other)
 
 
 def test_training_run(spark, tmp_path):
