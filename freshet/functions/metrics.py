@@ -66,6 +66,20 @@ def regression_metrics(df: DataFrame, pred: str = "pred", obs: str = "obs", by:
     return df.groupBy(*by).agg(*[shape(REGRESSION[n](pred, obs)).alias(n) for n in chosen])
 
 
+def skill_by_horizon(df: DataFrame, pred: str = "pred", obs: str = "label", reference: str | None = None, by: Sequence[str] = ("horizon",), digits: int | None = None) -> DataFrame:
+    """Regression metrics a horizon in one aggregation, with the number of complete pairs ``n`` and, against a
+    ``reference`` forecast (persistence, say), ``SS`` = 1 - MSE / MSE of the reference over rows that have both; null
+    where the reference has no error."""
+    shape = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    p, o, both = _pairs(pred, obs)
+    wanted = {"n": F.count_if(both), **{k: shape(REGRESSION[k](pred, obs)) for k in REGRESSION}}
+    if reference is not None:
+        r = _clean(reference)
+        error, theirs = (F.sum(F.when(both & r.isNotNull(), (x - o) * (x - o))) for x in (p, r))
+        wanted["SS"] = shape(F.lit(1.0) - F.try_divide(error, F.nullif(theirs, F.lit(0.0))))
+    return df.groupBy(*by).agg(*[c.alias(k) for k, c in wanted.items()])
+
+
 def contingency(threshold: float, pred: str = "pred", obs: str = "obs") -> dict[str, Column]:
     """TP, FP, FN, TN; a missing value is a non-event, so the four add up to all rows."""
     p, o = (F.coalesce(_clean(c) >= F.lit(float(threshold)), F.lit(False)) for c in (pred, obs))

@@ -246,6 +246,25 @@ def extract_xy(
     return out.na.drop(subset=[c for c in out.columns if c not in keys and c != time_col]) if drop_na else out
 
 
+def forecast_frame(
+    df: DataFrame, target_col: str = "water_level_m", horizons: Sequence[int] = (1, 3, 6, 12), drop_na: bool = True, time_col: str = "ts", keys: Sequence[str] = (), rows_per_range: int | None = None,
+) -> DataFrame:
+    """A row for every row and forecast horizon: ``horizon`` in rows and ``label``, the target that many rows on. All
+    leads come from one window; with ``drop_na`` rows without a label go. The target stays as a feature."""
+    if target_col not in df.columns:
+        raise ValueError(f"Target column '{target_col}' not found. Available: {df.columns}")
+    if not horizons or min(horizons) < 1:
+        raise ValueError(f"Horizons are positive numbers of rows, not {list(horizons)}")
+
+    def leads(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = series(time_col, by)
+        return rows.withColumn("_leads", F.array(*[F.struct(F.lit(int(h)).alias("horizon"), F.lead(target_col, h).over(w).alias("label")) for h in horizons]))
+
+    wide = _over_ranges(df.drop("horizon", "label"), leads, time_col, keys, rows_per_range, ahead=max(horizons))
+    out = wide.withColumn("_lead", F.explode("_leads")).withColumns({"horizon": F.col("_lead")["horizon"], "label": F.col("_lead")["label"]}).drop("_leads", "_lead")
+    return out.where("label IS NOT NULL") if drop_na else out
+
+
 def _over_ranges(df: DataFrame, compute, time_col: str, keys: Sequence[str], rows_per_range: int | None, back: int = 0, ahead: int = 0) -> DataFrame:
     return in_time_ranges(df, compute, time_col, keys, rows_per_range, back, ahead) if rows_per_range else compute(df, list(keys))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from freshet.functions import metrics as M
 from freshet.functions.risk import FloodThresholdBaseline, LandslideThresholdBaseline
 from freshet.operators import quality, temporal
-from freshet.operators.fusion import join_cwc_data
+from freshet.operators.fusion import as_of_join, join_cwc_data
 from freshet.sources.sensor import sensor_view
 from freshet.sources.telemetry import normalize_cwc_columns, utc_timestamp
 
@@ -252,10 +252,50 @@ def _explained(spark, d) -> DataFrame:
     return FloodThresholdBaseline.from_config({"thresholds": FLOOD}).predict_explained(flood_features(spark, d))
 
 
-@_query(FLOOD_SQL + "SELECT station_id, ts, risk_level, triggered_rules, n_conditions::INTEGER AS n_conditions FROM risk")
+def _number_sql(value: str, digits: int) -> str:
+    """A number rounded half up in its decimal digits, with the sign of what rounds to 0 from below."""
+    shown = f"round(({value})::DECIMAL(30, 12), {digits})::DECIMAL(30, {digits})::VARCHAR"
+    return f"(CASE WHEN {value} < 0 AND round(({value})::DECIMAL(30, 12), {digits}) = 0 THEN '-' ELSE '' END || {shown})"
+
+
+def _reason_sql(value: str, digits: int, *cases: tuple[str, str]) -> str:
+    """The text of the first condition that holds; ``#`` in it stands for the number. Null without a value."""
+    return "CASE " + " ".join("WHEN {} THEN '{}' || {} || '{}'".format(condition, text.split("#")[0], _number_sql(value, digits), text.split("#")[1]) for condition, text in cases) + " END"
+
+
+def _rising_sql(critical: tuple[float, str], warning: tuple[float, str], slow: str) -> str:
+    cases = [(f"d1 >= {t}", text) for t, text in (critical, warning)]
+    return _reason_sql("d1", 3, *cases, ("d1 > 0", slow), ("d1 IS NOT NULL", "Stable or falling (# m/hr)"))
+
+
+def _flood_reasons_sql() -> str:
+    texts = {}
+    for n in WINDOWS:
+        t = FLOOD[f"rainfall_{n}h"]
+        cases = [(f"r{n} >= {t[k]}", f"{k.capitalize()} rainfall accumulation (# mm >= {t[k]} mm)") for k in ("high", "moderate", "low")]
+        texts[f"cumulative_rainfall_{n}h"] = _reason_sql(f"r{n}", 1, *cases, (f"r{n} IS NOT NULL", "Rainfall within normal range (# mm)"))
+    texts["antecedent_wetness"] = _reason_sql(
+        "api", 1, ("api >= 110.0", "High antecedent wetness (# >= 110.0)"), ("api >= 80.0", "Moderate antecedent wetness (# >= 80.0)"), ("api IS NOT NULL", "Normal antecedent wetness (#)"))
+    texts["water_level_state"] = _reason_sql(
+        "water_level_m", 2, ("water_level_m >= 10", "At/above Highest Flood Level (# m >= HFL 10.00 m)"), ("water_level_m >= 7.5", "Above Danger Level (# m >= DL 7.50 m) — flooding likely"),
+        ("water_level_m >= 5", "Above Warning Level (# m >= WL 5.00 m) — above normal situation"), ("water_level_m IS NOT NULL", "Water level normal (# m)"))
+    texts["rate_of_rise"] = _rising_sql(
+        (5.0, "Critical rate of rise (# m/hr >= 5.0 m/hr) — rapid flash-flood conditions"), (2.0, "Warning rate of rise (# m/hr >= 2.0 m/hr)"), "Rising slowly (# m/hr, below warning)")
+    return "concat_ws(' | ', " + ", ".join(f"'{name}: ' || {text}" for name, text in texts.items()) + ")"
+
+
+def _reasons(items: str):
+    """Names and texts of an assessment's conditions, in their order."""
+    return F.array_join(F.transform(items, lambda c: F.concat_ws(": ", c["name"], c["reason"])), " | ")
+
+
+@_query(FLOOD_SQL + f"SELECT station_id, ts, risk_level, triggered_rules, n_conditions::INTEGER AS n_conditions, {_flood_reasons_sql()} AS reasons FROM risk")
 def flood_explained(spark, d):
     a = _explained(spark, d)
-    return a.select("station_id", "ts", "assessment.risk_level", F.array_join("assessment.triggered_rules", ",").alias("triggered_rules"), F.size("explanation").alias("n_conditions"))
+    return a.select(
+        "station_id", "ts", "assessment.risk_level", F.array_join("assessment.triggered_rules", ",").alias("triggered_rules"), F.size("explanation").alias("n_conditions"),
+        _reasons("assessment.conditions").alias("reasons"),
+    )
 
 
 @_query(FLOOD_SQL + "SELECT station_id, ts, missing_inputs FROM risk")
@@ -284,12 +324,27 @@ def landslide_risk(spark, d):
     return LandslideThresholdBaseline(SLIDE).predict(flood_features(spark, d)).select("station_id", "ts", "risk_level")
 
 
-@_query(_slide_sql() + """SELECT station_id, ts, risk_level, trigger_active, concat_ws(',', 'rainfall_intensity:' || sr, 'antecedent_wetness:' || sw, 'water_level_state:' || sl,
+def _slide_reasons_sql() -> str:
+    texts = {
+        name: _reason_sql(value, digits, *((f"{value} >= {SLIDE[group][k]}", f"{word} (#{unit} >= {SLIDE[group][k]}{unit})") for k, word in steps), (f"{value} IS NOT NULL", f"{rest} (#{unit} < {SLIDE[group][steps[-1][0]]}{unit})"))
+        for name, value, digits, group, unit, steps, rest in (
+            ("rainfall_intensity", "rainfall_mm_hr", 1, "rainfall_intensity", " mm/hr", (("extreme", "Extreme"), ("heavy", "Heavy"), ("moderate", "Moderate"), ("light", "Light")), "None"),
+            ("antecedent_wetness", "soil_moisture_pct", 1, "antecedent_wetness", "%", (("saturated", "Saturated"), ("wet", "Wet"), ("moist", "Moist")), "Dry"),
+            ("water_level_state", "water_level_m", 2, "water_level", " m", (("critical", "Critical"), ("high", "High"), ("elevated", "Elevated")), "Normal"),
+            ("terrain_susceptibility", "terrain_susceptibility", 2, "terrain_susceptibility", "", (("high", "High susceptibility"), ("moderate", "Moderate susceptibility")), "Low susceptibility"),
+        )
+    }
+    texts["rate_of_rise"] = _rising_sql((6.0, "Critical rise (# m/hr >= 6.0 m/hr)"), (2.5, "Warning rise (# m/hr >= 2.5 m/hr)"), "Rising (# m/hr, below warning)")
+    order = ("rainfall_intensity", "antecedent_wetness", "water_level_state", "rate_of_rise", "terrain_susceptibility")
+    return "concat_ws(' | ', " + ", ".join(f"'{name}: ' || {texts[name]}" for name in order) + ")"
+
+
+@_query(_slide_sql() + f"""SELECT station_id, ts, risk_level, trigger_active, {_slide_reasons_sql()} AS reasons, concat_ws(',', 'rainfall_intensity:' || sr, 'antecedent_wetness:' || sw, 'water_level_state:' || sl,
   'rate_of_rise:' || sd, 'terrain_susceptibility:' || st) AS indicators FROM risk""")
 def landslide_explained(spark, d):
     a = LandslideThresholdBaseline.from_config({"thresholds": SLIDE}).predict_explained(flood_features(spark, d))
     shown = F.array_join(F.transform("assessment.indicators", lambda x: F.concat_ws(":", x["name"], x["severity"].cast("string"))), ",")
-    return a.select("station_id", "ts", "assessment.risk_level", "assessment.trigger_active", shown.alias("indicators"))
+    return a.select("station_id", "ts", "assessment.risk_level", "assessment.trigger_active", _reasons("assessment.indicators").alias("reasons"), shown.alias("indicators"))
 
 
 def persistence(spark, d) -> DataFrame:
@@ -475,6 +530,49 @@ def gbt_predict(spark, d):
     return model.predict(test).select("station_id", "ts", F.col("label").alias("observed"), "predicted")
 
 
+HORIZONS = (1, 3, 6, 12)
+HORIZON_SQL = f", ahead AS (SELECT *, {', '.join(f'lead(water_level_m, {h}) OVER {BY_TIME} AS l{h}' for h in HORIZONS)}, lag(water_level_m, 1) OVER {BY_TIME} AS before FROM sensor), frame AS (" + " UNION ALL ".join(
+    f"SELECT station_id, ts, {h}::INTEGER AS horizon, water_level_m, before, l{h} AS label FROM ahead WHERE l{h} IS NOT NULL" for h in HORIZONS
+) + ")\n"
+
+
+def _frame_of_horizons(spark, d) -> DataFrame:
+    rows = temporal.add_lag_features(view(spark, d), ["water_level_m"], [1], keys=KEYS).select("station_id", "ts", "water_level_m", F.col("water_level_m_lag_1").alias("before"))
+    return temporal.forecast_frame(rows, horizons=HORIZONS, keys=KEYS, rows_per_range=200)
+
+
+@_query(HORIZON_SQL + "SELECT station_id, ts, horizon, water_level_m, label FROM frame")
+def forecast_horizons(spark, d):
+    return _frame_of_horizons(spark, d).select("station_id", "ts", "horizon", "water_level_m", "label")
+
+
+@_query(HORIZON_SQL + f"""SELECT horizon, count(label) AS n, {_REGRESSION_SQL}, round(1 - sum((pred - obs) * (pred - obs)) FILTER (before IS NOT NULL) / nullif(sum((before - obs) * (before - obs)), 0), 6) AS "SS"
+FROM (SELECT horizon, label, before, water_level_m AS pred, label AS obs FROM frame) GROUP BY horizon""")
+def skill_by_horizon(spark, d):
+    """Persistence by horizon, against the reading before it."""
+    return M.skill_by_horizon(_frame_of_horizons(spark, d), pred="water_level_m", reference="before", digits=6)
+
+
+def _feed(spark, d, *kinds: str) -> DataFrame:
+    """Readings of one kind as they come: station, time, value."""
+    rows = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin(*kinds) & F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+    return rows.select(F.concat(F.lit("ST"), F.pmod("user_id", F.lit(4)).cast("string")).alias("station_id"), "ts", "event_id", "value")
+
+
+@_query("""
+, feed AS (SELECT 'ST' || (user_id % 4)::VARCHAR AS station_id, ts, event_id, event_type, value FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)
+, level AS (SELECT * FROM feed WHERE event_type = 'purchase'), rain AS (SELECT * FROM feed WHERE event_type IN ('click', 'view'))
+SELECT level.station_id, level.ts, level.event_id, level.value AS level, CASE WHEN level.ts - rain.ts <= INTERVAL 20 MINUTES THEN rain.value END AS rain,
+  CASE WHEN level.ts - rain.ts <= INTERVAL 20 MINUTES THEN round((epoch_us(level.ts) - epoch_us(rain.ts)) / 1000000.0, 6) END AS rain_age
+FROM level ASOF LEFT JOIN rain ON level.station_id = rain.station_id AND level.ts >= rain.ts
+""")
+def as_of_readings(spark, d):
+    """Every level reading with the last rain reading of its station in the 20 minutes before."""
+    level, rain = _feed(spark, d, "purchase").withColumnRenamed("value", "level"), _feed(spark, d, "click", "view").withColumnRenamed("value", "rain")
+    out = as_of_join(level, rain, ["rain"], 1200, KEYS, ties=["event_id"], age_col="rain_age")
+    return out.select("station_id", "ts", "event_id", "level", "rain", F.round("rain_age", 6).alias("rain_age"))
+
+
 @_query()
 def xgb_attributions(spark, d):
     """Attributions of a regularised model's predictions for the hours after the split, a row a feature: with

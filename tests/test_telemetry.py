@@ -150,3 +150,35 @@ def test_config(tmp_path):
     assert config.null_leaves(cfg) == ["a.c"]
     with pytest.raises(FileNotFoundError):
         config.load_config(str(tmp_path / "absent.yaml"))
+
+
+def test_as_of_join_equals_search(spark):
+    import random
+
+    from freshet.operators.fusion import as_of_join
+
+    rng = random.Random(9)
+    side = lambda n: [(rng.choice(["a", "a", "b", None]), None if rng.random() < 0.05 else rng.randint(0, 400), k, rng.choice([None, round(rng.random(), 3)])) for k in range(n)]
+    left, right = side(150), side(200)
+    frames = [spark.createDataFrame(rows, "k string, t long, id long, v double").select("k", F.timestamp_seconds("t").alias("ts"), "t", "id", "v").repartition(4) for rows in (left, right)]
+    for tolerance in (0, 1, 7, 60, 1000):
+        got = {r["id"]: r for r in as_of_join(frames[0].drop("v"), frames[1], ["v"], tolerance, ["k"], ties=["id"], age_col="age").collect()}
+        assert len(got) == len(left)
+        for k, t, i, _ in left:
+            near = [r for r in right if k is not None and t is not None and r[0] == k and r[1] is not None and 0 <= t - r[1] <= tolerance]
+            best = max(near, key=lambda r: (r[1], r[2]), default=None)
+            assert (got[i]["v"], got[i]["age"]) == ((best[3], float(t - best[1])) if best else (None, None))
+    with_own = as_of_join(frames[0], frames[1], ["v"], 60, ties=["id"])
+    assert with_own.columns == ["k", "ts", "t", "id", "v"] and with_own.count() == len(left)
+    assert as_of_join(frames[0].limit(0), frames[1], ["v"], 60, ["k"]).count() == 0
+    assert as_of_join(frames[0], frames[1].limit(0), ["v"], 60, ["k"]).where("v IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        as_of_join(*frames, ["v"], -1, ["k"])
+
+
+def test_as_of_join_has_no_range_join(spark):
+    from freshet.operators.fusion import as_of_join
+
+    df = spark.range(10).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("v"))
+    plan = as_of_join(df.drop("v"), df, ["v"], 3, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
