@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, fields
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,11 +166,11 @@ class BoostedTrees:
         """``df`` with columns that ``compute`` gives for the matrix of features of a batch."""
         kept = [c for c in df.columns if c not in {f.name for f in columns}]
         rest = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(0)
-        slim, n = df.select(rest.alias("_rest"), *[F.col(f"`{c}`").cast("double").alias(f"_x{k}") for k, c in enumerate(self.features)]), len(self.features)
+        slim, n = df.select(rest.alias("_rest"), _values(self.features).alias("_x")), len(self.features)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *compute(_matrix(batch, n))], names=["_rest", *(f.name for f in columns)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *compute(_matrix(batch.column(1), n))], names=["_rest", *(f.name for f in columns)])
 
         out = slim.mapInArrow(run, T.StructType([slim.schema["_rest"], *columns]))
         return out.select(*[F.col("_rest")[c].alias(c) for c in kept], *[f.name for f in columns])
@@ -197,10 +197,15 @@ class BoostedTrees:
         return self._appended(df, [T.StructField(name, T.MapType(T.StringType(), T.DoubleType())), T.StructField(expected, T.DoubleType())], compute)
 
 
-def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    """The last n columns of a batch, nulls as NaN."""
-    first = batch.num_columns - n
-    return np.column_stack([batch.column(first + k).to_numpy(zero_copy_only=False).astype(float) for k in range(n)]) if n else np.zeros((batch.num_rows, 0))
+def _values(features: Sequence[str]) -> Column:
+    """The features of a row as one array of doubles, missing ones null. (One column: Spark derives what it knows of
+    each alias of each column, which grows fast with their number.)"""
+    return F.array(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in features]).cast("array<double>")
+
+
+def _matrix(values: pa.Array, n: int) -> np.ndarray:
+    """Arrays of n numbers as a matrix, nulls as NaN."""
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), n)
 
 
 def _paths(tree: Tree) -> list[tuple[int, list[tuple[int, int, bool, float]]]]:
@@ -316,20 +321,19 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], params: Boostin
     again); a level of a tree is one pass, in which a task holds nodes x features x bins sums; every ``CARRIED`` trees
     the rows' values so far are written anew, so that a pass applies few trees.
     """
-    x = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"x{k}") for k, c in enumerate(features)]
-    names, width = [f"x{k}" for k in range(len(features))], len(features)
+    width = len(features)
 
     def described(df: DataFrame, held: bool) -> DataFrame:
         y = F.nanvl(F.col(f"`{label}`").cast("double"), F.lit(None).cast("double"))
-        return df.select(*x, y.alias("label")).where("label IS NOT NULL").select(*names, "label", F.xxhash64(F.lit(0), *names, "label").alias("hash"), F.lit(held).alias("held"))
+        return df.select(_values(features).alias("x"), y.alias("label")).where("label IS NOT NULL").select("x", "label", F.xxhash64("x", "label").alias("hash"), F.lit(held).alias("held"))
 
     rows = described(train, False)
     count, total = rows.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,10)"))).first()
     if not count:
         raise ValueError("no rows with a label to fit on")
     base = float(total / count)
-    sample = rows.select(*names, "hash").orderBy("hash", *names).limit(BIN_ROWS).toArrow()
-    edges = [bin_edges(sample.column(n).to_numpy().astype(float), params.max_bin) for n in names]
+    sample = rows.select("x", "hash").orderBy("hash", "x").limit(BIN_ROWS).toArrow().column("x").combine_chunks()
+    edges = [bin_edges(v, params.max_bin) for v in _matrix(sample, width).T]
     bins = max([len(e) + 1 for e in edges], default=1)
     farthest = rows.agg(F.max(F.abs(F.col("label") - base))).first()[0] or 1.0
     bits = min(36, 60 - max(count - 1, 1).bit_length())
@@ -339,8 +343,7 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], params: Boostin
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full((batch.num_rows, width), MISSING, np.uint16)
-            for k in range(width):
-                v = batch.column(k).to_numpy(zero_copy_only=False).astype(float)
+            for k, v in enumerate(_matrix(batch.column("x"), width).T):
                 there = ~np.isnan(v)
                 out[there, k] = np.searchsorted(edges[k], v[there], "right")
             rows = [r.tobytes() for r in out]

@@ -41,7 +41,7 @@ def stations(spark):
     return df.select("k", F.timestamp_seconds("s").alias("ts"), "rainfall_mm_hr", "water_level_m").repartition(5)
 
 
-@pytest.mark.parametrize("size", [1, 7, 50, 300, 899, 10_000])
+@pytest.mark.parametrize("size", [1, 50, 899])
 def test_features_of_ranges_equal_those_of_series(stations, size):
     whole, cut = (t.build_features(stations, CFG, keys=["k"], rows_per_range=n) for n in (None, size))
     assert cut.columns == whole.columns and rows_of(cut, 9) == rows_of(whole, 9)
