@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import materialise
 
 #: Bytes of text that are taken at once, about.
-CHUNK = 1 << 21
+CHUNK = 1 << 23
 #: Blocks of terms a language at least, and counts of a block, about.
 LEAST_BLOCKS, ENTRIES = 64, 50_000
 #: Elements of the largest matrix that is built at once.
