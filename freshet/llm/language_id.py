@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import extras, materialise
+from freshet.llm.common import extras, materialise, restored
 from freshet.llm.html_layout import declared_language, parse, render
 
 BUCKETS = 1 << 14
@@ -62,14 +62,15 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
 
-    rows = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(max_languages * BUCKETS + 1).collect()
-    languages = sorted({r["lang"] for r in rows})
+    table = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(max_languages * BUCKETS + 1).toArrow()
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     counts = np.full((len(languages), BUCKETS), 0.5)
-    at = {x: i for i, x in enumerate(languages)}
-    for r in rows:
-        counts[at[r["lang"]], r["bucket"]] += r["n"]
+    if languages:
+        place = np.array([languages.index(x) for x in lang.dictionary.to_pylist()])
+        counts[place[lang.indices.to_numpy()], table.column("bucket").to_numpy()] += table.column("n").to_numpy()
     return languages, np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -132,31 +133,28 @@ def _fuse(seen: DataFrame, keep: list[str], languages: list[str], host_weight: f
 
     total = seen.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in soft]).first()
     whole = np.array([float(x) for x in total]) + smoothing
-    base = F.array(*[F.lit(float(x)) for x in whole / whole.sum()])
     joined = seen
     for key in ("host", "_domain", "_suffix", "declared"):
         joined = joined.join(sums(key), key, "left")
-
-    def others(c: str, i: int) -> Column:
-        """Sum of the language's posteriors there, without this row."""
-        return F.greatest(F.col(c)[i] - soft[i], F.lit(0.0))
-
-    def number(c: str) -> Column:
-        return F.greatest(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0))
-
-    scores = []
-    for i in range(n):
-        domain = (others("_ndomain", i) + domain_weight * base[i]) / (number("_ndomain") + domain_weight)
-        host = (others("_nhost", i) + host_weight * domain) / (number("_nhost") + host_weight)
-        # P(language | declaration) over P(language), which is P(declaration | language) up to a constant
-        mark = (others("_ndeclared", i) + smoothing * base[i]) / (number("_ndeclared") + smoothing) / base[i]
-        tail = (others("_nsuffix", i) + smoothing * base[i]) / (number("_nsuffix") + smoothing) / base[i]
-        scores.append(
-            F.col("_text")[i] + F.log(F.when(F.col("host") == "", base[i]).otherwise(host))
-            + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log(mark)) + F.when(F.col("_suffix") == "", F.lit(0.0)).otherwise(F.log(tail))
-        )
+    joined = joined.withColumns({"_base": F.array(*[F.lit(float(x)) for x in whole / whole.sum()]), "_soft": F.transform("_text", lambda x: F.exp(x))})
+
+    def smoothed(c: str, towards: Column, weight: float) -> Column:
+        """Parts of the languages there, without this row, drawn ``weight`` rows' worth towards others."""
+        rows = F.greatest(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) - 1, F.lit(0.0))
+        others = F.zip_with(c, "_soft", lambda a, own: F.greatest(a - own, F.lit(0.0)))
+        return F.zip_with(others, towards, lambda o, t: (o + weight * t) / (rows + weight))
+
+    def ratio(c: str) -> Column:
+        """P(language | evidence) over P(language), which is P(evidence | language) up to a constant, as logarithms."""
+        return F.zip_with(smoothed(c, F.col("_base"), smoothing), "_base", lambda p, b: F.log(p / b))
+
+    none, add = F.transform("_base", lambda b: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    host = smoothed("_nhost", smoothed("_ndomain", F.col("_base"), domain_weight), host_weight)
+    prior = F.transform(F.when(F.col("host") == "", F.col("_base")).otherwise(host), lambda x: F.log(x))
+    marks = F.when(F.col("declared") == "", none).otherwise(ratio("_ndeclared"))
+    tails = F.when(F.col("_suffix") == "", none).otherwise(ratio("_nsuffix"))
     names = F.array(*[F.lit(x) for x in languages])
-    out = joined.withColumn("_scores", F.array(*scores)).withColumn("_best", F.array_max("_scores"))
+    out = joined.withColumn("_scores", add(add(add(F.col("_text"), prior), marks), tails)).withColumn("_best", F.array_max("_scores"))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
         F.element_at(names, F.array_position("_scores", F.col("_best")).cast("int")).alias("lang"),
@@ -167,12 +165,14 @@ def _fuse(seen: DataFrame, keep: list[str], languages: list[str], host_weight: f
 
 
 def _identify(rows: DataFrame, url_col: str | None, body_col: str, model: Model, read_row, weights: tuple[float, float, float]) -> DataFrame:
-    keep = [c for c in extras(rows, [*OWN, body_col]) if c != url_col and c not in ("_url", "_body", "_domain", "_suffix", "_text")]
+    passed = [c for c in extras(rows, [*OWN, body_col]) if c != url_col]
+    back = {f"_kept{i}": c for i, c in enumerate(passed)}
+    keep = list(back)
     url = F.lit(None).cast("string") if url_col is None else F.col(url_col)
-    slim = rows.select(*[F.col(f"`{c}`") for c in keep], url.alias("_url"), F.col(body_col).alias("_body"))
+    slim = rows.select(*[F.col(f"`{c}`").alias(k) for k, c in back.items()], url.alias("_url"), F.col(body_col).alias("_body"))
     if not model[0]:
-        return slim.select(*[F.col(f"`{c}`") for c in keep], *[F.lit(None).cast("double" if c == "confidence" else "string").alias(c) for c in OWN])
-    return _fuse(_evidence(slim, keep, model, read_row), keep, model[0], *weights)
+        return slim.select(*[F.col(k).alias(c) for k, c in back.items()], *[F.lit(None).cast("double" if c == "confidence" else "string").alias(c) for c in OWN])
+    return restored(_fuse(_evidence(slim, keep, model, read_row), keep, model[0], *weights), back)
 
 
 def _read_page(url: str | None, html: str | None) -> tuple[str, str, str, str, str]:
@@ -193,7 +193,8 @@ def identify_pages(
     Columns of those names are replaced. ``model`` is :func:`fit_text_model`'s.
 
     Edge cases: a page without text, declaration and address gets the most frequent
-    language; with a model of no languages ``lang`` is null. A null or malformed address is
+    language; with a model of no languages ``lang`` is null. Of equally likely languages the first in
+    alphabetical order counts. A null or malformed address is
     the host "". Rows that repeat an id are pages of their own. An empty table gives an
     empty table.
 
