@@ -133,6 +133,10 @@ def test_training_run(spark, tmp_path):
     assert out["metrics"]["RMSE"] > 0 and (tmp_path / "metrics_dir" / "t_metrics.json").exists()
     direct = train_on_features(spark, str(data), str(path), str(tmp_path / "direct"))
     assert direct["metrics"]["RMSE"] > 0 and spark.read.csv(direct["importance_path"], header=True).columns == ["feature", "importance"]
+    cfg["split"]["val_end"], cfg["hyperopt"] = "2023-01-12", {"enabled": True, "max_evals": 2}
+    path.write_text(yaml.dump(cfg))
+    searched = run_training(spark, str(path))["model"]
+    assert searched.params["max_depth"] != SMALL["max_depth"] or searched.params["subsample"] != SMALL["subsample"]
     cfg["data"]["input_path"] = None
     path.write_text(yaml.dump(cfg))
     with pytest.raises(SystemExit):
