@@ -193,6 +193,7 @@ class LandslideThresholdBaseline:
     def __repr__(self) -> str:
         return f"LandslideThresholdBaseline(groups={sorted(self.thresholds)})"
 
+    # Names, words and number formats of the reasons.
     #: name, column, threshold group, unit of the value, steps high to low as (key, severity, word), number format
     RULES = (
         ("rainfall_intensity", RAIN, "rainfall_intensity", " mm/hr", (("extreme", EXTREME, "Extreme"), ("heavy", HIGH, "Heavy"), ("moderate", MODERATE, "Moderate"), ("light", LOW, "Light")), ".1f"),
