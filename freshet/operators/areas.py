@@ -100,13 +100,15 @@ def cover_areas(edges: DataFrame, cell: float, id_col: str = "area_id") -> DataF
     rows = rows.withColumns({"_opens": opens.cast("long"), "_inside_left": F.pmod(F.col("_count") - F.col("_crosses"), F.lit(2)) == 1})
     rows = rows.withColumn("_cluster", F.sum("_opens").over(so_far))
 
-    gaps = rows.where((F.col("_next") > F.col("_reach") + 1) & (F.pmod("_count", F.lit(2)) == 1))
-    inside = gaps.select("_id", "_row", F.explode(F.sequence(F.col("_reach") + 1, F.col("_next") - 1)).alias("_col"), F.lit(True).alias("_before"), F.lit(None).cast(f"array<{_EDGE}>").alias("_edges"))
     clusters = rows.groupBy("_id", "_row", "_cluster").agg(
-        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min_by("_inside_left", F.struct(-F.col("_opens"), "_from")).alias("_before"), F.collect_list("_edge").alias("_edges"),
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("_next").alias("_next"), F.max("_count").alias("_count"),
+        F.min_by("_inside_left", F.struct(-F.col("_opens"), "_from")).alias("_before"), F.collect_list("_edge").alias("_edges"),
     )
-    border = clusters.select("_id", "_row", F.explode(F.sequence("_from", "_to")).alias("_col"), "_before", "_edges")
-    return border.unionByName(inside).withColumnRenamed("_id", id_col)
+    # a cluster is followed by its gap, if that is inside; at the last row of a cluster _next and _count are largest
+    filled = (F.col("_next") > F.col("_to") + 1) & (F.pmod("_count", F.lit(2)) == 1)
+    cells = clusters.withColumn("_col", F.explode(F.sequence("_from", F.when(filled, F.col("_next") - 1).otherwise(F.col("_to")))))
+    border = F.col("_col") <= F.col("_to")
+    return cells.select(F.col("_id").alias(id_col), "_row", "_col", F.when(border, F.col("_before")).otherwise(True).alias("_before"), F.when(border, F.col("_edges")).alias("_edges"))
 
 
 def points_in_areas(points: DataFrame, cover: DataFrame, cell: float, x_col: str = "x", y_col: str = "y", id_col: str = "area_id") -> DataFrame:

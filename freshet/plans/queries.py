@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import metrics as M
 from freshet.functions.risk import FloodThresholdBaseline, LandslideThresholdBaseline
-from freshet.operators import quality, temporal
+from freshet.operators import areas, quality, temporal
 from freshet.operators.fusion import as_of_join, join_cwc_data
 from freshet.sources.sensor import sensor_view
 from freshet.sources.telemetry import normalize_cwc_columns, utc_timestamp
@@ -588,6 +588,67 @@ def xgb_attributions(spark, d):
     return explained.select("station_id", "ts", "predicted", "expected", F.explode("attributions").alias("feature", "attribution"))
 
 
+#: Side of a grid cell of the masks, in the units of the made-up map (100 by 100, a nation every 20).
+AREA_CELL = 0.5
+AREAS_SQL = """
+WITH placed AS (
+  SELECT c_nationkey AS area_id, c_custkey AS seq, (round(c_acctbal * 100)::BIGINT % 500 + 500) % 500 / 100.0::DOUBLE + 5.0::DOUBLE AS radius,
+    4.0::DOUBLE * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::DOUBLE / (count(*) OVER (PARTITION BY c_nationkey))::DOUBLE AS turn
+  FROM customer
+), vertices AS (
+  SELECT area_id, ring, seq, turn - floor(turn) AS f, floor(turn)::INTEGER AS quarter, (area_id % 5 * 20 + 10)::DOUBLE AS cx, (area_id // 5 * 20 + 10)::DOUBLE AS cy, radius * part AS r
+  FROM placed, (VALUES (0, 1.0::DOUBLE), (1, 0.375::DOUBLE)) AS rings(ring, part)
+), ring AS (
+  SELECT area_id, ring, seq, cx + r * CASE quarter WHEN 0 THEN 1 - f WHEN 1 THEN -f WHEN 2 THEN f - 1 ELSE f END AS x,
+    cy + r * CASE quarter WHEN 0 THEN f WHEN 1 THEN 1 - f WHEN 2 THEN -f ELSE f - 1 END AS y FROM vertices
+), edges AS (
+  SELECT area_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+  FROM ring WINDOW w AS (PARTITION BY area_id, ring ORDER BY seq)
+), points AS (
+  SELECT o_orderkey AS point_id, o_orderkey * 7919 % 100003 / 1000.0::DOUBLE AS x, (o_custkey * 104729 + o_orderkey * 31) % 100003 / 1000.0::DOUBLE AS y, round(o_totalprice * 100)::BIGINT AS cents FROM orders
+), held AS (
+  SELECT point_id, area_id, cents FROM points JOIN edges ON (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+  GROUP BY point_id, area_id, cents HAVING count(*) % 2 = 1
+)
+"""
+
+
+def _areas(spark, d) -> DataFrame:
+    """A basin a nation on a made-up map: an outer ring with a customer a vertex, and a hole of its shape."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("area_id"), F.col("c_custkey").alias("seq"), "c_acctbal")
+    nation = Window.partitionBy("area_id")
+    turn = F.lit(4.0) * (F.row_number().over(nation.orderBy("seq")) - 1).cast("double") / F.count(F.lit(1)).over(nation).cast("double")
+    radius = F.pmod(F.round(F.col("c_acctbal") * 100).cast("long"), F.lit(500)) / F.lit(100.0) + 5.0
+    rows = customers.withColumns({"turn": turn, "radius": radius}).withColumn("ring", F.explode(F.array(F.lit(0), F.lit(1))))
+    r, f, quarter = F.col("radius") * F.when(F.col("ring") == 0, 1.0).otherwise(0.375), F.col("turn") - F.floor("turn"), F.floor("turn").cast("int")
+
+    def by_quarter(*steps):
+        return F.when(quarter == 0, steps[0]).when(quarter == 1, steps[1]).when(quarter == 2, steps[2]).otherwise(steps[3])
+
+    x = (F.col("area_id") % 5 * 20 + 10).cast("double") + r * by_quarter(1 - f, -f, f - 1, f)
+    y = (F.floor(F.col("area_id") / 5) * 20 + 10).cast("double") + r * by_quarter(f, 1 - f, -f, f - 1)
+    return areas.cover_areas(areas.ring_edges(rows.select("area_id", "ring", "seq", x.alias("x"), y.alias("y"))), AREA_CELL)
+
+
+def _points(spark, d) -> DataFrame:
+    orders, key, customer = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    return orders.select(
+        key.alias("point_id"), (key * 7919 % 100003 / F.lit(1000.0)).alias("x"), ((customer * 104729 + key * 31) % 100003 / F.lit(1000.0)).alias("y"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
+    )
+
+
+@_query(AREAS_SQL + "SELECT point_id, area_id FROM held", on_view=False)
+def points_in_basins(spark, d):
+    """Every order, as a point on a made-up map, with each nation's basin that holds it."""
+    return areas.points_in_areas(_points(spark, d), _areas(spark, d), AREA_CELL).select("point_id", "area_id")
+
+
+@_query(AREAS_SQL + "SELECT area_id, count(*) AS n_points, round(sum(cents)::DOUBLE / count(*)::DOUBLE, 6) AS cents_mean FROM held GROUP BY area_id", on_view=False)
+def basin_means(spark, d):
+    means = areas.area_means(_points(spark, d), _areas(spark, d), AREA_CELL, ["cents"])
+    return means.select("area_id", "n_points", F.round("cents_mean", 6).alias("cents_mean"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
