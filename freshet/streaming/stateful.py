@@ -1,4 +1,5 @@
-"""Structured Streaming: hourly means behind a watermark, and the wetness index with one number of state a key."""
+"""Structured Streaming: hourly means behind a watermark, and the wetness index, over rows as they come with one number
+of state a key, or in time order behind a watermark."""
 
 from __future__ import annotations
 
@@ -8,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def hourly_means(stream: DataFrame, columns: Sequence[str], time_col: str = "ts", keys: Sequence[str] = (), late: str = "2 hours", width: str = "1 hour") -> DataFrame:
@@ -46,3 +50,75 @@ def antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm_hr", de
         step, outputStructType=f"key {dict(stream.dtypes)[key]}, t long, a double", stateStructType="a double, p boolean, t long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout,
     )
     return done.select(F.col("key").alias(key), F.timestamp_micros("t").alias(time_col), F.col("a").alias("antecedent_precipitation_index"))
+
+
+class _InTimeOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed their time, then follows the recurrence over them.
+
+    State: the rows held, one map entry a time (so that a release reads and removes whole times), the index and the
+    time up to which rows were given out, and one timer, set to the first time held.
+    """
+
+    def __init__(self, decay: float):
+        self._decay = decay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getMapState("held", "t long", "rain array<double>")
+        self._index = handle.getValueState("index", "value double, poisoned boolean, upto long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        upto = self._index.get()[2] if self._index.exists() else None
+        come: dict[int, list] = {}
+        for frame in rows:
+            for t, r in zip(frame["t"], frame["r"], strict=True):
+                if upto is None or t > upto:
+                    come.setdefault(int(t), []).append(None if pd.isna(r) else float(r))
+        for t, rain in come.items():
+            before = list(self._held.getValue((t,))[0]) if self._held.containsKey((t,)) else []
+            self._held.updateValue((t,), (before + rain,))
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        upto = watermark_ms * 1000
+        times = sorted(t for (t,) in self._held.keys())
+        ready = [t for t in times if t <= upto]
+        value, poisoned, _ = self._index.get() if self._index.exists() else (0.0, False, None)
+        at, out = [], []
+        for t in ready:
+            # rows of one time in the order of their values, so that the result doesn't hang on how they came
+            for r in sorted(self._held.getValue((t,))[0], key=lambda r: (r is not None, r or 0.0)):
+                poisoned = poisoned or r is None
+                value = value if poisoned else self._decay * value + r
+                at.append(t)
+                out.append(None if poisoned else value)
+            self._held.removeKey((t,))
+        if ready:
+            self._index.update((float(value), bool(poisoned), upto))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if len(ready) < len(times):
+            self._handle.registerTimer(-(-times[len(ready)] // 1000))
+        if at:
+            yield pd.DataFrame({"key": [key[0]] * len(at), "t": at, "a": pd.Series(out, dtype="float64")})
+
+
+def ordered_antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm_hr", decay: float = 0.9, time_col: str = "ts", key: str = "station_id", late: str = "2 hours") -> DataFrame:
+    """a[t] = decay * a[t-1] + r[t] per key in the order of time, whatever order rows come in, as the batch operator gives it.
+
+    A row is held until the watermark, ``late`` behind the newest time of the stream, has passed it; a timer gives
+    it out even if its key has no new rows. Rows of one time are applied from the smallest rainfall on, nulls
+    first. A null (NaN) rainfall makes all later values null. Rows without a time or a key, and rows from before 1970, are left out;
+    so are rows that come behind the watermark, as hourly means leave them out.
+
+    State a key is its rows of the last ``late``, one number and one timer, whatever the length of the stream. It needs
+    the RocksDB state store: set ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB``.
+    """
+    kind = dict(stream.dtypes)[key]
+    rows = stream.withWatermark(time_col, late).where(F.col(time_col).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(F.col(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(rainfall_col).cast("double").alias("r"), F.col(time_col).alias("seen")).where("t >= 0")
+    done = rows.groupBy("key").transformWithStateInPandas(_InTimeOrder(decay), outputStructType=f"key {kind}, t long, a double", outputMode="Append", timeMode="EventTime")
+    return done.select(F.col("key").alias(key), F.timestamp_micros("t").alias(time_col), F.col("a").alias("antecedent_precipitation_index"))

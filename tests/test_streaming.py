@@ -1,6 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
-from freshet.streaming.stateful import antecedent_index, hourly_means
+import pytest
+
+from freshet.operators.temporal import add_antecedent_precipitation_index
+from freshet.streaming.stateful import ROCKSDB, antecedent_index, hourly_means, ordered_antecedent_index
 
 T0 = datetime(2024, 1, 1)
 
@@ -32,3 +36,60 @@ def test_hourly_means_behind_the_watermark(spark, tmp_path):
     batches = [[("a", T0, 1.0), ("a", T0 + timedelta(minutes=30), 3.0)], [("a", T0 + timedelta(hours=9), 5.0)]]
     got = run(spark, tmp_path, batches, schema, lambda s: hourly_means(s, ["x"], keys=["station_id"]), "means", ["station_id", "ts", "x"])
     assert got == [("a", T0, 2.0)]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+RAIN = "station_id string, ts timestamp, rainfall_mm_hr double"
+INDEX = ["station_id", "ts", "antecedent_precipitation_index"]
+#: Passes the watermark over all rows before it.
+LAST = ("z", T0 + timedelta(days=30), 0.0)
+
+
+def shuffled(seed):
+    """Rows of three stations, each at most three hours behind the newest that came before it."""
+    rng = random.Random(seed)
+    rows = [(k, T0 + timedelta(minutes=20 * i), None if (k, i) == ("c", 30) else round(rng.uniform(0, 9), 2)) for i in range(40) for k in "abc" if (k, i % 7) != ("b", 3)]
+    # a place drawn from the three hours after its time: no row comes later than that behind another
+    rows.sort(key=lambda r: r[1] + timedelta(minutes=rng.uniform(0, 175)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_arrival_order_within_the_watermark_gives_the_batch_result(spark, tmp_path, rocksdb, seed):
+    rows = shuffled(seed)
+    assert rows != sorted(rows, key=lambda r: r[1])
+    batches = [rows[i : i + 23] for i in range(0, len(rows), 23)] + [[LAST]]
+    got = run(spark, tmp_path, batches, RAIN, lambda s: ordered_antecedent_index(s, late="3 hours"), "ordered", INDEX)
+    batch = add_antecedent_precipitation_index(spark.createDataFrame(rows, RAIN), keys=["station_id"])
+    want = sorted(tuple(r) for r in batch.select(*INDEX).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] == pytest.approx(w[2], abs=1e-9) if w[2] is not None else g[2] is None for g, w in zip(got, want, strict=True))
+    assert sum(g[2] is None for g in got) == 10
+
+
+def test_rows_of_a_quiet_key_are_given_out_by_timer_and_state_stays_small(spark, tmp_path, rocksdb):
+    hour = timedelta(hours=1)
+    batches = [[("quiet", T0, 1.0), ("a", T0, 1.0)]] + [[("a", T0 + k * 3 * hour, 1.0)] for k in range(1, 5)]
+    for part in batches:
+        spark.createDataFrame(part, RAIN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        build = ordered_antecedent_index(spark.readStream.schema(RAIN).parquet(str(tmp_path / "in")))
+        q = build.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*INDEX).collect())
+    assert ("quiet", T0, 1.0) in got
+    assert [g[1] for g in got if g[0] == "a"] == [T0 + k * 3 * hour for k in range(4)]
+    assert held <= 12  # two keys' numbers, one row and one timer with its index, after five batches
+
+
+def test_rows_behind_the_watermark_nulls_ties_and_rows_without_time_or_key(spark, tmp_path, rocksdb):
+    hour = timedelta(hours=1)
+    first = [("a", T0, 2.0), ("a", T0, 1.0), ("a", None, 5.0), (None, T0, 5.0), ("n", T0, 1.0), ("n", T0 + hour, float("nan")), ("n", T0 + 2 * hour, 1.0), ("a", T0 + 9 * hour, 1.0)]
+    got = run(spark, tmp_path, [first, [("a", T0 + hour, 99.0), ("a", T0 + 8 * hour, 4.0)], [LAST]], RAIN, ordered_antecedent_index, "edges", INDEX)
+    assert [(k, (t - T0) / hour, v if v is None else round(v, 6)) for k, t, v in got] == [("a", 0, 1.0), ("a", 0, 2.9), ("a", 8, 6.61), ("a", 9, 6.949), ("n", 0, 1.0), ("n", 1, None), ("n", 2, None)]
