@@ -14,8 +14,13 @@ from freshet.functions import metrics as M
 from freshet.functions.risk import FloodThresholdBaseline, LandslideThresholdBaseline
 from freshet.operators import areas, quality, temporal
 from freshet.operators.fusion import as_of_join, join_cwc_data
-from freshet.sources.sensor import sensor_view
-from freshet.sources.telemetry import normalize_cwc_columns, utc_timestamp
+from freshet.sources.schema import conform
+from freshet.sources.sensor import load_sensor_csv, sensor_view
+from freshet.sources.shared import shared_folder
+from freshet.sources.sinks import save_predictions
+from freshet.sources.telemetry import load_cwc_rainfall, load_cwc_waterlevel, normalize_cwc_columns, utc_timestamp
+from freshet.streaming.replay import replay
+from freshet.streaming.stateful import hourly_means, ordered_antecedent_index
 
 KEYS = ["station_id"]
 FLOOD = {
@@ -649,6 +654,164 @@ def basin_means(spark, d):
     return means.select("area_id", "n_points", F.round("cents_mean", 6).alias("cents_mean"))
 
 
+def _events(spark, d) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").where(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+    return rows.withColumn("station_id", F.concat(F.lit("ST"), F.pmod("user_id", F.lit(4)).cast("string")))
+
+
+def _written(spark, rows: DataFrame, label: str) -> str:
+    """A CSV of ``rows`` in the shared folder, a part a task."""
+    path = shared_folder(spark, label)
+    rows.write.csv(path, header=True)
+    return path
+
+
+EVENTS_SQL = "WITH feed AS (SELECT *, 'ST' || (user_id % 4)::VARCHAR AS station_id FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)\n"
+
+
+def _filled_sql(c: str, name: str) -> str:
+    return f"""round(coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS {name}"""
+
+
+@_query(EVENTS_SQL + f"""
+, hourly AS (SELECT station_id, date_trunc('hour', ts) AS ts, avg(value) FILTER (event_type IN ('click', 'view')) AS rain, avg(value) FILTER (event_type = 'purchase') AS level FROM feed GROUP BY 1, 2)
+, grid AS (SELECT station_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM (SELECT station_id, min(ts) AS a, max(ts) AS b FROM hourly GROUP BY 1))
+, dense AS (SELECT g.station_id, g.ts, rain, level FROM grid g LEFT JOIN hourly h ON g.station_id = h.station_id AND g.ts = h.ts)
+SELECT station_id, ts AS "timestamp", {_filled_sql("rain", "rainfall_mm_hr")}, {_filled_sql("level", "water_level_m")} FROM dense
+""", on_view=False)
+def sensor_csv(spark, d):
+    """Readings written as a sensor CSV, with texts among the numbers and a column to drop, loaded on an hourly grid."""
+    rain = F.when(F.col("event_type").isin("click", "view"), F.col("value").cast("string")).when(F.col("event_type") == "error", F.lit("n/a"))
+    rows = _events(spark, d).select(
+        "station_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), rain.alias("rainfall_mm_hr"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("water_level_m"), F.col("event_type").alias("note"),
+    )
+    loaded = load_sensor_csv(spark, _written(spark, rows, "sensor"), drop_cols=["note", "absent"], resample_freq="1h", keys=KEYS)
+    return _six(loaded, "rainfall_mm_hr", "water_level_m").select("station_id", "timestamp", "rainfall_mm_hr", "water_level_m")
+
+
+def _local_time(n: str):
+    """A time as agency files give it: three formats, of which the last says its offset, and some that can't be read."""
+    shown = F.when(F.col(n) % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col(n) % 3 == 1, F.date_format("ts", "dd-MM-yyyy HH:mm:ss"))
+    return F.when(F.col(n) % 50 == 0, "not recorded").otherwise(shown.otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))))
+
+
+_UTC_SQL = "CASE WHEN event_id % 50 <> 0 THEN date_trunc('second', ts) - INTERVAL '5 hours 30 minutes' END AS timestamp_utc"
+
+
+@_query(EVENTS_SQL + f"SELECT station_id AS station_code, event_id::VARCHAR AS reading, CASE WHEN event_id % 7 <> 0 THEN value END AS rainfall_mm_hr, {_UTC_SQL} FROM feed WHERE event_type IN ('click', 'view')", on_view=False)
+def rainfall_csv(spark, d):
+    rows = _events(spark, d).where("event_type IN ('click', 'view')").select(
+        F.col("station_id").alias("StationCode"), F.col("event_id").alias("reading"), _local_time("event_id").alias("ObsDateTime"),
+        F.when(F.col("event_id") % 7 == 0, "trace").otherwise(F.col("value").cast("string")).alias("Rainfall(mm)"),
+    )
+    return load_cwc_rainfall(spark, _written(spark, rows, "rainfall"))
+
+
+@_query(EVENTS_SQL + f"""SELECT station_id AS station_code, event_id::VARCHAR AS reading, value / 20.0::DOUBLE AS water_level_m, 7.5::DOUBLE AS danger_level_m, CASE WHEN event_id % 4 <> 0 THEN 10.0::DOUBLE END AS hfl_m, {_UTC_SQL}
+FROM feed WHERE event_type = 'purchase'""", on_view=False)
+def waterlevel_csv(spark, d):
+    rows = _events(spark, d).where("event_type = 'purchase'").select(
+        F.col("station_id").alias("STATION_CODE"), F.col("event_id").alias("reading"), _local_time("event_id").alias("Date_Time"), (F.col("value") / 20.0).alias("WL_m"),
+        F.lit("7.5").alias("Danger_Level(m)"), F.when(F.col("event_id") % 4 == 0, "not known").otherwise("10").alias("HFL(m)"),
+    )
+    return load_cwc_waterlevel(spark, _written(spark, rows, "waterlevel"))
+
+
+@_query("SELECT ts AS \"timestamp\", station_id, CASE WHEN hour(ts) % 6 <> 0 THEN rainfall_mm_hr END AS rainfall_mm_hr, soil_moisture_pct, water_level_m, NULL::DOUBLE AS discharge_cumec FROM sensor")
+def declared_schema(spark, d):
+    """Texts in declared types: what isn't a number is null, absent columns too, others go."""
+    rain = F.when(F.hour("ts") % 6 != 0, F.col("rainfall_mm_hr").cast("string")).when(F.hour("ts") % 12 == 0, "NaN").otherwise("?")
+    rows = view(spark, d).select(F.col("ts").alias("timestamp"), "station_id", rain.alias("rainfall_mm_hr"), "soil_moisture_pct", "water_level_m", "terrain_susceptibility")
+    return conform(rows).select("timestamp", "station_id", "rainfall_mm_hr", "soil_moisture_pct", "water_level_m", "discharge_cumec")
+
+
+@_query(PAIRS_SQL + "SELECT station_id, ts, pred AS predicted, obs AS observed FROM pairs")
+def saved_predictions(spark, d):
+    """Forecasts as they are read back from the CSV that a run saves."""
+    path = save_predictions(persistence(spark, d), shared_folder(spark, "predictions"), time_col="ts", pred="pred", obs="obs", single_file=False, keys=KEYS)
+    return spark.read.schema("station_id string, ts timestamp, predicted double, observed double").csv(path, header=True)
+
+
+@_query(PAIRS_SQL + "SELECT " + _REGRESSION_SQL.replace(", 6) AS", ", 4) AS").split('  round(avg(pred - obs)')[0] + _REGRESSION_SQL.replace(", 6) AS", ", 4) AS").split('AS "ME",')[1] + " FROM pairs")
+def comparison_metrics(spark, d):
+    """The four figures of a model comparison, in four decimals."""
+    return M.regression_metrics(persistence(spark, d), names=["RMSE", "MAE", "R2", "NSE"], digits=4)
+
+
+LEVELS = {"warning_level": 5.0, "danger_level": 7.5}
+
+
+def _evaluation_sql() -> str:
+    tables, rows = [], ["SELECT 'n_samples' AS metric, count(*)::DOUBLE AS value FROM pairs"]
+    rows += [f"SELECT '{n}', \"{n}\" FROM (SELECT {_REGRESSION_SQL} FROM pairs)" for n in ("RMSE", "MAE", "ME")]
+    for name, level in LEVELS.items():
+        p, o = f"coalesce(pred >= {level}, false)", f"coalesce(obs >= {level}, false)"
+        tables.append(f"""
+, c_{name} AS (SELECT count(*) FILTER ({p} AND {o}) AS tp, count(*) FILTER ({p} AND NOT {o}) AS fp, count(*) FILTER (NOT {p} AND {o}) AS fn, count(*) FILTER (NOT {p} AND NOT {o}) AS tn FROM pairs)
+, r_{name} AS (SELECT {o} AS y, rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0::DOUBLE AS k FROM pairs WHERE pred IS NOT NULL)
+, u_{name} AS (SELECT (sum(k) FILTER (y) - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0) AS auc FROM r_{name}, (SELECT count(*) FILTER (y)::DOUBLE AS n1, count(*) FILTER (NOT y)::DOUBLE AS n0 FROM r_{name}) GROUP BY n1, n0)""")
+        found = {
+            "precision": "coalesce(tp / nullif(tp + fp, 0), 0)", "recall": "coalesce(tp / nullif(tp + fn, 0), 0)", "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)",
+            "roc_auc": "auc", "n_flood_events_observed": "tp + fn", "threshold_m": str(level), "TP": "tp", "FP": "fp", "FN": "fn", "TN": "tn",
+        }
+        rows += [f"SELECT '{name}_{k}', round(({v})::DOUBLE, 6) FROM c_{name}, u_{name}" for k, v in found.items()]
+    return PAIRS_SQL + "".join(tables) + "\n" + " UNION ALL ".join(rows)
+
+
+@_query(_evaluation_sql())
+def evaluation_report(spark, d):
+    """All figures of an evaluation, a row each."""
+    config = {"evaluation": {"regression_metrics": ["RMSE", "MAE", "ME"], "classification_metrics": ["precision"]}, "alert": {f"{k}_m": v for k, v in LEVELS.items()}}
+    found = M.evaluate(persistence(spark, d), config)
+    rows = [(k, None if v is None else float(v)) for k, v in found.items() if k not in ("experiment", "split", "evaluated_at")]
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", F.round("value", 6))
+
+
+@_query("""
+, parts AS (SELECT *, CASE WHEN ts <= TIMESTAMP '2024-01-15' THEN 'train' WHEN ts <= TIMESTAMP '2024-01-22' THEN 'val' ELSE 'test' END AS split FROM sensor)
+SELECT * FROM (SELECT station_id, ts, split, rainfall_mm_hr, soil_moisture_pct, lead(water_level_m, 2) OVER (PARTITION BY station_id, split ORDER BY ts) AS label FROM parts)
+WHERE label IS NOT NULL AND rainfall_mm_hr IS NOT NULL AND soil_moisture_pct IS NOT NULL
+""")
+def split_targets(spark, d):
+    """Targets built within each part, so that none is taken from the part after it."""
+    rows = view(spark, d).select("station_id", "ts", "rainfall_mm_hr", "soil_moisture_pct", "water_level_m")
+    parts = zip(("train", "val", "test"), temporal.chronological_split(rows, "2024-01-15", "2024-01-22"), strict=True)
+    train, val, test = (temporal.extract_xy(p, forecast_horizon=2, keys=KEYS).withColumn("split", F.lit(name)) for name, p in parts)
+    return train.unionByName(val).unionByName(test)
+
+
+@_query(EVENTS_SQL + """, clicks AS (SELECT * FROM feed WHERE event_type = 'click')
+SELECT station_id, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS value FROM clicks GROUP BY 1, 2
+HAVING date_trunc('hour', min(clicks.ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM clicks) - INTERVAL 2 HOURS
+""", on_view=False)
+def streamed_hourly_means(spark, d):
+    """The table of events as a stream: means of the hours that the watermark has closed at its end."""
+
+    def means(stream: DataFrame) -> DataFrame:
+        rows = stream.where("event_type = 'click' AND ts IS NOT NULL AND user_id IS NOT NULL")
+        return hourly_means(rows.select(F.concat(F.lit("ST"), F.pmod("user_id", F.lit(4)).cast("string")).alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "value"), ["value"], keys=KEYS)
+
+    return _six(replay(spark, f"{d}/events.parquet", means), "value")
+
+
+@_query("""
+WITH feed AS (SELECT user_id, ts, value FROM events WHERE event_type IN ('click', 'view') AND ts IS NOT NULL AND user_id IS NOT NULL)
+SELECT user_id, ts, round(api, 6) AS antecedent_precipitation_index FROM (
+  SELECT user_id, ts, list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, value NULLS FIRST ROWS BETWEEN 400 PRECEDING AND CURRENT ROW), lambda a, x: a * 0.9::DOUBLE + x) AS api FROM feed)
+WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) - 7200000 FROM feed) * 1000
+""", on_view=False)
+def streamed_index(spark, d):
+    """The wetness index of every user's readings in the order of time, from the table of events as a stream."""
+
+    def index(stream: DataFrame) -> DataFrame:
+        rows = stream.where("event_type IN ('click', 'view')").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+        return ordered_antecedent_index(rows, "value", key="user_id")
+
+    return _six(replay(spark, f"{d}/events.parquet", index), "antecedent_precipitation_index")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -93,3 +93,40 @@ def test_rows_behind_the_watermark_nulls_ties_and_rows_without_time_or_key(spark
     first = [("a", T0, 2.0), ("a", T0, 1.0), ("a", None, 5.0), (None, T0, 5.0), ("n", T0, 1.0), ("n", T0 + hour, float("nan")), ("n", T0 + 2 * hour, 1.0), ("a", T0 + 9 * hour, 1.0)]
     got = run(spark, tmp_path, [first, [("a", T0 + hour, 99.0), ("a", T0 + 8 * hour, 4.0)], [LAST]], RAIN, ordered_antecedent_index, "edges", INDEX)
     assert [(k, (t - T0) / hour, v if v is None else round(v, 6)) for k, t, v in got] == [("a", 0, 1.0), ("a", 0, 2.9), ("a", 8, 6.61), ("a", 9, 6.949), ("n", 0, 1.0), ("n", 1, None), ("n", 2, None)]
+
+
+def test_replay_of_a_table_file_by_file_and_as_one_batch(spark, tmp_path):
+    from freshet.streaming.replay import replay
+
+    hour = timedelta(hours=1)
+    path = str(tmp_path / "table")
+    for rows in ([("a", T0, 1.0), ("b", T0, 2.0)], [("a", T0 + 9 * hour, 1.0)], [("a", T0 + hour, 5.0), ("a", T0 + 18 * hour, 1.0)]):
+        spark.createDataFrame(rows, RAIN).coalesce(1).write.mode("append").parquet(path)
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def got(**options):
+        rows = replay(spark, path, ordered_antecedent_index, **options).select(*INDEX).collect()
+        return sorted((k, (t - T0) / hour, round(v, 6)) for k, t, v in rows)
+
+    assert got() == [("a", 0, 1.0), ("a", 1, 5.9), ("a", 9, 6.31), ("b", 0, 2.0)]  # the last row is still held
+    assert got(files_per_trigger=1) == [("a", 0, 1.0), ("a", 9, 1.9), ("b", 0, 2.0)]  # hour 1 came behind the watermark
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
+
+
+def test_replay_of_an_empty_table_and_of_a_single_file(spark, tmp_path):
+    from freshet.streaming.replay import replay
+
+    spark.createDataFrame([], RAIN).write.parquet(str(tmp_path / "none"))
+    assert replay(spark, str(tmp_path / "none"), ordered_antecedent_index).count() == 0
+    spark.createDataFrame([("a", T0, 1.0), ("a", T0 + timedelta(hours=9), 2.0)], RAIN).coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("part-*")
+    part.rename(tmp_path / "readings.parquet")
+    rows = replay(spark, str(tmp_path / "readings.parquet"), ordered_antecedent_index).collect()
+    assert [(r["station_id"], r["antecedent_precipitation_index"]) for r in rows] == [("a", 1.0)]
+
+
+def test_shared_folder_is_below_the_checkpoint_folder_and_new_each_time(spark):
+    from freshet.sources.shared import shared_folder
+
+    a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert a != b and all(p.startswith(spark.conf.get("spark.checkpoint.dir")) for p in (a, b))
