@@ -100,7 +100,7 @@ def test_replay_of_a_table_file_by_file_and_as_one_batch(spark, tmp_path):
 
     hour = timedelta(hours=1)
     path = str(tmp_path / "table")
-    for rows in ([("a", T0, 1.0), ("b", T0, 2.0)], [("a", T0 + 9 * hour, 1.0)], [("a", T0 + hour, 5.0), ("a", T0 + 18 * hour, 1.0)]):
+    for rows in ([("a", T0, 1.0), ("b", T0, 2.0)], [("a", T0 + 9 * hour, 1.0)], [("a", T0 + 10 * hour, 1.0)], [("a", T0 + hour, 5.0), ("a", T0 + 18 * hour, 1.0)]):
         spark.createDataFrame(rows, RAIN).coalesce(1).write.mode("append").parquet(path)
     store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
@@ -108,8 +108,8 @@ def test_replay_of_a_table_file_by_file_and_as_one_batch(spark, tmp_path):
         rows = replay(spark, path, ordered_antecedent_index, **options).select(*INDEX).collect()
         return sorted((k, (t - T0) / hour, round(v, 6)) for k, t, v in rows)
 
-    assert got() == [("a", 0, 1.0), ("a", 1, 5.9), ("a", 9, 6.31), ("b", 0, 2.0)]  # the last row is still held
-    assert got(files_per_trigger=1) == [("a", 0, 1.0), ("a", 9, 1.9), ("b", 0, 2.0)]  # hour 1 came behind the watermark
+    assert got() == [("a", 0, 1.0), ("a", 1, 5.9), ("a", 9, 6.31), ("a", 10, 6.679), ("b", 0, 2.0)]  # the last row is still held
+    assert got(files_per_trigger=1) == [("a", 0, 1.0), ("a", 9, 1.9), ("a", 10, 2.71), ("b", 0, 2.0)]  # hour 1 came behind the watermark of two batches
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
 
 
