@@ -69,39 +69,55 @@ class _InTimeOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         upto = self._index.get()[2] if self._index.exists() else None
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         come: dict[int, list] = {}
         for frame in rows:
             for t, r in zip(frame["t"], frame["r"], strict=True):
                 if upto is None or t > upto:
                     come.setdefault(int(t), []).append(None if pd.isna(r) else float(r))
+        held = self._read()
+        stored = set(held)
         for t, rain in come.items():
-            before = list(self._held.getValue((t,))[0]) if self._held.containsKey((t,)) else []
-            self._held.updateValue((t,), (before + rain,))
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+            held[t] = held.get(t, []) + rain
+            if t > passed:  # what goes out at once needs no state
+                self._held.updateValue((t,), (held[t],))
+                stored.add(t)
+        yield from self._release(key, passed, held, stored)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+        held = self._read()
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000, held, set(held))
 
-    def _release(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        upto = watermark_ms * 1000
-        times = sorted(t for (t,) in self._held.keys())
+    def _read(self) -> dict[int, list]:
+        """All rows held, in one read: a call to the state store costs more than a row."""
+        return {int(t): list(rain) for (t,), (rain,) in self._held.iterator()}
+
+    def _release(self, key: tuple, upto: int, held: dict[int, list], stored: set[int]) -> Iterator[pd.DataFrame]:
+        times = sorted(held)
         ready = [t for t in times if t <= upto]
-        value, poisoned, _ = self._index.get() if self._index.exists() else (0.0, False, None)
         at, out = [], []
-        for t in ready:
-            # rows of one time in the order of their values, so that the result doesn't hang on how they came
-            for r in sorted(self._held.getValue((t,))[0], key=lambda r: (r is not None, r or 0.0)):
-                poisoned = poisoned or r is None
-                value = value if poisoned else self._decay * value + r
-                at.append(t)
-                out.append(None if poisoned else value)
-            self._held.removeKey((t,))
         if ready:
+            value, poisoned, _ = self._index.get() if self._index.exists() else (0.0, False, None)
+            for t in ready:
+                # rows of one time in the order of their values, so that the result doesn't hang on how they came
+                for r in sorted(held[t], key=lambda r: (r is not None, r or 0.0)):
+                    poisoned = poisoned or r is None
+                    value = value if poisoned else self._decay * value + r
+                    at.append(t)
+                    out.append(None if poisoned else value)
             self._index.update((float(value), bool(poisoned), upto))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if len(ready) < len(times):
-            self._handle.registerTimer(-(-times[len(ready)] // 1000))
+            if len(ready) == len(times):
+                self._held.clear()
+            else:
+                for t in stored.intersection(ready):
+                    self._held.removeKey((t,))
+        wanted = -(-times[len(ready)] // 1000) if len(ready) < len(times) else None
+        timers = list(self._handle.listTimers())
+        for timer in timers:
+            if timer != wanted:
+                self._handle.deleteTimer(timer)
+        if wanted is not None and wanted not in timers:
+            self._handle.registerTimer(wanted)
         if at:
             yield pd.DataFrame({"key": [key[0]] * len(at), "t": at, "a": pd.Series(out, dtype="float64")})
 
