@@ -128,7 +128,8 @@ def ordered_antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm
     A row is held until the watermark, ``late`` behind the newest time of the stream, has passed it; a timer gives
     it out even if its key has no new rows. Rows of one time are applied from the smallest rainfall on, nulls
     first. A null (NaN) rainfall makes all later values null. Rows without a time or a key, and rows from before 1970, are left out;
-    so are rows that come behind the watermark, as hourly means leave them out.
+    so are rows behind the watermark of the batch before, as hourly means leave them out, and those from before what their key has
+    given out already.
 
     State a key is its rows of the last ``late``, one number and one timer, whatever the length of the stream. It needs
     the RocksDB state store: set ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB``.
