@@ -2,19 +2,27 @@
 
 An area is a set of closed rings under the even-odd rule: an outer ring, holes, several parts. A point is
 inside if a ray from it to greater x crosses an odd number of edges, where an edge from (x1, y1) to (x2, y2) is crossed if
-(y1 > y) <> (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1). All is built-in functions over tables of edges
-and cells; no area is compared with a point outside the cells it covers.
+(y1 > y) <> (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1). Tables of edges and cells are built-in functions;
+no area is compared with a point outside the cells it covers. Where a border has many edges in a row of cells, its
+points meet them in Arrow groups, by searches in the order of edges that don't cross.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: By this share of its distance in cells an edge's cells are widened, so that rounding can't leave one out.
 SLACK = 1e-9
+#: Clusters of more edges are searched in groups rather than tested edge by edge.
+FEW = 64
+#: About so many points of a cluster are searched by one group.
+BLOCK = 200_000
 _EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -58,9 +66,10 @@ def _cells(low: Column, high: Column) -> tuple[Column, Column]:
 
 
 def cover_areas(edges: DataFrame, cell: float, id_col: str = "area_id") -> DataFrame:
-    """Cells of side ``cell`` that areas cover: ``(id_col, _row, _col, _before, _edges)``. Cells wholly inside have no
-    edges. A cell on the border has the edges of its *cluster*, a maximal run of border cells of its area in its row, and
-    ``_before``: whether what lies left of the cluster is inside.
+    """Cells of side ``cell`` that areas cover: ``(id_col, _row, _col, _before, _edges, _cluster, _many)``. Cells wholly
+    inside have no edges. A cell on the border has the edges of its *cluster*, a maximal run of border cells of its area in its
+    row, and ``_before``: whether what lies left of the cluster is inside. A cluster of more than ``FEW`` edges has them once,
+    as ``_many`` of its first cell, whose column is the ``_cluster`` of all its cells; their ``_edges`` are empty.
 
     Each edge is clipped to the rows it passes. Within an area's row, sorted by first column, a running maximum of
     the last columns finds the gaps between clusters, and the running count of edges that cross the row's middle tells
@@ -107,8 +116,94 @@ def cover_areas(edges: DataFrame, cell: float, id_col: str = "area_id") -> DataF
     # a cluster is followed by its gap, if that is inside; at the last row of a cluster _next and _count are largest
     filled = (F.col("_next") > F.col("_to") + 1) & (F.pmod("_count", F.lit(2)) == 1)
     cells = clusters.withColumn("_col", F.explode(F.sequence("_from", F.when(filled, F.col("_next") - 1).otherwise(F.col("_to")))))
-    border = F.col("_col") <= F.col("_to")
-    return cells.select(F.col("_id").alias(id_col), "_row", "_col", F.when(border, F.col("_before")).otherwise(True).alias("_before"), F.when(border, F.col("_edges")).alias("_edges"))
+    border, many = F.col("_col") <= F.col("_to"), F.size("_edges") > FEW
+    return cells.select(
+        F.col("_id").alias(id_col), "_row", "_col", F.when(border, F.col("_before")).otherwise(True).alias("_before"),
+        F.when(border & many, F.array().cast(f"array<{_EDGE}>")).when(border, F.col("_edges")).alias("_edges"),
+        F.when(border & many, F.col("_from")).alias("_cluster"), F.when(many & (F.col("_col") == F.col("_from")), F.col("_edges")).alias("_many"),
+    )
+
+
+def _increasing(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Places of lines from ``a`` to ``b`` in as few chains as can be, both ends rising in each."""
+    tails, chains = [], []
+    for k in np.lexsort((b, a)):
+        at = bisect_right(tails, b[k]) - 1
+        if at < 0:
+            tails.insert(0, b[k])
+            chains.insert(0, [k])
+        else:
+            tails[at] = b[k]
+            chains[at].append(k)
+    return [np.array(c) for c in chains]
+
+
+def _odd_left(x: np.ndarray, y: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """Whether an odd number of edges crosses a point's height not to the right of it, a point.
+
+    Points are halved by height. Edges that cross all heights of a part are put in the order of their places there, in
+    chains of edges that don't cross, and each point is searched in a chain; places nearer than rounding can tell are
+    tested by the rule. The other edges end within the part and go on to its halves: at most two parts of each level.
+    """
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    near = 1e-12 * max(np.abs(x1).max(initial=0.0), np.abs(x2).max(initial=0.0))
+    by_height = np.argsort(y, kind="stable")
+    px, py, n = x[by_height], y[by_height], np.zeros(len(x), dtype=np.int64)
+
+    def at(e, h):
+        return x1[e] + (h - y1[e]) * (x2[e] - x1[e]) / (y2[e] - y1[e])
+
+    def search(a, b, e, first, last):
+        h, v = py[a:b], px[a:b]
+        t = (h - h[0]) / (h[-1] - h[0]) if h[-1] > h[0] else np.zeros(b - a)
+        below, above = np.zeros(b - a, dtype=np.int64), np.full(b - a, len(e))
+        for _ in range(len(e).bit_length()):
+            mid = np.minimum((below + above) // 2, len(e) - 1)
+            left = (first[mid] * (1 - t) + last[mid] * t < v - near) & (below < above)
+            below, above = np.where(left, mid + 1, below), np.where(left, above, np.minimum(mid, above))
+        n[a:b] += below
+        unsure = np.arange(b - a)
+        while len(unsure := unsure[below[unsure] < len(e)]):
+            k = below[unsure]
+            unsure = unsure[first[k] * (1 - t[unsure]) + last[k] * t[unsure] <= v[unsure] + near]
+            k = below[unsure]
+            n[a + unsure] += ~(v[unsure] < at(e[k], h[unsure]))
+            below[unsure] += 1
+
+    parts = [(0, len(x), np.nonzero(low < high)[0])] if len(x) else []
+    while parts:
+        a, b, e = parts.pop()
+        bottom, top = py[a], py[b - 1]
+        e = e[(low[e] <= top) & (high[e] > bottom)]
+        if (b - a) * len(e) <= 16_384:
+            h = py[a:b, None]
+            with np.errstate(invalid="ignore", over="ignore"):
+                n[a:b] += ((low[e] <= h) & (high[e] > h) & ~(px[a:b, None] < at(e, h))).sum(axis=1)
+            continue
+        across = (low[e] <= bottom) & (high[e] > top)
+        through, e = e[across], e[~across]
+        if len(through):
+            first, last = at(through, bottom), at(through, top)
+            order = np.argsort(first + last, kind="stable")
+            up_first, up_last = np.maximum.accumulate(first[order]), np.maximum.accumulate(last[order])
+            if (up_first - first[order]).max() <= near and (up_last - last[order]).max() <= near:
+                search(a, b, through[order], up_first, up_last)
+            else:
+                for c in _increasing(first, last):
+                    search(a, b, through[c], first[c], last[c])
+        if len(e):
+            middle = (a + b) // 2
+            parts += [(a, middle, e), (middle, b, e)]
+    odd = np.empty(len(x), dtype=bool)
+    odd[by_height] = n % 2 == 1
+    return odd
+
+
+def _inside_cluster(points: pa.Table, cluster: pa.Table) -> pa.Table:
+    """Of points in cells of one cluster those inside its area."""
+    edges = cluster["_many"].combine_chunks().flatten()
+    odd = _odd_left(points["_x"].to_numpy(), points["_y"].to_numpy(), *[edges.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+    return points.filter(pa.array(odd != cluster["_before"][0].as_py())).select(["_point", "_id"])
 
 
 def points_in_areas(points: DataFrame, cover: DataFrame, cell: float, x_col: str = "x", y_col: str = "y", id_col: str = "area_id") -> DataFrame:
@@ -118,7 +213,9 @@ def points_in_areas(points: DataFrame, cover: DataFrame, cell: float, x_col: str
 
     One equi-join on cells. Only points in border cells are tested, against the edges of one cluster. Points are never
     gathered by area: of a cell that many points share, the cover's side is a row an area, so the skew join can split it,
-    and a small cover is broadcast by its size.
+    and a small cover is broadcast by its size. Points in cells of clusters of many edges are dealt by cluster, in blocks of about
+    ``BLOCK`` of them, and each block is searched with the cluster's edges in one Arrow group; that reads ``cover`` and
+    ``points`` a second time, so a cover of many edges is better stored first.
     """
     side, kept = F.lit(float(cell)), [c for c in points.columns if c != id_col]
     x, y = F.col("_x"), F.col("_y")
@@ -126,12 +223,26 @@ def points_in_areas(points: DataFrame, cover: DataFrame, cell: float, x_col: str
     placed = placed.where(_finite(x, y)).withColumns({"_col": F.floor(x / side), "_row": F.floor(y / side)})
     left = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(_crosses(e, y) & ~_to_the_right(e, x, y), 1).otherwise(0))
     inside = F.col("_edges").isNull() | ((F.pmod(left, F.lit(2)) == 1) != F.col("_before"))
-    found = placed.join(cover.withColumnRenamed(id_col, "_id"), ["_row", "_col"]).where(inside)
-    return found.select(*[F.col("_point")[c].alias(c) for c in kept], F.col("_id").alias(id_col))
+    cover = cover.withColumnRenamed(id_col, "_id")
+    few = placed.join(cover.where("_cluster IS NULL").drop("_cluster", "_many"), ["_row", "_col"]).where(inside).select("_point", "_id")
+
+    cluster = ["_id", "_row", "_cluster"]
+    to_search = placed.join(cover.where("_cluster IS NOT NULL").select(*cluster, "_col"), ["_row", "_col"])
+    blocks = to_search.groupBy(*cluster).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    many = cover.where("_many IS NOT NULL").select(*cluster, "_before", "_many").join(blocks, cluster)
+    # whichever rows come together in a block, each is judged alone
+    dealt = to_search.withColumn("_any", F.monotonically_increasing_id()).join(blocks, cluster).withColumn("_block", F.pmod("_any", "_blocks"))
+    by = [*cluster, "_block"]
+    many = many.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    theirs = [f"{c}_of" for c in by]  # names of its own, since both sides come from the cover
+    many = many.select("_before", "_many", *[F.col(c).alias(n) for c, n in zip(by, theirs, strict=True)])
+    found = dealt.select("_point", "_x", "_y", *by).groupBy(*by).cogroup(many.groupBy(*theirs)).applyInArrow(_inside_cluster, few.schema)
+    return few.unionAll(found).select(*[F.col("_point")[c].alias(c) for c in kept], F.col("_id").alias(id_col))
 
 
 def area_means(points: DataFrame, cover: DataFrame, cell: float, columns: Sequence[str], x_col: str = "x", y_col: str = "y", id_col: str = "area_id", keys: Sequence[str] = ()) -> DataFrame:
     """``{c}_mean`` over the points in each area and group of ``keys`` (such as the hour), with ``n_points``; combined
     map-side, so an area that holds most points is no hot group."""
-    held = points_in_areas(points, cover, cell, x_col, y_col, id_col)
+    read = dict.fromkeys([x_col, y_col, *columns, *keys])
+    held = points_in_areas(points.select(*[F.col(f"`{c}`") for c in read]), cover, cell, x_col, y_col, id_col)
     return held.groupBy(id_col, *keys).agg(F.count(F.lit(1)).alias("n_points"), *[F.avg(c).alias(f"{c}_mean") for c in columns])

@@ -1,11 +1,14 @@
 """Masks of areas against the crossing rule over all pairs."""
 
+import math
 import random
 from itertools import groupby
 
+import numpy as np
 import pytest
 
-from freshet.operators.areas import area_means, cover_areas, points_in_areas, ring_edges
+from freshet.operators import areas
+from freshet.operators.areas import FEW, _odd_left, area_means, cover_areas, points_in_areas, ring_edges
 
 VERTICES = "area_id string, ring int, seq int, x double, y double"
 
@@ -101,3 +104,43 @@ def test_means_over_areas(spark):
         ps = [p for *_, p in group]
         want[key] = (len(ps), round(sum(ps) / len(ps), 9))
     assert got == want
+
+
+def star(n, seed, area="star"):
+    """A ring about (10, 10) whose vertices lie at any distance from 5 to 10: every edge passes many cells."""
+    rng = random.Random(seed)
+    turns = [(s, 2 * math.pi * s / n, rng.uniform(5, 10)) for s in range(n)]
+    return [(area, 0, s, 10 + r * math.cos(t), 10 + r * math.sin(t)) for s, t, r in turns]
+
+
+@pytest.mark.parametrize("block", [200_000, 50])
+def test_borders_of_many_edges_are_searched(spark, monkeypatch, block):
+    monkeypatch.setattr(areas, "BLOCK", block)
+    rng = random.Random(5)
+    wild_ring = [("wild", 0, s, rng.uniform(0, 20), float(rng.randint(0, 20))) for s in range(600)]  # edges cross each other
+    vertices = star(2000, 5) + star(700, 6, "other") + wild_ring + wild(3)[0]
+    points = [(p, rng.uniform(0, 20), rng.uniform(0, 20)) for p in range(1000)] + [(p, x, y) for p, (*_, x, y) in enumerate(vertices[::7], 1000)]
+    cover, got = masked(spark, vertices, points, 1.0)
+    assert got == brute(vertices, points)
+    assert cover.where("_many IS NOT NULL").count() > 20
+
+
+def test_a_cover_holds_every_edge_once_a_row(spark):
+    vertices, cell = star(3000, 8), 0.5
+    ends = [v[3:] for v in vertices]
+    passed = sum(abs(math.floor(y / cell) - math.floor(v / cell)) + 1 for (_, y), (_, v) in zip(ends, ends[1:] + ends[:1], strict=True))
+    cover = cover_areas(ring_edges(spark.createDataFrame(vertices, VERTICES)), cell)
+    held = sum(len(c["_edges"] or []) + len(c["_many"] or []) for c in cover.collect())
+    assert passed <= held <= passed + FEW * 42 * 42  # clusters of few edges have them in each cell
+
+
+def test_search_of_many_points_among_many_edges():
+    ends = [v[3:] for v in star(60_000, 9)]
+    edges = [np.array(c) for c in zip(*[(*p, *q) for p, q in zip(ends, ends[1:] + ends[:1], strict=True)], strict=True)]
+    rng = np.random.default_rng(9)
+    x, y = rng.uniform(0, 20, 60_000), rng.uniform(0, 20, 60_000)
+    odd = _odd_left(x, y, *edges)
+    x1, y1, x2, y2 = edges
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = [(((y1 > v) != (y2 > v)) & ~(u < x1 + (v - y1) * (x2 - x1) / (y2 - y1))).sum() % 2 == 1 for u, v in zip(x[:300], y[:300], strict=True)]
+    assert odd[:300].tolist() == want
