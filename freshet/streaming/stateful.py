@@ -3,13 +3,13 @@ of state a key, or in time order behind a watermark."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,76 +52,6 @@ def antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm_hr", de
     return done.select(F.col("key").alias(key), F.timestamp_micros("t").alias(time_col), F.col("a").alias("antecedent_precipitation_index"))
 
 
-class _InTimeOrder(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed their time, then follows the recurrence over them.
-
-    State: the rows held, one map entry a time (so that a release reads and removes whole times), the index and the
-    time up to which rows were given out, and one timer, set to the first time held.
-    """
-
-    def __init__(self, decay: float):
-        self._decay = decay
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._held = handle.getMapState("held", "t long", "rain array<double>")
-        self._index = handle.getValueState("index", "value double, poisoned boolean, upto long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        upto = self._index.get()[2] if self._index.exists() else None
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        come: dict[int, list] = {}
-        for frame in rows:
-            for t, r in zip(frame["t"], frame["r"], strict=True):
-                if upto is None or t > upto:
-                    come.setdefault(int(t), []).append(None if pd.isna(r) else float(r))
-        held = self._read()
-        stored = set(held)
-        for t, rain in come.items():
-            held[t] = held.get(t, []) + rain
-            if t > passed:  # what goes out at once needs no state
-                self._held.updateValue((t,), (held[t],))
-                stored.add(t)
-        yield from self._release(key, passed, held, stored)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._read()
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000, held, set(held))
-
-    def _read(self) -> dict[int, list]:
-        """All rows held, in one read: a call to the state store costs more than a row."""
-        return {int(t): list(rain) for (t,), (rain,) in self._held.iterator()}
-
-    def _release(self, key: tuple, upto: int, held: dict[int, list], stored: set[int]) -> Iterator[pd.DataFrame]:
-        times = sorted(held)
-        ready = [t for t in times if t <= upto]
-        at, out = [], []
-        if ready:
-            value, poisoned, _ = self._index.get() if self._index.exists() else (0.0, False, None)
-            for t in ready:
-                # rows of one time in the order of their values, so that the result doesn't hang on how they came
-                for r in sorted(held[t], key=lambda r: (r is not None, r or 0.0)):
-                    poisoned = poisoned or r is None
-                    value = value if poisoned else self._decay * value + r
-                    at.append(t)
-                    out.append(None if poisoned else value)
-            self._index.update((float(value), bool(poisoned), upto))
-            if len(ready) == len(times):
-                self._held.clear()
-            else:
-                for t in stored.intersection(ready):
-                    self._held.removeKey((t,))
-        wanted = -(-times[len(ready)] // 1000) if len(ready) < len(times) else None
-        timers = list(self._handle.listTimers())
-        for timer in timers:
-            if timer != wanted:
-                self._handle.deleteTimer(timer)
-        if wanted is not None and wanted not in timers:
-            self._handle.registerTimer(wanted)
-        if at:
-            yield pd.DataFrame({"key": [key[0]] * len(at), "t": at, "a": pd.Series(out, dtype="float64")})
-
-
 def ordered_antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm_hr", decay: float = 0.9, time_col: str = "ts", key: str = "station_id", late: str = "2 hours") -> DataFrame:
     """a[t] = decay * a[t-1] + r[t] per key in the order of time, whatever order rows come in, as the batch operator gives it.
 
@@ -131,11 +61,36 @@ def ordered_antecedent_index(stream: DataFrame, rainfall_col: str = "rainfall_mm
     so are rows behind the watermark of the batch before, as hourly means leave them out, and those from before what their key has
     given out already.
 
-    State a key is its rows of the last ``late``, one number and one timer, whatever the length of the stream. It needs
-    the RocksDB state store: set ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB``.
+    State a key is its rows of the last ``late``, one number and one timer, whatever the length of the stream. It is one
+    value, which comes and goes with the key's rows: calls to the store from Python, a time held each, cost more than the rows.
     """
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, poisoned, upto, times, rain = state.get if state.exists else (0.0, False, None, [], [])
+        held = list(zip(times, rain, strict=True))
+        for frame in frames:
+            held += [(t, r) for t, r in zip(frame["t"].tolist(), frame["r"].tolist(), strict=True) if upto is None or t > upto]
+        # rows of one time in the order of their values, so that the result doesn't hang on how they came
+        held.sort(key=lambda row: (row[0], row[1] == row[1], row[1] if row[1] == row[1] else 0.0))
+        passed = state.getCurrentWatermarkMs() * 1000
+        n = bisect_right(held, passed, key=lambda row: row[0])
+        out = []
+        for _, r in held[:n]:
+            poisoned = poisoned or r != r
+            value = value if poisoned else decay * value + r
+            out.append(None if poisoned else value)
+        state.update((value, poisoned, passed if n else upto, [t for t, _ in held[n:]], [r for _, r in held[n:]]))
+        if n < len(held):
+            # goes off in the first batch whose watermark is beyond it, so at the whole millisecond not before the first time held
+            state.setTimeoutTimestamp(max(-(-held[n][0] // 1000) - 1, 1))
+        if n:
+            yield pd.DataFrame({"key": [name[0]] * n, "t": [t for t, _ in held[:n]], "a": pd.Series(out, dtype="float64")})
+
     kind = dict(stream.dtypes)[key]
     rows = stream.withWatermark(time_col, late).where(F.col(time_col).isNotNull() & F.col(key).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(rainfall_col).cast("double").alias("r"), F.col(time_col).alias("seen")).where("t >= 0")
-    done = rows.groupBy("key").transformWithStateInPandas(_InTimeOrder(decay), outputStructType=f"key {kind}, t long, a double", outputMode="Append", timeMode="EventTime")
+    rows = rows.select(F.col(key).alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.coalesce(F.col(rainfall_col).cast("double"), F.lit(float("nan"))).alias("r"), F.col(time_col).alias("seen")).where("t >= 0")
+    done = rows.groupBy("key").applyInPandasWithState(
+        step, outputStructType=f"key {kind}, t long, a double", stateStructType="value double, poisoned boolean, upto long, t array<long>, r array<double>",
+        outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    )
     return done.select(F.col("key").alias(key), F.timestamp_micros("t").alias(time_col), F.col("a").alias("antecedent_precipitation_index"))

@@ -130,3 +130,13 @@ def test_shared_folder_is_below_the_checkpoint_folder_and_new_each_time(spark):
 
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a != b and all(p.startswith(spark.conf.get("spark.checkpoint.dir")) for p in (a, b))
+
+
+def test_what_a_key_holds_is_one_value(spark, tmp_path, rocksdb):
+    rows = [(k, T0 + timedelta(minutes=i), float(i)) for i in range(60) for k in "ab"]
+    spark.createDataFrame(rows, RAIN).coalesce(1).write.parquet(str(tmp_path / "in"))
+    build = ordered_antecedent_index(spark.readStream.schema(RAIN).parquet(str(tmp_path / "in")))
+    q = build.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 0
